@@ -1,7 +1,6 @@
 """All registered queries and their checking SQL."""
 
 import importlib
-import importlib.util
 
 MODULES = ["problems"]
 
@@ -14,12 +13,8 @@ def _all(what: str) -> dict:
 
 
 def queries() -> dict:
-    return _all("QUERIES") | _optional("QUERIES")
+    return _all("QUERIES")
 
 
 def oracles() -> dict:
-    return _all("ORACLES") | _optional("ORACLES")
-
-
-def _optional(what: str) -> dict:
-    return {}
+    return _all("ORACLES")

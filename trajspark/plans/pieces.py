@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trajspark.plans.sizes import small_side
+
 KEYS = ("dataset_id", "episode_index", "frame_index")
 
 
@@ -46,9 +48,13 @@ def frame_pieces(
     block: int = 16384,
     before: int = 0,
     after: int = 0,
+    sources: DataFrame | None = None,
 ) -> DataFrame:
     """Rows (dataset_id, piece, block, episode_index, frame_index, *names), sorted within partitions.
 
+    `sources` (dataset_id, whole, further columns), one row a data set, keeps the data sets marked
+    `whole` in one piece and adds its columns to every row; data sets it lacks are left out.
+
     `piece` is episode_index div `episodes`, `block` is frame_index div `block`. Rows within
     `before` frames ahead of a block or `after` frames behind it are copied into that block too.
     Rows with a null key are no frame records and are left out. Repeats within a batch are dropped
@@ -64,8 +70,15 @@ def frame_pieces(
         blocks = F.when(F.expr(f"frame_index >= {block} and frame_index % {block} < {after}"), F.array(at - 1, at)).otherwise(blocks)
     if before:
         blocks = F.when(F.expr(f"frame_index % {block} >= {block - before}"), F.concat(blocks, F.array(at + 1))).otherwise(blocks)
+    piece = F.expr(f"episode_index div {episodes}")
+    more: list[str] = []
+    if sources is not None:
+        slim = slim.join(small_side(sources), "dataset_id")
+        more = [c for c in sources.columns if c != "dataset_id"]
+        piece = F.when(F.col("whole"), F.lit(0)).otherwise(piece)
+        blocks = F.when(F.col("whole"), F.array(F.lit(0).cast("bigint"))).otherwise(blocks)
     return (
-        slim.select("dataset_id", F.expr(f"episode_index div {episodes}").alias("piece"), F.explode(blocks).alias("block"), "episode_index", "frame_index", *names)
+        slim.select("dataset_id", piece.cast("bigint").alias("piece"), F.explode(blocks).alias("block"), "episode_index", "frame_index", *names, *more)
         .repartition("dataset_id", "piece", "block")
         .sortWithinPartitions("dataset_id", "piece", "block", "episode_index", "frame_index")
     )
