@@ -141,12 +141,13 @@ def _piece(values: np.ndarray, there: np.ndarray, ep: np.ndarray, fr: np.ndarray
         equal[1:] = next_to[1:] & (values[1:, k] == values[:-1, k])
         i, j = _runs(equal)
         long = (j - i + 1) >= r.stuck
-        runs_of[k] = (i[long], j[long])
         # long runs are left out of the share of equal neighbours unless they are its habit
         stuck = int((j[long] - i[long]).sum())
         share = (len(s) - len(moved) - stuck) / max(1, len(s) - stuck)
         habit = (len(s) - len(moved)) / max(1, len(s))
         share = share if stuck < 0.3 * max(1, len(s)) else habit
+        if share < 3 * r.changing:  # a dimension that rests by habit has no stuck readings
+            runs_of[k] = (i[long], j[long])
         add("profile", k, n=len(v), lo=lo, hi=hi, inner_lo=a, inner_hi=b, step=p99, equal=share)
     wide = finite.any(0)
     # not finite: the vector is there and long enough to hold the dimension
