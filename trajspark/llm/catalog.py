@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajspark.llm import bpe, mixing, packing, percentiles, splits
+from trajspark.llm import bpe, mixing, packing, percentiles, sentences, splits
 from trajspark.plans.shared import cut
 from trajspark.plans.tables import table
 
@@ -63,7 +63,11 @@ def p9_joint(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(sizes, [(0, [c for _, c in _packs(spark, folder)])])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p2_found, p2_mix, p2_selection, p6_found, p6_splits, p8_ids, p9_pack, p9_report, p9_joint)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentences(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p2_found, p2_mix, p2_selection, p6_found, p6_splits, p8_ids, p9_pack, p9_report, p9_joint, p10_found)}
 
 _ACTUAL = """
 with f as (

@@ -1,11 +1,12 @@
 """Percentiles of state, action and relative action columns from mergeable sketches, and checks of published ones."""
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.llm.sketch import QuantileSketch
@@ -16,10 +17,22 @@ from trajspark.plans.sizes import at_most, small_side
 SERIES = ["dataset_id", "modality", "key", "step", "dim"]
 FIELDS = (("observation.state", "state"), ("action", "action"))
 
-#: Buffer size and buffers of the sketches, and rows up to which a data set is worked through as one
-#: piece. size * buffers is no less than WHOLE, so such a data set's percentiles are exact.
-SIZE, BUFFERS, WHOLE = 2048, 8, 16384
-BLOCK = 16384
+
+@dataclass(frozen=True)
+class Sizes:
+    """Buffer size and buffers of the sketches, rows up to which a data set is worked through as one
+    piece, frames of a block. size * buffers is no less than `whole`, so that the percentiles of
+    such a data set are exact.
+    """
+
+    size: int = 2048
+    buffers: int = 8
+    whole: int = 16384
+    block: int = 16384
+
+    def sketch(self) -> QuantileSketch:
+        return QuantileSketch(self.size, self.buffers)
+
 
 _OUT = pa.schema([("dataset_id", pa.string()), ("modality", pa.string()), ("key", pa.string()), ("step", pa.int32()), ("dim", pa.int32()), ("n", pa.int64()), ("sketch", pa.binary())] + [(f"{q}{x}", pa.float64()) for q in ("q01", "q99") for x in ("", "_least", "_most")])
 _DDL = "dataset_id string, modality string, key string, step int, dim int, n long, sketch binary, q01 double, q01_least double, q01_most double, q99 double, q99_least double, q99_most double"
@@ -35,11 +48,11 @@ def _relative(spec: str | None) -> list[tuple[str, int, int, int, list[int]]]:
     return out
 
 
-def series_of(t: pa.Table) -> Iterator[tuple[str, str, int, int, np.ndarray]]:
+def series_of(t: pa.Table, block: int) -> Iterator[tuple[str, str, int, int, np.ndarray]]:
     """(modality, key, step, dim, finite values) of each series of one piece."""
     t = t.take(pa.array(distinct_rows(t)))
     ep, fr = t.column("episode_index").to_numpy(), t.column("frame_index").to_numpy()
-    own = np.ones(len(ep), bool) if t.column("whole")[0].as_py() else fr // BLOCK == t.column("block")[0].as_py()
+    own = np.ones(len(ep), bool) if t.column("whole")[0].as_py() else fr // block == t.column("block")[0].as_py()
     vec = {}
     for key, name in FIELDS:
         vec[name] = matrix(t.column(name))[0]
@@ -73,38 +86,41 @@ def _answers(s: QuantileSketch) -> list[float]:
     return [*s.quantile(0.01), *s.quantile(0.99)]
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One sketch per data set and series and task; answers at once where the data set is whole."""
-    rows: list[tuple] = []
-    held: dict[tuple, QuantileSketch] = {}
-    last = None
+def _sketch(sizes: Sizes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One sketch per data set and series and task; answers at once where the data set is whole."""
+        rows: list[tuple] = []
+        held: dict[tuple, QuantileSketch] = {}
+        last = None
 
-    def flush():
-        for k, s in held.items():
-            rows.append((last, *k, s.n, s.dump(), *[None] * 6))
-        held.clear()
+        def flush():
+            for k, s in held.items():
+                rows.append((last, *k, s.n, s.dump(), *[None] * 6))
+            held.clear()
 
-    def batch():
-        out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _OUT)], schema=_OUT)
-        rows.clear()
-        return out
+        def batch():
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _OUT)], schema=_OUT)
+            rows.clear()
+            return out
 
-    for t in groups(batches, 3):
-        source, whole = t.column(0)[0].as_py(), t.column("whole")[0].as_py()
-        if source != last:
-            flush()
-            last = source
-        for modality, key, step, dim, x in series_of(t):
-            if whole:
-                s = QuantileSketch(SIZE, BUFFERS).add(x)
-                rows.append((source, modality, key, step, dim, s.n, None, *_answers(s)))
-            else:
-                held.setdefault((modality, key, step, dim), QuantileSketch(SIZE, BUFFERS)).add(x)
-        if len(rows) > 2000:
+        for t in groups(batches, 3):
+            source, whole = t.column(0)[0].as_py(), t.column("whole")[0].as_py()
+            if source != last:
+                flush()
+                last = source
+            for modality, key, step, dim, x in series_of(t, sizes.block):
+                if whole:
+                    s = sizes.sketch().add(x)
+                    rows.append((source, modality, key, step, dim, s.n, None, *_answers(s)))
+                else:
+                    held.setdefault((modality, key, step, dim), sizes.sketch()).add(x)
+            if len(rows) > 2000:
+                yield batch()
+        flush()
+        if rows:
             yield batch()
-    flush()
-    if rows:
-        yield batch()
+
+    return run
 
 
 def _merge(final: bool):
@@ -125,7 +141,7 @@ def _slices(modality: DataFrame, kind: str, field: str) -> DataFrame:
     return m.groupBy("dataset_id", "key").agg(F.min(F.struct("start", "end")).alias(kind))
 
 
-def sources(frames: DataFrame, stats: DataFrame, modality: DataFrame) -> DataFrame:
+def sources(frames: DataFrame, stats: DataFrame, modality: DataFrame, sizes: Sizes) -> DataFrame:
     """(dataset_id, whole, rel): sizes of the data sets and the relative series asked for by `stats`."""
     asked = (
         stats.where("modality = 'relative_stats' and step >= 0")
@@ -136,18 +152,18 @@ def sources(frames: DataFrame, stats: DataFrame, modality: DataFrame) -> DataFra
     )
     width = F.least(F.col("action.end") - F.col("action.start"), F.col("state.end") - F.col("state.start"))
     rel = asked.groupBy("dataset_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "key", "action.start", "state.start", width, "steps"))), "|").alias("rel"))
-    return frames.where("dataset_id is not null").groupBy("dataset_id").agg((F.count("*") <= WHOLE).alias("whole")).join(rel, "dataset_id", "left")
+    return frames.where("dataset_id is not null").groupBy("dataset_id").agg((F.count("*") <= sizes.whole).alias("whole")).join(rel, "dataset_id", "left")
 
 
-def _pieces(frames: DataFrame, of: DataFrame, horizon: int) -> DataFrame:
-    return frame_pieces(frames, [F.col(f"`{f}`") for f, _ in FIELDS], [n for _, n in FIELDS], block=BLOCK, after=horizon, sources=of)
+def _pieces(frames: DataFrame, of: DataFrame, horizon: int, block: int) -> DataFrame:
+    return frame_pieces(frames, [F.col(f"`{f}`") for f, _ in FIELDS], [n for _, n in FIELDS], block=block, after=horizon, sources=of)
 
 
 def _horizon(stats: DataFrame) -> int:
     return (stats.agg(F.max("step")).first()[0] or 0) + 1
 
 
-def percentiles(frames: DataFrame, stats: DataFrame, modality: DataFrame) -> DataFrame:
+def percentiles(frames: DataFrame, stats: DataFrame, modality: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     """q01 and q99 of every dimension of state and action, and of every relative series in `stats`.
 
     Over the distinct frame records; nulls, NaN and infinities are left out; a relative series at
@@ -156,7 +172,7 @@ def percentiles(frames: DataFrame, stats: DataFrame, modality: DataFrame) -> Dat
     Partial sketches hold a task's share of a data set, so a data set of any size merges from at most
     as many sketches as there are tasks, in two levels. Empty frames give no rows.
     """
-    part = _pieces(frames, sources(frames, stats, modality), _horizon(stats)).mapInArrow(_sketch, _DDL)
+    part = _pieces(frames, sources(frames, stats, modality, sizes), _horizon(stats), sizes.block).mapInArrow(_sketch(sizes), _DDL)
     part = cut(part)
     merged = (
         part.where("sketch is not null")
@@ -169,14 +185,14 @@ def percentiles(frames: DataFrame, stats: DataFrame, modality: DataFrame) -> Dat
     return part.where("sketch is null").unionByName(merged).drop("sketch")
 
 
-def _counts(bounds: dict[tuple, list[tuple[str, float, float]]]):
+def _counts(bounds: dict[tuple, list[tuple[str, float, float]]], block: int):
     """Per series and bound: how many values lie below the bracket, and the values within it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("dataset_id", pa.string()), ("modality", pa.string()), ("key", pa.string()), ("step", pa.int32()), ("dim", pa.int32()), ("bound", pa.string()), ("below", pa.int64()), ("within", pa.list_(pa.float64()))])
         for t in groups(batches, 3):
             source, rows = t.column(0)[0].as_py(), []
-            for modality, key, step, dim, x in series_of(t):
+            for modality, key, step, dim, x in series_of(t, block):
                 for bound, least, most in bounds.get((source, modality, key, step, dim), ()):
                     rows.append((source, modality, key, step, dim, bound, int((x < least).sum()), x[(x >= least) & (x <= most)].tolist()))
             if rows:
@@ -189,24 +205,22 @@ def _counts(bounds: dict[tuple, list[tuple[str, float, float]]]):
 OPEN_AT_ONCE = 50_000
 
 
-def _exact(frames: DataFrame, stats: DataFrame, modality: DataFrame, open_: DataFrame) -> DataFrame:
+def _exact(frames: DataFrame, stats: DataFrame, modality: DataFrame, open_: DataFrame, sizes: Sizes) -> DataFrame:
     """Exact q01 and q99 of the series of `open_` by selection within the brackets the sketches gave."""
     keyed = open_.select(*SERIES, "n", "q01_least", "q01_most", "q99_least", "q99_most").distinct()
     shares, out = 1, None
     while not at_most(keyed.where(F.pmod(F.xxhash64(*SERIES), F.lit(shares)) == 0), OPEN_AT_ONCE):
         shares *= 2
-    of = sources(frames, stats, modality)
+    of = sources(frames, stats, modality, sizes)
     for share in range(shares):
         some = keyed.where(F.pmod(F.xxhash64(*SERIES), F.lit(shares)) == share)
         bounds: dict[tuple, list] = {}
         for r in some.collect():  # at most OPEN_AT_ONCE, give or take the hash
             bounds[tuple(r[c] for c in SERIES)] = [("q01", r["q01_least"], r["q01_most"]), ("q99", r["q99_least"], r["q99_most"])]
         mine = of.join(F.broadcast(some.select("dataset_id").distinct()), "dataset_id", "left_semi")
-        found = _pieces(frames, mine, _horizon(stats)).mapInArrow(_counts(bounds), "dataset_id string, modality string, key string, step int, dim int, bound string, below long, within array<double>")
+        found = _pieces(frames, mine, _horizon(stats), sizes.block).mapInArrow(_counts(bounds, sizes.block), "dataset_id string, modality string, key string, step int, dim int, bound string, below long, within array<double>")
         out = found if out is None else out.unionByName(found)
     found = cut(out)
-    from pyspark.sql import Window
-
     k = [*SERIES, "bound"]
     below = found.groupBy(*k).agg(F.sum("below").alias("below"))
     runs = found.select(*k, F.explode("within").alias("v")).groupBy(*k, "v").agg(F.count("*").alias("m"))
@@ -219,7 +233,7 @@ def _exact(frames: DataFrame, stats: DataFrame, modality: DataFrame, open_: Data
     return got.groupBy(*SERIES).agg(F.max(F.when(F.col("bound") == "q01", F.col("x"))).alias("x01"), F.max(F.when(F.col("bound") == "q99", F.col("x"))).alias("x99"))
 
 
-def wrong_percentiles(frames: DataFrame, stats: DataFrame, modality: DataFrame, tolerance: float = 0.05) -> DataFrame:
+def wrong_percentiles(frames: DataFrame, stats: DataFrame, modality: DataFrame, tolerance: float = 0.05, sizes: Sizes = Sizes()) -> DataFrame:
     """Published q01 and q99 that differ from the actual ones by more than `tolerance` of q99 - q01.
 
     Result: (dataset_id, modality, key, step, dim, bound). The sketches' bounds decide nearly all;
@@ -239,11 +253,11 @@ def wrong_percentiles(frames: DataFrame, stats: DataFrame, modality: DataFrame,
     far = F.greatest(F.abs(p - least), F.abs(p - most))
     wide, narrow = F.col("q99_most") - F.col("q01_least"), F.greatest(F.lit(0.0), F.col("q99_least") - F.col("q01_most"))
     verdict = F.when((near > tolerance * wide) & (narrow > 0), "wrong").when((far <= tolerance * narrow) | (wide == 0) | p.isNull(), "right").otherwise("open")
-    judged = cut(asked.join(percentiles(frames, stats, modality), SERIES).withColumn("verdict", F.when(F.isnan(p), "wrong").otherwise(verdict)))
+    judged = cut(asked.join(percentiles(frames, stats, modality, sizes), SERIES).withColumn("verdict", F.when(F.isnan(p), "wrong").otherwise(verdict)))
     out = judged.where("verdict = 'wrong'").select(*SERIES, "bound")
     open_ = judged.where("verdict = 'open'")
     if open_.isEmpty():
         return out
-    exact = _exact(frames, stats, modality, open_)
+    exact = _exact(frames, stats, modality, open_, sizes)
     gap = F.abs(p - F.when(is01, F.col("x01")).otherwise(F.col("x99")))
     return out.unionByName(open_.join(exact, SERIES).where((F.col("x99") > F.col("x01")) & (gap > tolerance * (F.col("x99") - F.col("x01")))).select(*SERIES, "bound"))
