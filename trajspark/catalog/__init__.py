@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["problems"]
+MODULES = ["problems", "sequences"]
 
 
 def _all(what: str) -> dict:

@@ -73,8 +73,11 @@ def replay(df: DataFrame, keys: list[str], order: str, value: str, horizon: int,
 def stitched(df: DataFrame, keys: list[str], order: str, chunk_column: str, horizon: int, steps: Column | None = None) -> DataFrame:
     """The first `horizon` values of the chunks at rows 0, horizon, 2 horizon, .. as one sequence (step, value)."""
     i = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    anchors = df.withColumn("_i", i).where(F.col("_i") % horizon == 0)
-    out = anchors.select(*keys, *([steps.alias("_n")] if steps is not None else []), "_i", F.posexplode(F.slice(chunk_column, 1, horizon)).alias("k", "value"))
+    df = df.withColumn("_i", i)
+    if steps is not None:
+        df = df.withColumn("_n", steps)
+    anchors = df.where(F.col("_i") % horizon == 0)
+    out = anchors.select(*keys, *(["_n"] if steps is not None else []), "_i", F.posexplode(F.slice(chunk_column, 1, horizon)).alias("k", "value"))
     out = out.withColumn("step", F.col("_i") + F.col("k"))
     if steps is not None:
         out = out.where(F.col("step") < F.col("_n")).drop("_n")
