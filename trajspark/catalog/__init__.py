@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["problems", "sequences"]
+MODULES = ["problems", "sequences", "vectors"]
 
 
 def _all(what: str) -> dict:

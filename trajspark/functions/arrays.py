@@ -7,6 +7,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f uses it; keeps generated code small."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 

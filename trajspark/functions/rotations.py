@@ -6,24 +6,25 @@ What has a closed form stays in generated code; conversions with branches are in
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trajspark.functions.arrays import doubles, group_slice
+from trajspark.functions.arrays import dot, doubles, group_slice, let, norm
 
 
 def _at(v: Column, i: int) -> Column:
     return v[i].cast("double")
 
 
+def _unit(v: Column) -> Column:
+    return let(doubles(v), lambda u: let(norm(u), lambda n: F.transform(u, lambda c: c / n)))
+
+
 def rot6d_to_matrix(r: Column) -> Column:
     """9 elements from the first two rows by Gram-Schmidt; the third row is their cross product."""
-    a, b = [_at(r, i) for i in range(3)], [_at(r, i) for i in range(3, 6)]
-    n = F.sqrt(sum(x * x for x in a[1:]) + a[0] * a[0])
-    x = [c / n for c in a]
-    d = x[0] * b[0] + x[1] * b[1] + x[2] * b[2]
-    y = [b[i] - d * x[i] for i in range(3)]
-    m = F.sqrt(y[0] * y[0] + y[1] * y[1] + y[2] * y[2])
-    y = [c / m for c in y]
-    z = [x[1] * y[2] - x[2] * y[1], x[2] * y[0] - x[0] * y[2], x[0] * y[1] - x[1] * y[0]]
-    return F.array(*x, *y, *z)
+
+    def rows(x: Column, b: Column) -> Column:
+        y = let(dot(x, b), lambda d: F.zip_with(b, x, lambda p, q: p - d * q))
+        return let(_unit(y), lambda u: F.concat(x, u, F.array(x[1] * u[2] - x[2] * u[1], x[2] * u[0] - x[0] * u[2], x[0] * u[1] - x[1] * u[0])))
+
+    return let(_unit(group_slice(r, 0, 3)), lambda x: let(doubles(group_slice(r, 3, 6)), lambda b: rows(x, b)))
 
 
 def matrix_to_rot6d(m: Column) -> Column:
@@ -45,7 +46,7 @@ def matmul3(a: Column, b: list[float] | Column) -> Column:
 
 def pose6_to_pose9(p: Column, correction: list[float]) -> Column:
     """(x, y, z, roll, pitch, yaw) to (x, y, z, rot6d) with a fixed correction applied on the right."""
-    m = matmul3(euler_xyz_to_matrix(_at(p, 3), _at(p, 4), _at(p, 5)), correction)
+    m = let(euler_xyz_to_matrix(_at(p, 3), _at(p, 4), _at(p, 5)), lambda r: matmul3(r, correction))
     return F.concat(group_slice(doubles(p), 0, 3), matrix_to_rot6d(m))
 
 
@@ -62,8 +63,8 @@ def wxyz_to_xyzw(q: Column) -> Column:
 
 def homogeneous(position: Column, rotation: Column) -> Column:
     """16 elements from a position and a 3 x 3 matrix."""
-    rows = [x for i in range(3) for x in (*[_at(rotation, 3 * i + j) for j in range(3)], _at(position, i))]
-    return F.array(*rows, *[F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)])
+    rows = lambda r: [x for i in range(3) for x in (*[_at(r, 3 * i + j) for j in range(3)], _at(position, i))]
+    return let(rotation, lambda r: F.array(*rows(r), *[F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)]))
 
 
 def invert_transform(t: Column) -> Column:
@@ -82,7 +83,7 @@ def matmul4(a: Column, b: Column) -> Column:
 
 def relative_transform(start: Column, t: Column) -> Column:
     """inverse(start) times t."""
-    return matmul4(invert_transform(start), t)
+    return let(start, lambda s: let(invert_transform(s), lambda i: let(t, lambda x: matmul4(i, x))))
 
 
 def gripper_sign(x: Column) -> Column:
