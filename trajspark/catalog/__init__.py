@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["problems", "sequences", "vectors"]
+MODULES = ["problems", "sequences", "vectors", "datasets"]
 
 
 def _all(what: str) -> dict:

@@ -34,8 +34,8 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", *_COLUMNS)
     v = t.select("l_orderkey", "l_linenumber", (F.row_number().over(w) - 1).alias("i"), F.array(*_COLUMNS).alias("v"))
     of = lambda f: F.array(*[f(c) for c in _COLUMNS])
-    s = t.agg(of(F.avg).alias("mean"), of(F.stddev_pop).alias("std"), of(F.min).alias("min"), of(F.max).alias("max"))
-    return v.crossJoin(F.broadcast(s))  # one row
+    s = t.agg(F.struct(of(F.avg).alias("mean"), of(F.stddev_pop).alias("std"), of(F.min).alias("min"), of(F.max).alias("max")))
+    return v.withColumn("s", s.scalar()).select("l_orderkey", "l_linenumber", "i", "v", "s.*")
 
 
 def _stats(df: DataFrame) -> dict:
@@ -156,15 +156,14 @@ def split_concat(spark: SparkSession, folder: str) -> DataFrame:
     return df.select("vec_id", groups.alias("g")).select("vec_id", "g.group", F.posexplode("g.v").alias("dim", "x"))
 
 
-@query(f"with {EMB}, m as (select label, unnest(range(64)) dim, unnest(v) x from x), c as (select label, dim, avg(x) x from m group by all), p as (select a.label a, b.label b, sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))) s, sqrt(avg((a.x - b.x) * (a.x - b.x))) e from c a join c b on a.dim = b.dim and a.label < b.label group by all) select a, b, round(s, 5) cosine, round(e, 6) rmse from p")
+@query(f"with {EMB}, m as (select label, unnest(range(64)) dim, unnest(v) x from x), c as (select label, dim, avg(x) x from m group by all), p as (select b.label, sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))) s, sqrt(avg((a.x - b.x) * (a.x - b.x))) e from c a join c b on a.dim = b.dim and a.label = (select min(label) from c) group by all) select label, round(s, 5) cosine, round(e, 6) rmse from p")
 def cosine_mean(spark: SparkSession, folder: str) -> DataFrame:
-    """Cosine and root mean squared difference between the mean vectors of labels (96f)."""
+    """Cosine and root mean squared difference of each label's mean vector to the first label's (96f)."""
     c = _vectors(spark, folder).select("label", F.posexplode("v").alias("dim", "x")).groupBy("label", "dim").agg(F.avg("x").alias("x"))
     c = c.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("m"))
-    a, b = c.select(F.col("label").alias("a"), F.col("m").alias("x")), c.select(F.col("label").alias("b"), F.col("m").alias("y"))
-    pairs = a.join(b, F.col("a") < F.col("b"))  # between labels, of which there are few
-    diff = arrays.minus(F.col("x"), F.col("y"))
-    return pairs.select("a", "b", F.round(arrays.cosine(F.col("x"), F.col("y")), 5).alias("cosine"), F.round(F.sqrt(arrays.dot(diff, diff) / 64), 6).alias("rmse"))
+    pairs = c.withColumn("base", c.agg(F.min_by("m", "label")).scalar())
+    diff = arrays.minus(F.col("base"), F.col("m"))
+    return pairs.select("label", F.round(arrays.cosine(F.col("base"), F.col("m")), 5).alias("cosine"), F.round(F.sqrt(arrays.dot(diff, diff) / 64), 6).alias("rmse"))
 
 
 _GS = f"""with {EMB}, a as (select vec_id, v[1] a1, v[2] a2, v[3] a3, v[4] b1, v[5] b2, v[6] b3, sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3]) n from x),

@@ -55,8 +55,8 @@ def collapse(method: str, x: Column) -> Column:
 def latencies(df: DataFrame, key: str, ms: str, baseline: str) -> DataFrame:
     """Median per configuration, its frequency in Hz, and the speedup over the baseline's median."""
     med = df.groupBy(key).agg(F.median(ms).alias("median_ms"))
-    base = med.where(F.col(key) == baseline).select(F.col("median_ms").alias("base"))
-    return med.crossJoin(F.broadcast(base)).select(key, "median_ms", (1000 / F.col("median_ms")).alias("hz"), (F.col("base") / F.col("median_ms")).alias("speedup"))
+    base = df.where(F.col(key) == baseline).agg(F.median(ms)).scalar()
+    return med.select(key, "median_ms", (1000 / F.col("median_ms")).alias("hz"), (base / F.col("median_ms")).alias("speedup"))
 
 
 def masked_accuracy(df: DataFrame, keys: list[str], order: str, prediction: str, label: str, ignore: int = -100) -> DataFrame:

@@ -61,11 +61,11 @@ def manifest_drift(pins: DataFrame) -> DataFrame:
 
     pins: manifest, package, spec. Result: (package, kind, n_manifests, n_specs).
     """
-    total = pins.agg(F.count_distinct("manifest").alias("all_manifests"))
+    total = pins.agg(F.count_distinct("manifest")).scalar()
     per = pins.groupBy("package", "manifest").agg(F.array_join(F.sort_array(F.collect_set(F.coalesce("spec", F.lit("")))), "|").alias("signature"))
     per = per.groupBy("package").agg(F.count_distinct("manifest").alias("n_manifests"), F.count_distinct("signature").alias("n_specs"))
     kind = F.when(F.col("n_manifests") < F.col("all_manifests"), "presence").when(F.col("n_specs") > 1, "version")
-    return per.crossJoin(F.broadcast(total)).withColumn("kind", kind).where("kind is not null").select("package", "kind", "n_manifests", "n_specs")
+    return per.withColumn("all_manifests", total).withColumn("kind", kind).where("kind is not null").select("package", "kind", "n_manifests", "n_specs")
 
 
 def segments(episodes: DataFrame, keys: list[str], order: str, frames: str, fps: Column) -> DataFrame:

@@ -83,7 +83,7 @@ def schedule(sources: DataFrame, key: str, weight: str, shards: str, draws: int,
     bounds = table.agg(F.array_sort(F.collect_list(F.struct("upto", key, shards))).alias("b"))
     spark = sources.sparkSession
     u = portable_hash(F.col("position") + 1, seed) / F.lit(float(1 << 32))
-    drawn = spark.range(draws).select(F.col("id").alias("position")).crossJoin(F.broadcast(bounds)).withColumn("u", u)
+    drawn = spark.range(draws).select(F.col("id").alias("position")).withColumn("b", bounds.scalar()).withColumn("u", u)
     drawn = drawn.select("position", F.coalesce(F.element_at(F.filter("b", lambda x: x["upto"] > F.col("u")), 1), F.element_at("b", -1)).alias("s")).select("position", f"s.{key}", F.col(f"s.{shards}").alias("n"))
     k = F.row_number().over(Window.partitionBy(key).orderBy("position")) - 1
     drawn = drawn.withColumn("k", k).withColumn("cycle", F.expr("k div n")).withColumn("slot", F.col("k") % F.col("n"))
