@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["problems", "sequences", "vectors", "datasets"]
+MODULES = ["problems", "sequences", "vectors", "datasets", "streams"]
 
 
 def _all(what: str) -> dict:
