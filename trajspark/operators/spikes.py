@@ -41,7 +41,7 @@ class SpikeRules:
     stuck: int = 10
     changing: float = 0.1
     beyond: float = 0.5
-    level: float = 0.6
+    level: float = 0.85
     spread: float = 0.05
     limits: float = 5.0
 
@@ -78,7 +78,7 @@ def _chart(grid: np.ndarray, scale: np.ndarray, r: SpikeRules) -> np.ndarray:
     out = np.zeros(grid.shape, bool)
     mean = np.full((ep, dims), np.nan)
     dev = np.broadcast_to(scale, (ep, dims)).copy()
-    floor, top = scale * 0.5, scale * 4.0
+    floor, top = scale * 0.6, scale * 1.2  # never so wide that a case of the final judgement could hide
     run = np.zeros((ep, dims), np.int32)
     for t in range(time):
         x = grid[:, t]
@@ -133,9 +133,10 @@ def _piece(values: np.ndarray, there: np.ndarray, ep: np.ndarray, fr: np.ndarray
         if not len(v):
             continue
         lo, hi, a, b = _quantiles(v, [0.01, 0.99, 0.05, 0.95])
-        p99 = _quantiles(s, [0.99])[0] if len(s) else 0.0
         moved = s[s > 0]
         scale[k] = np.median(moved) if len(moved) else 0.0
+        usual = s[s <= 8 * scale[k]]  # leaps are no part of the normal steps, however many there are
+        p99 = _quantiles(usual, [0.99])[0] if len(usual) else 0.0
         inner[k] = a, b
         equal = np.zeros(n, bool)
         equal[1:] = next_to[1:] & (values[1:, k] == values[:-1, k])
@@ -189,7 +190,7 @@ def _piece(values: np.ndarray, there: np.ndarray, ep: np.ndarray, fr: np.ndarray
             v, e = values[good, k], ep[good]
             i, j = _runs(suspects[good, m])
             for a, b in zip(i.tolist(), j.tolist()):
-                _excursion(v, e, good, a, b, int(k), own, r, add)
+                _excursion(v, e, good, a, b, int(k), own, scale[k], r, add)
     for k, (i, j) in runs_of.items():
         for a, b in zip(i.tolist(), j.tolist()):
             for x in range(a, b):
@@ -197,26 +198,30 @@ def _piece(values: np.ndarray, there: np.ndarray, ep: np.ndarray, fr: np.ndarray
                     add("stuck", int(k), x, value=float(values[x, k]), frames=b - a + 1)
 
 
-def _excursion(v, e, good, a, b, k, own, r, add) -> None:
-    """Measures a run [a, b) of suspects against the readings around it.
+def _excursion(v, e, good, a, b, k, own, scale, r, add) -> None:
+    """Finds the excursions in and beside a run [a, b) of suspects, measured against the readings around them.
 
-    The chart's level lags, so the edges are moved to where the reading really leaves and returns:
-    among the cuts within two readings of the run's edges the one with the greatest departure holds.
+    The chart's level stands still while it suspects, so a run may go on past the excursion that began
+    it, or hold several. The stretch of readings that departs most from those before and after it is
+    taken out, then the next, until none departs by more than the charts' limit.
     """
-    best = (0.0, a, b)
-    for x in range(max(1, a - 2), min(a + 3, len(v) - 1)):
-        for y in range(max(x + 1, b - 3), min(b + 3, len(v))):
-            if y - x > r.most_frames or e[x - 1] != e[x] or e[y] != e[x] or e[y - 1] != e[x]:
-                continue
-            w = v[x:y]
-            d = float(np.minimum(np.abs(w - v[x - 1]), np.abs(w - v[y])).min())
-            if d > best[0]:
-                best = (d, x, y)
-    d, x, y = best
-    if d > 0:
-        for i in range(x, y):
+    lo, hi = max(0, a - 3), min(len(v), b + 4)
+    at = [i for i in range(lo, hi) if e[i] == e[a]]
+    while len(at) > 2:
+        w = v[at]
+        best = (r.limits * scale * 0.6, 0, 0)
+        for x in range(1, len(at) - 1):
+            for y in range(x + 1, min(x + r.most_frames, len(at) - 1) + 1):
+                d = float(np.minimum(np.abs(w[x:y] - w[x - 1]), np.abs(w[x:y] - w[y])).min())
+                if d > best[0]:
+                    best = (d, x, y)
+        d, x, y = best
+        if not y:
+            return
+        for i in at[x:y]:
             if own[good[i]]:
                 add("excursion", k, int(good[i]), value=float(v[i]), departure=d, frames=y - x)
+        del at[x:y]
 
 
 def _scan(fields: list[str], r: SpikeRules, before: int):

@@ -166,18 +166,27 @@ def read_footer(f) -> Footer:
     size = f.tell()
     if size < 12:
         raise ValueError("too short for a Parquet file")
+    f.seek(0)
+    head = f.read(4)
     f.seek(size - 8)
     n, magic = struct.unpack("<I4s", f.read(8))
-    if magic != MAGIC or n + 12 > size:
+    if head != MAGIC or magic != MAGIC or n + 12 > size:
         raise ValueError("not a whole, unencrypted Parquet file")
     f.seek(size - 8 - n)
-    return Footer(_Reader(f.read(n)).struct())
+    foot = Footer(_Reader(f.read(n)).struct())
+    for g in foot.groups:
+        for col in _get(g, 1)[1]:
+            if (meta := _get(col, 3)) is not None:
+                start, length = _chunk_range(meta)
+                if length and start < 4 or length < 0 or start + length > size - 8 - n:
+                    raise ValueError("a column chunk reaches beyond the data")
+    return foot
 
 
 def _chunk_range(meta: list) -> tuple[int, int]:
     """Start and length of a column chunk's pages."""
     data, dictionary = _get(meta, 9), _get(meta, 11)
-    return (min(data, dictionary) if dictionary else data), _get(meta, 7)
+    return min(x for x in (data, dictionary) if x) if data or dictionary else 0, _get(meta, 7)
 
 
 def concat_files(sources: list, target) -> dict:
@@ -215,7 +224,7 @@ def concat_files(sources: list, target) -> dict:
                     target.write(part)
                     left -= len(part)
                 for k in (9, 10, 11):
-                    if (v := _get(meta, k)) is not None and (v or k != 11):
+                    if v := _get(meta, k):
                         _set(meta, k, v - start + at)
                 meta[:] = [x for x in meta if x[0] not in (14, 15)]
                 col[:] = [x for x in col if x[0] not in (4, 5, 6, 7)]
