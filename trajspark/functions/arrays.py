@@ -56,7 +56,7 @@ def pad_rows(rows: Column, height: int, width: int) -> Column:
 
 def take_last(xs: Column, n: int) -> Column:
     """The last n elements, or all if there are fewer."""
-    return F.slice(xs, -F.least(F.lit(n), F.size(xs)), F.lit(n)) if n > 0 else F.slice(xs, 1, 0)
+    return F.slice(xs, -F.greatest(F.lit(1), F.least(F.lit(n), F.size(xs))), F.lit(n)) if n > 0 else F.slice(xs, 1, 0)
 
 
 def minus(a: Column, b: Column) -> Column:

@@ -83,15 +83,16 @@ def schedule(sources: DataFrame, key: str, weight: str, shards: str, draws: int,
     bounds = table.agg(F.array_sort(F.collect_list(F.struct("upto", key, shards))).alias("b"))
     spark = sources.sparkSession
     u = portable_hash(F.col("position") + 1, seed) / F.lit(float(1 << 32))
-    drawn = spark.range(draws).select(F.col("id").alias("position")).withColumn("b", bounds.scalar()).withColumn("u", u)
-    drawn = drawn.select("position", F.coalesce(F.element_at(F.filter("b", lambda x: x["upto"] > F.col("u")), 1), F.element_at("b", -1)).alias("s")).select("position", f"s.{key}", F.col(f"s.{shards}").alias("n"))
+    drawn = spark.range(draws).select(F.col("id").alias("position")).withColumn("_b", bounds.scalar()).withColumn("_u", u)
+    hit = F.coalesce(F.element_at(F.filter("_b", lambda x: x["upto"] > F.col("_u")), 1), F.element_at("_b", -1))
+    drawn = drawn.select("position", hit.alias("_s")).select("position", f"_s.{key}", F.col(f"_s.{shards}").alias("_n"))
     k = F.row_number().over(Window.partitionBy(key).orderBy("position")) - 1
-    drawn = drawn.withColumn("k", k).withColumn("cycle", F.expr("k div n")).withColumn("slot", F.col("k") % F.col("n"))
+    drawn = drawn.withColumn("_k", k).withColumn("_cycle", F.expr("_k div _n")).withColumn("_slot", F.col("_k") % F.col("_n"))
     order = table.select(key, F.explode(F.sequence(F.lit(0), F.col(shards).cast("int") - 1)).alias("shard"))
-    cycles = drawn.select(key, "cycle").distinct().join(order, key)
-    h = portable_hash(F.col("shard") * 7919 + F.col("cycle") * 104729 + 1, seed)
-    cycles = cycles.withColumn("slot", F.row_number().over(Window.partitionBy(key, "cycle").orderBy(h, "shard")) - 1)
-    return drawn.join(cycles, [key, "cycle", "slot"]).select("position", key, "shard")
+    cycles = drawn.select(key, "_cycle").distinct().join(order, key)
+    h = portable_hash(F.col("shard") * 7919 + F.col("_cycle") * 104729 + 1, seed)
+    cycles = cycles.withColumn("_slot", F.row_number().over(Window.partitionBy(key, "_cycle").orderBy(h, "shard")) - 1)
+    return drawn.join(cycles, [key, "_cycle", "_slot"]).select("position", key, "shard")
 
 
 def evaluation_schedule(sources: DataFrame, key: str, shards: str) -> DataFrame:

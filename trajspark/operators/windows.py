@@ -77,11 +77,11 @@ def stitched(df: DataFrame, keys: list[str], order: str, chunk_column: str, hori
     if steps is not None:
         df = df.withColumn("_n", steps)
     anchors = df.where(F.col("_i") % horizon == 0)
-    out = anchors.select(*keys, *(["_n"] if steps is not None else []), "_i", F.posexplode(F.slice(chunk_column, 1, horizon)).alias("k", "value"))
-    out = out.withColumn("step", F.col("_i") + F.col("k"))
+    out = anchors.select(*keys, *(["_n"] if steps is not None else []), "_i", F.posexplode(F.slice(chunk_column, 1, horizon)).alias("_k", "value"))
+    out = out.withColumn("step", F.col("_i") + F.col("_k"))
     if steps is not None:
         out = out.where(F.col("step") < F.col("_n")).drop("_n")
-    return out.drop("_i", "k")
+    return out.drop("_i", "_k")
 
 
 def history(df: DataFrame, keys: list[str], order: str, value: str, lags: list[int], out: str = "history") -> DataFrame:
@@ -177,15 +177,15 @@ def ensemble(df: DataFrame, keys: list[str], order: str, plan: str, horizon: int
     i = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
     n = F.count("*").over(Window.partitionBy(*keys))
     rows = df.withColumn("_i", i).withColumn("_n", n).where(F.col("_i") % every == 0)
-    votes = rows.select(*keys, F.col("_i").alias("anchor"), "_n", F.posexplode(F.slice(plan, 1, horizon)).alias("k", "v"))
-    votes = votes.withColumn("step", F.col("anchor") + F.col("k")).where("step < _n")
-    per = votes.groupBy(*keys, "step").agg(F.sort_array(F.collect_list(F.struct("anchor", F.col("v").cast("array<double>").alias("v")))).alias("p"))
-    per = per.withColumn("p", F.slice("p", -F.least(F.lit(most), F.size("p")), most))
-    weights = F.transform("p", lambda _, k: F.exp(F.lit(rate) * k))
+    votes = rows.select(*keys, F.col("_i").alias("_anchor"), "_n", F.posexplode(F.slice(plan, 1, horizon)).alias("_k", "_v"))
+    votes = votes.withColumn("step", F.col("_anchor") + F.col("_k")).where("step < _n")
+    per = votes.groupBy(*keys, "step").agg(F.sort_array(F.collect_list(F.struct(F.col("_anchor").alias("a"), F.col("_v").cast("array<double>").alias("v")))).alias("_p"))
+    per = per.withColumn("_p", F.slice("_p", -F.least(F.lit(most), F.size("_p")), most))
+    weights = F.transform("_p", lambda _, k: F.exp(F.lit(rate) * k))
     total = F.aggregate(weights, F.lit(0.0), lambda s, x: s + x)
-    width = F.size(F.element_at("p", -1)["v"])
-    add = lambda k: F.aggregate(F.zip_with("p", weights, lambda x, y: x["v"][k] * y), F.lit(0.0), lambda s, x: s + x) / total
-    last = F.element_at("p", -1)["v"]
+    width = F.size(F.element_at("_p", -1)["v"])
+    add = lambda k: F.aggregate(F.zip_with("_p", weights, lambda x, y: x["v"][k] * y), F.lit(0.0), lambda s, x: s + x) / total
+    last = F.element_at("_p", -1)["v"]
     mixed = F.transform(F.sequence(F.lit(0), width - 1), lambda k: F.when(k.isin(newest), last[k]).otherwise(add(k)) if newest else add(k))
     return per.select(*keys, "step", mixed.alias("vector"))
 

@@ -15,12 +15,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trajspark.operators.stats import read_json, write_json
 
-EPISODES = T.StructType.fromDDL("episode_index long, tasks array<string>, length int, sub_tasks array<struct<start:int,end:int,text:string>>")
-TASKS = T.StructType.fromDDL("task_index long, task string")
+EPISODES = "episode_index long, tasks array<string>, length int, sub_tasks array<struct<start:int,end:int,text:string>>"
+TASKS = "task_index long, task string"
 
 
 def major_version(info: dict) -> int:
