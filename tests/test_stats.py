@@ -127,3 +127,17 @@ def test_modalities():
     for bad in ([{"tag": "a", "ratio": 0}], [{"ratio": 1}], []):
         with pytest.raises(ValueError):
             m.mixture(bad)
+
+
+def test_blocks_of_parts_have_shards_of_their_own(spark):
+    df = spark.createDataFrame([("d", e, e, 9) for e in range(100)], "dataset_id string, episode_index long, sequence long, length int")
+    got = sampling.assign_shards(df, ["dataset_id", "episode_index"], "length", 0.5, 60, seed=1, at_once=50).collect()
+    load = {}
+    for r in got:
+        load[r["shard"]] = load.get(r["shard"], 0) + r["n_steps"]
+    assert len(got) == 200 and sum(load.values()) == 900 and sorted(load) == list(range(len(load))) and len(load) > 12
+
+
+def test_evaluation_order(spark):
+    src = spark.createDataFrame([("b", 2), ("a", 3), ("c", 0)], "k string, n int")
+    assert [tuple(r) for r in sampling.evaluation_schedule(src, "k", "n").orderBy("position").collect()] == [(0, "a", 0), (1, "a", 1), (2, "a", 2), (3, "b", 0), (4, "b", 1)]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from trajspark.operators import evaluation, maintenance, sampling, stats
 from trajspark.plans.records import EPISODE, frame_records, live_episodes
+from trajspark.plans.sizes import small_side
 from trajspark.plans.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -47,7 +48,7 @@ select robot, modality, "key", step, dim, round(mean, 5) mean, round(sqrt(sq - m
 )
 def stats_merge_weighted(spark: SparkSession, folder: str) -> DataFrame:
     """Published statistics merged per robot type with the data sets' frames as weights (93)."""
-    s = table(spark, folder, "stats").distinct().withColumn("step", F.coalesce("step", F.lit(-1))).join(F.broadcast(_info(spark, folder)), "dataset_id")
+    s = table(spark, folder, "stats").distinct().withColumn("step", F.coalesce("step", F.lit(-1))).join(small_side(_info(spark, folder)), "dataset_id")
     out = stats.merge_weighted(s, ["robot", "modality", "key", "step", "dim"], "total_frames")
     return out.withColumn("mean", F.round("mean", 5)).withColumn("std", F.round("std", 4))
 
@@ -59,7 +60,7 @@ select s.robot, s.modality, s."key", s.dim, count(*) n, round(avg(mean), 5) mean
 )
 def stats_merge_first_keys(spark: SparkSession, folder: str) -> DataFrame:
     """Merged over the keys that the first data set of a robot type has (94)."""
-    s = table(spark, folder, "stats").where("step is null").select("dataset_id", "modality", "key", "dim", "mean").distinct().join(F.broadcast(_info(spark, folder).select("dataset_id", "robot")), "dataset_id")
+    s = table(spark, folder, "stats").where("step is null").select("dataset_id", "modality", "key", "dim", "mean").distinct().join(small_side(_info(spark, folder).select("dataset_id", "robot")), "dataset_id")
     kept = stats.of_first_source(s, ["robot"], "dataset_id", ["modality", "key", "dim"])
     return kept.groupBy("robot", "modality", "key", "dim").agg(F.count("*").alias("n"), F.round(F.avg("mean"), 5).alias("mean"))
 
@@ -88,7 +89,7 @@ def stats_uncovered(spark: SparkSession, folder: str) -> DataFrame:
 def total_dims(spark: SparkSession, folder: str) -> DataFrame:
     """Dimensions after encoding, states doubled by sines and cosines (96i)."""
     g = table(spark, folder, "modality").where("modality in ('state', 'action')").select("dataset_id", "modality", "key", (F.col("end") - F.col("start")).alias("w")).distinct()
-    g = g.join(F.broadcast(_info(spark, folder).select("dataset_id", "robot")), "dataset_id")
+    g = g.join(small_side(_info(spark, folder).select("dataset_id", "robot")), "dataset_id")
     return g.groupBy("robot", "modality").agg(F.sum(F.when(F.col("modality") == "state", 2 * F.col("w")).otherwise(F.col("w"))).alias("dims"), F.count_distinct("dataset_id").alias("n"))
 
 
@@ -249,7 +250,7 @@ select e.dataset_id, count(*) total_episodes, sum("length")::bigint total_frames
 def summary_update(spark: SparkSession, folder: str) -> DataFrame:
     """Totals of each data set from its episodes (96g)."""
     cams = table(spark, folder, "modality").where("modality = 'video'").groupBy("dataset_id").agg(F.count_distinct("original_key").alias("cams"))
-    eps = _episodes(spark, folder).join(F.broadcast(cams), "dataset_id", "left").fillna(0, ["cams"])
+    eps = _episodes(spark, folder).join(small_side(cams), "dataset_id", "left").fillna(0, ["cams"])
     return maintenance.summary(eps, 50, F.col("cams"))
 
 
@@ -306,7 +307,7 @@ select dataset_id, file, episode_index, round((u - l) / fps, 6) start_s, round(u
 )
 def segment_plan(spark: SparkSession, folder: str) -> DataFrame:
     """Where episodes lie within files that hold three (30, 20)."""
-    x = _episodes(spark, folder).join(F.broadcast(_info(spark, folder).where("fps > 0")), "dataset_id").withColumn("file", F.expr("episode_index div 3"))
+    x = _episodes(spark, folder).join(small_side(_info(spark, folder).where("fps > 0")), "dataset_id").withColumn("file", F.expr("episode_index div 3"))
     out = maintenance.segments(x.withColumn("fps", F.col("fps").cast("double")), ["dataset_id", "file", "fps"], "episode_index", "length", F.col("fps")).drop("fps")
     return out.select("dataset_id", "file", "episode_index", *[F.round(c, 6).alias(c) for c in ("start_s", "end_s", "duration_s")])
 
@@ -367,5 +368,5 @@ def dimension_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """Lookups of small dimensions, unknown keys kept (73, 74)."""
     n, r = table(spark, folder, "nation"), table(spark, folder, "region")
     c = table(spark, folder, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("c_custkey").alias("n"))
-    out = n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"], "left").join(c, "n_nationkey", "left")
+    out = n.join(small_side(r), n["n_regionkey"] == r["r_regionkey"], "left").join(c, "n_nationkey", "left")
     return out.groupBy("n_name", "r_name").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from trajspark.functions import arrays
 from trajspark.operators import evaluation, joins, stats, windows
 from trajspark.plans.records import EPISODE, FRAME, frame_records, in_order, live_episodes
+from trajspark.plans.sizes import small_side
 from trajspark.plans.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -106,7 +107,7 @@ select f.dataset_id, episode_index, frame_index, key as "group", generate_subscr
 def group_slice(spark: SparkSession, folder: str) -> DataFrame:
     """A named slice of the state vector of each record (40)."""
     g = table(spark, folder, "modality").where("modality = 'state' and key = 'gripper'").select("dataset_id", F.col("key").alias("group"), "start", F.col("end").alias("stop")).distinct()
-    rows = _records(spark, folder, "observation.state").join(F.broadcast(g), "dataset_id")
+    rows = _records(spark, folder, "observation.state").join(small_side(g), "dataset_id")
     return rows.select(*FRAME, "group", F.posexplode(arrays.group_slice(F.col("state"), F.col("start"), F.col("stop"))).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
 
 
@@ -181,7 +182,7 @@ select f.dataset_id, count(*) n, count(*) filter (abs(ts - round_even(ts * fps,
 def frame_snap(spark: SparkSession, folder: str) -> DataFrame:
     """Timestamps snapped to the nearest frame, half to even, with how many are off by 1 % of a frame (14, 20)."""
     fps = table(spark, folder, "info").where("fps > 0").groupBy("dataset_id").agg(F.max_by("fps", "revision").alias("fps"))
-    rows = _records(spark, folder, "timestamp").withColumn("ts", F.col("ts").cast("double")).join(F.broadcast(fps), "dataset_id")
+    rows = _records(spark, folder, "timestamp").withColumn("ts", F.col("ts").cast("double")).join(small_side(fps), "dataset_id")
     k = F.bround(F.col("ts") * F.col("fps"), 0)
     return rows.groupBy("dataset_id").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("ts") - k / F.col("fps")) * F.col("fps") >= 0.01).alias("off"), F.count_if(k != F.col("frame_index")).alias("moved"))
 

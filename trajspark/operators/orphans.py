@@ -38,12 +38,12 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 pos, alive, arrived = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
             bits, some, live = KeyBits.of(at), KeyBits.of(pos), KeyBits.of(pos[alive])
-            times = np.zeros(RANGE, np.int64)  # aligned with the set bits of `live`
-            times[pos[alive]] = arrived[alive]
-            asked = np.full(RANGE, np.iinfo(np.int64).max)
-            np.minimum.at(asked, at, first)
+            # times aligned with the set bits: one entry a key on either side, by position
+            i, j = np.argsort(at), np.argsort(pos[alive])
             met = bits.both(live).decode()
-            late = met[times[met] > asked[met]]
+            lives = arrived[alive][j][np.searchsorted(pos[alive][j], met)]
+            slow = lives > first[i][np.searchsorted(at[i], met)]
+            late, times = met[slow], lives[slow]
             base = b.column(2)[row].as_py() * RANGE
             for state, keys in (("missing", bits.and_not(some).decode()), ("deleted", bits.both(some).and_not(live).decode()), ("late", late)):
                 n = len(keys)
@@ -52,7 +52,7 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out["period"] += [b.column(3)[row].as_py()] * n
                 out["code"] += (keys.astype(np.int64) + base).tolist()
                 out["state"] += [state] * n
-                out["live_at"] += times[keys].tolist() if state == "late" else [None] * n
+                out["live_at"] += times.tolist() if state == "late" else [None] * n
         yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("relation", pa.string()), ("dataset_id", pa.string()), ("code", pa.int64()), ("period", pa.string()), ("state", pa.string()), ("live_at", pa.int64())]))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions.text import portable_hash
+from trajspark.plans.sizes import small_side
 
 
 def shuffled_steps(lengths: DataFrame, keys: list[str], length: str, splits: int, seed: int = 0) -> DataFrame:
@@ -40,29 +41,39 @@ def balance(parts: list[tuple], shards: int) -> list[int]:
     return out
 
 
-def assign_shards(lengths: DataFrame, keys: list[str], length: str, rate: float, shard_size: int, seed: int = 0) -> DataFrame:
+#: Parts balanced in one task; a source with more is cut into blocks of its seeded order, each
+#: balanced over its own shards.
+PARTS_AT_ONCE = 1_000_000
+
+
+def assign_shards(lengths: DataFrame, keys: list[str], length: str, rate: float, shard_size: int, seed: int = 0, at_once: int = PARTS_AT_ONCE) -> DataFrame:
     """(source, keys, split, n_steps, shard): parts of the sequences dealt to balanced shards per source.
 
-    `lengths`: source, keys, sequence (a number), length. A rate of 1/k cuts each sequence into k
-    parts; parts go in seeded order. Balancing is sequential by definition: it runs per source over
-    one small row a part, grouped, so sources are worked through in parallel.
+    `lengths`: keys (the source first), sequence (a number), length. A rate of 1/k cuts each sequence
+    into k parts; parts go in seeded order. Balancing is sequential by definition: it runs per source
+    over one small row a part, at most about `at_once` of them in a task.
     """
     import pandas as pd
 
-    splits = max(1, int(1 / rate))
+    splits, source = max(1, int(1 / rate)), keys[0]
     n = F.col(length).cast("bigint")
-    parts = lengths.where(n > 0).withColumn("split", F.explode(F.sequence(F.lit(0), F.least(F.lit(splits), n) - 1)))
-    parts = parts.withColumn("n_steps", F.floor((n - F.col("split") + splits - 1) / splits)).withColumn("h", portable_hash(F.col("sequence"), seed))
+    parts = lengths.where(n > 0).withColumn("split", F.explode(F.sequence(F.lit(0), F.least(F.lit(splits), n).cast("int") - 1)))
+    parts = parts.withColumn("n_steps", F.floor((n - F.col("split") + splits - 1) / splits)).withColumn("_h", portable_hash(F.col("sequence"), seed))
+    sizes = parts.groupBy(source).agg(F.ceil(F.count("*") / at_once).alias("_blocks"))
+    parts = parts.join(small_side(sizes), source).withColumn("_block", F.floor(F.col("_h") * F.col("_blocks") / (1 << 32)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "sequence", "split"])
+        pdf = pdf.sort_values(["_h", "sequence", "split"])
         shards = shard_count(int(pdf["n_steps"].sum()), shard_size, len(pdf))
-        return pdf.assign(shard=balance([(x,) for x in pdf["n_steps"].tolist()], shards))[[*keys, "split", "n_steps", "shard"]]
+        return pdf.assign(shard=balance([(x,) for x in pdf["n_steps"].tolist()], shards))[[*keys, "split", "n_steps", "_block", "shard"]]
 
     kinds = dict(lengths.dtypes)
     ddl = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    cols = [*keys, "sequence", "split", "n_steps", "h"]
-    return parts.select(*cols).groupBy(keys[0]).applyInPandas(run, f"{ddl}, split int, n_steps long, shard int")
+    dealt = parts.select(*keys, "sequence", "split", "n_steps", "_h", "_block").groupBy(source, "_block").applyInPandas(run, f"{ddl}, split int, n_steps long, _block long, shard int")
+    first = dealt.groupBy(source, "_block").agg((F.max("shard") + 1).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(source).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = first.withColumn("_before", before).drop("_n")
+    return dealt.join(first, [source, "_block"]).withColumn("shard", (F.col("shard") + F.col("_before")).cast("int")).select(*keys, "split", "n_steps", "shard")
 
 
 def mixture_weights(sources: DataFrame, group: str, size: str, ratio: str) -> DataFrame:
@@ -96,9 +107,14 @@ def schedule(sources: DataFrame, key: str, weight: str, shards: str, draws: int,
 
 
 def evaluation_schedule(sources: DataFrame, key: str, shards: str) -> DataFrame:
-    """Every shard of every source once, in order: (position, key, shard)."""
-    all_ = sources.select(key, F.explode(F.sequence(F.lit(0), F.col(shards).cast("int") - 1)).alias("shard"))
-    return all_.withColumn("position", F.row_number().over(Window.orderBy(key, "shard")) - 1)
+    """Every shard of every source once, in order: (position, key, shard).
+
+    Only the sources (one row each) are put in order; their shards are numbered from running totals.
+    """
+    n = F.col(shards).cast("bigint")
+    before = F.coalesce(F.sum(n).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = sources.where(n > 0).select(key, before.alias("_before"), n.cast("int").alias("_n"))
+    return counted.select(key, "_before", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("shard")).select((F.col("_before") + F.col("shard")).alias("position"), key, "shard")
 
 
 def partition_of(position: Column, ranks: int, workers: int) -> tuple[Column, Column]:
