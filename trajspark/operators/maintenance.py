@@ -86,3 +86,40 @@ def episode_files(frames: DataFrame, chunks_size: int) -> DataFrame:
 def renumbered(df: DataFrame, keys: list[str], episode: str, order: str) -> DataFrame:
     """Episodes numbered 0, 1, .. without gaps per key, and rows numbered through the key."""
     return df.withColumn("new_episode", F.dense_rank().over(Window.partitionBy(*keys).orderBy(episode)) - 1).withColumn("new_index", F.row_number().over(Window.partitionBy(*keys).orderBy(episode, order)) - 1)
+
+
+def template_faults(template: dict, state_dim: int, action_dim: int) -> list[str]:
+    """What is wrong with a modality template: missing sections, state slices beyond the vector, action
+    slices that don't cover theirs without gaps."""
+    out = [f"section {s} is missing" for s in ("state", "action", "video", "annotation") if s not in template]
+    ends = [g["end"] for g in template.get("state", {}).values()]
+    if ends and max(ends) > state_dim:
+        out.append(f"state slices reach {max(ends)} of {state_dim}")
+    at = 0
+    for start, end in sorted((g["start"], g["end"]) for g in template.get("action", {}).values()):
+        if start != at:
+            out.append(f"action slices break at {at}")
+        at = end
+    if at != action_dim and "action" in template:
+        out.append(f"action slices cover {at} of {action_dim}")
+    return out
+
+
+def deploy(spark, root: str, template: dict) -> tuple[list[str], dict[str, list[str]]]:
+    """Writes a template to every data set under `root` whose vectors it fits: (written, faults by data set)."""
+    import json
+
+    from trajspark.operators.stats import read_json, write_json
+    from trajspark.sources.datasets import discover
+
+    done, bad = [], {}
+    for row in discover(spark, root).orderBy("dataset").toLocalIterator():
+        at = row["dataset"].removeprefix("file:")
+        feats = read_json(f"{at}/meta/info.json").get("features", {})
+        dims = [int((feats.get(k, {}).get("shape") or [0])[0]) for k in ("observation.state", "action")]
+        if found := template_faults(template, *dims):
+            bad[at] = found
+        else:
+            write_json(f"{at}/meta/modality.json", json.loads(json.dumps(template)))
+            done.append(at)
+    return done, bad
