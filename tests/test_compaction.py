@@ -5,7 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from trajspark.operators.compaction import bins, compact, contributions, list_files, treatment
+from trajspark.operators.compaction import bins, compact, consolidate, contributions, list_files, treatment
 from trajspark.sources.parquet_blocks import concat_files, read_footer
 
 FRAMES = "dataset_id string, episode_index long, frame_index long, data_path string, received_at timestamp"
@@ -76,3 +76,24 @@ def test_bins(spark):
     df = spark.createDataFrame([("d", f"x/{i:03d}", 10) for i in range(20)], "dataset_id string, data_path string, n long")
     sizes = [r["count"] for r in bins(df, "n", 50).groupBy("bin").count().collect()]
     assert sizes == [5, 5, 5, 5]
+
+
+def test_every_record_once_in_the_consolidated_files(spark, tmp_path):
+    t = lambda d: D(2024, 1, d)
+    files = [("a", "data", "p1", t(3), 3), ("a", "data", "p2", t(1), 2), ("a", "data", "p3", t(4), None), ("b", "data", "p1", t(9), 1)]
+    rows = [("a", 1, 0, "p2"), ("a", 1, 1, "p2"), ("a", 1, 1, "p1"), ("a", 1, 2, "p1"), ("a", 1, 2, ".//p1"), ("a", 1, 0, "p3"), ("a", 1, 2, "p3"), ("a", 1, 40000, "p1"), ("b", 1, 0, "p1"), ("a", 2, 0, "unlisted"), ("a", 1, 0, "unlisted"), ("a", 3, 7, None), ("a", None, 0, "p3"), (None, 1, 0, "p3")]
+    rows += [("a", 5, i, "p1") for i in range(100)] + [("a", 5, i, "p3") for i in range(50, 170)]
+    df = spark.createDataFrame([(*r, t(1)) for r in rows], FRAMES)
+    done = consolidate(df, spark.createDataFrame(files, FILES), str(tmp_path / "out")).collect()
+    got = [(r[0], r[1], r[2], (r[3] or "").replace(".//", "")) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    want = {("a", 1, 0): "p2", ("a", 1, 1): "p2", ("a", 1, 2): "p1", ("a", 1, 40000): "p1", ("b", 1, 0): "p1", ("a", 2, 0): "unlisted", ("a", 3, 7): ""} | {("a", 5, i): "p1" if i < 100 else "p3" for i in range(170)}
+    assert len(got) == len(want) and {r[:3]: r[3] for r in got} == want
+    assert sum(r["n_rows"] for r in done) == len(want) and all(r["ok"] for r in done)
+    assert sum(r["n_rows"] for r in consolidate(df.where("false"), spark.createDataFrame([], FILES), str(tmp_path / "none")).collect()) == 0
+
+
+def test_p5_compact_holds_the_distinct_records(spark, data):
+    from trajspark.catalog.problems import p5_compact
+
+    n = spark.read.parquet(f"{data}/frames.parquet").select("dataset_id", "episode_index", "frame_index").dropna().distinct().count()
+    assert sum(r["n_rows"] for r in p5_compact(spark, data).collect()) == n

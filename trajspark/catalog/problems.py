@@ -46,11 +46,11 @@ def p5_plan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_compact(spark: SparkSession, folder: str) -> DataFrame:
-    """The stored files of the frames table copied, block by block, into files of 128 MB in the shared folder."""
+    """The consolidated files, of 128 MB in the shared folder: every frame record exactly once, which is checked."""
     import uuid
 
     to = f"{shared_folder(spark).rstrip('/')}/compact-{uuid.uuid4().hex}"
-    done = compaction.compact(compaction.list_files(spark, f"{folder}/frames.parquet"), to)
+    done = compaction.consolidate(table(spark, folder, "frames"), table(spark, folder, "stored_files"), to)
     return done.select("n_files", "n_rows", "n_blocks", "n_bytes", "ok")
 
 

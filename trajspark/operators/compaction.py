@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions.paths import plain_path
+from trajspark.plans.shared import cut
 from trajspark.sources.parquet_blocks import concat_files, read_footer
 
 
@@ -141,3 +142,75 @@ def compact(files: DataFrame, folder: str, target: int = 128 << 20) -> DataFrame
     binned = foot.withColumn("spread", spread).withColumn("bin", F.floor((F.sum("n_bytes").over(w) - F.col("n_bytes")) / F.lit(target)))
     jobs = binned.groupBy(F.concat_ws("-", "schema_id", "spread", "bin").alias("name")).agg(F.collect_list("path").alias("paths"), F.sum("n_rows").alias("n_rows"), F.sum("n_blocks").alias("n_blocks"))
     return jobs.select("name", "paths", "n_rows", "n_blocks").mapInArrow(_copy(folder), "out_path string, n_files long, n_rows long, n_blocks long, n_bytes long, ok boolean")
+
+
+KEYS = ["dataset_id", "episode_index", "frame_index"]
+
+
+def _listed(files: DataFrame) -> DataFrame:
+    return (
+        files.where("kind = 'data' and dataset_id is not null and path is not null")
+        .groupBy("dataset_id", plain_path(F.col("path")).alias("file"))
+        .agg(F.min("received_at").alias("listed_at"))
+    )
+
+
+def _bitmaps(rows: DataFrame, *keys: str) -> DataFrame:
+    """Per `keys`, episode and bucket of frame indexes: the bitmap of the frames held and the rows."""
+    return rows.groupBy(*keys, "episode_index", F.expr("bitmap_bucket_number(frame_index + 1)").alias("bucket")).agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(frame_index + 1))").alias("bits"), F.count("*").alias("n_rows")
+    )
+
+
+def kept_rows(frames: DataFrame, files: DataFrame) -> DataFrame:
+    """The rows of `frames` that the consolidated files hold: every frame record once, all columns as stored.
+
+    As in `contributions`, a record stays in the file that was received first; files that aren't listed
+    (or rows without a path) come last, so that records held only there are kept too. Rows of files to
+    drop are left out, rows of files to copy pass as they are, and of a file to rewrite those pass that no
+    earlier file holds, once each (the row received first). Rows with a null key are no frame records. The
+    result lies in pieces of 64 episodes, in order.
+    """
+    rows = frames.where(" and ".join(f"{k} is not null" for k in KEYS))
+    rows = rows.withColumn("file", F.coalesce(plain_path(F.col("data_path")), F.lit("")))
+    held = _bitmaps(rows, "dataset_id", "file").join(_listed(files), ["dataset_id", "file"], "left")
+    order = Window.partitionBy("dataset_id", "episode_index", "bucket").orderBy(F.col("file") == "", F.isnull("listed_at"), "listed_at", "file")
+    earlier = F.expr("bitmap_or_agg(bits)").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    upto = F.bitmap_count(F.expr("bitmap_or_agg(bits)").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ranked = held.withColumn("earlier", earlier).withColumn("n_new", upto - F.coalesce(F.bitmap_count("earlier"), F.lit(0)))
+    ranked = ranked.where("n_new > 0").withColumn("whole", F.col("n_new") == F.col("n_rows"))
+    # what passes as it is needs no bitmap in the join
+    parts = ranked.select("dataset_id", "file", "episode_index", "bucket", "whole", F.when(~F.col("whole"), F.col("earlier")).alias("earlier"))
+    at = F.expr("bitmap_bit_position(frame_index + 1)")
+    byte = F.conv(F.hex(F.substring(F.col("earlier"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+    new = F.col("whole") | F.col("earlier").isNull() | (F.getbit(byte, (at % 8).cast("int")) == 0)
+    kept = rows.withColumn("bucket", F.expr("bitmap_bucket_number(frame_index + 1)")).join(parts, ["dataset_id", "file", "episode_index", "bucket"]).where(new)
+    # one shuffle: pieces of whole episodes, in which the window finds its groups and its order
+    once = Window.partitionBy("dataset_id", "piece", "episode_index", "frame_index").orderBy("received_at", "data_path")
+    pieces = kept.withColumn("piece", F.expr("episode_index div 64")).repartition("dataset_id", "piece")
+    return pieces.withColumn("nth", F.row_number().over(once)).where("nth = 1").select(*[f"`{c}`" for c in frames.columns])
+
+
+def n_records(frames: DataFrame) -> tuple[int, int]:
+    """(rows, distinct frame records) of the rows that are frame records."""
+    rows = frames.where(" and ".join(f"{k} is not null" for k in KEYS))
+    r = _bitmaps(rows, "dataset_id").agg(F.coalesce(F.sum("n_rows"), F.lit(0)), F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0))).first()
+    return r[0], r[1]
+
+
+def consolidate(frames: DataFrame, files: DataFrame, folder: str, target: int = 128 << 20) -> DataFrame:
+    """Carries out the plan: files of about `target` bytes in `folder` that hold every frame record exactly once.
+
+    The small files are rows of `frames` here, so the rows that stay are first written, sorted by episode,
+    as one file a task, and these are put together by copying their blocks. The outputs' rows and distinct
+    records are counted again; unless both equal the distinct records of `frames`, it is an error.
+    """
+    spark = frames.sparkSession
+    staged = f"{folder}-parts"
+    kept_rows(frames, files).write.parquet(staged)
+    done = cut(compact(list_files(spark, staged), folder, target))
+    want = n_records(frames)[1]
+    got = n_records(spark.read.schema(frames.schema).parquet(folder)) if want else (0, 0)
+    if got != (want, want):
+        raise ValueError(f"{want} frame records, but {got[0]} rows with {got[1]} frame records in the consolidated files")
+    return done
