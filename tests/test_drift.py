@@ -4,7 +4,7 @@ from datetime import datetime as D
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from trajspark.operators.drift import compare, fingerprint, flatten, revisions, schema_changes, unified
+from trajspark.operators.drift import LAYOUT, compare, fingerprint, flatten, migration, revisions, schema_changes, unified
 from trajspark.plans.shared import cut
 
 FILES = "dataset_id string, revision int, file_path string, received_at timestamp, body string"
@@ -56,3 +56,35 @@ def test_one_table(spark):
     assert "robot -> embodiment" in got[0]["steps"] and "embodiment -> robot_type" in got[0]["steps"]
     assert (got[1]["robot_type"], got[1]["total_frames"], got[1]["uncast"], got[1]["mask_path"]) == ("y", None, ["total_frames"], "m")
     assert got[2]["chunks_size"] == 1000 and got[2]["uncast"] == []
+
+
+def test_no_field_is_lost(spark):
+    bodies = [
+        {"robot": "x", "total_frames": "many", "features": {"index": {"shape": [1], "names": None}, "action": {"shape": [6], "names": ["a", "b"]}}, "new": {"deep": {"x": 2.5}}},
+        {"robot": "x", "robot_type": "y", "kind_of_robot": "z", "action": []},
+        {"features": {"action": {"shape": ["six", 7]}}},
+    ]
+    df = spark.createDataFrame([("a", i, "f", D(2024, 1, 1), json.dumps(b)) for i, b in enumerate(bodies)], FILES)
+    got = {r["revision"]: r for r in unified(revisions(df)).collect()}
+    assert got[0]["other"] == {"total_frames": '"many"', "features/index/shape": "[1]", "features/index/names": "null", "features/action/names": '["a", "b"]', "new/deep/x": "2.5"}
+    assert (got[0]["robot_type"], got[0]["action_shape"], got[0]["uncast"]) == ("x", [6], ["total_frames"])
+    assert got[1]["other"] == {"embodiment": '"x"', "kind_of_robot": '"z"', "action": "[]"} and got[1]["robot_type"] == "y"
+    assert got[2]["uncast"] == ["action_shape"] and got[2]["other"] == {"features/action/shape": '["six", 7]'}
+
+
+def test_every_field_of_the_data_is_in_the_table(spark, data):
+    valid = cut(revisions(spark.read.parquet(f"{data}/info_files.parquet")))
+    paths = {path for _, path, _, _ in LAYOUT}
+    got = {(r["dataset_id"], r["revision"]): r for r in unified(valid).collect()}
+    for r in valid.collect():
+        row, renamed = got[r["dataset_id"], r["revision"]], dict(s.split(" -> ") for s in got[r["dataset_id"], r["revision"]]["steps"])
+        for f in r["fields"]:
+            path = f["path"]
+            while path in renamed:
+                path = renamed[path]
+            assert row["other"].get(path) == f["value"] or path in paths and path not in row["other"]
+
+
+def test_steps_are_chosen_by_schema():
+    assert migration(frozenset({"a", "x"}), [("a", "b"), ("b", "c"), ("x", "c")]) == [("a", "b"), ("b", "c")]
+    assert migration(frozenset({"a", "b"}), [("a", "b")]) == []

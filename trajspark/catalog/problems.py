@@ -63,9 +63,9 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_table(spark: SparkSession, folder: str) -> DataFrame:
-    """All revisions in one layout; arrays as text."""
-    t = drift.unified(_valid(spark, folder))
-    return t.select(*[F.to_json(c).alias(c) if k.startswith("array") else c for c, k in t.dtypes])
+    """All revisions in one layout, with the fields outside it in `other`; arrays and maps as text."""
+    t = drift.unified(_valid(spark, folder)).withColumn("other", F.map_from_entries(F.array_sort(F.map_entries("other"))))
+    return t.select(*[F.to_json(c).alias(c) if k.startswith(("array", "map")) else c for c, k in t.dtypes])
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_report, p5_found, p5_plan, p5_compact, p7_found, p7_table)}

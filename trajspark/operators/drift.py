@@ -175,29 +175,49 @@ RENAMES = [
 ]
 
 
+def migration(paths: frozenset[str], renames: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The steps that files of one schema take: each (old path, new path) that applies, in order."""
+    there, steps = set(paths), []
+    for old, new in renames:
+        if old in there and new not in there:
+            there.remove(old)
+            there.add(new)
+            steps.append((old, new))
+    return steps
+
+
+#: Schemas whose steps a task remembers; beyond that they are found anew.
+MOST_SCHEMAS = 4096
+
+
 def _route(renames: list[tuple[str, str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.map_(pa.string(), pa.string())
+        by_print: dict[str, list[tuple[str, str]]] = {}
         for b in batches:
-            maps, steps = [], []
-            for fields in b.column(3).to_pylist():
-                m, taken = {f["path"]: f["value"] for f in fields}, []
-                for old, new in renames:
-                    if old in m and new not in m:
-                        m[new] = m.pop(old)
-                        taken.append(f"{old} -> {new}")
+            maps, taken = [], []
+            for print_, fields in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if (steps := by_print.get(print_)) is None:
+                    if len(by_print) >= MOST_SCHEMAS:
+                        by_print.clear()
+                    steps = by_print[print_] = migration(frozenset(f["path"] for f in fields), renames)
+                m = {f["path"]: f["value"] for f in fields}
+                for old, new in steps:
+                    m[new] = m.pop(old)
                 maps.append(list(m.items()))
-                steps.append(taken)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(maps, kind), pa.array(steps, pa.list_(pa.string()))], names=["dataset_id", "revision", "fingerprint", "m", "steps"])
+                taken.append([f"{old} -> {new}" for old, new in steps])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(maps, kind), pa.array(taken, pa.list_(pa.string()))], names=["dataset_id", "revision", "fingerprint", "m", "steps"])
 
     return run
 
 
 def unified(valid: DataFrame, renames: list[tuple[str, str]] = RENAMES) -> DataFrame:
-    """One consistent table of all revisions, in the columns of LAYOUT, beside the steps each took.
+    """One consistent table of all revisions: the columns of LAYOUT, all `other` fields, the steps each took.
 
-    Each row's map of fields is routed through the renames, then defaults, then casts; a value that
-    can't be cast is null and named in `uncast`. A number where the layout has an array is wrapped.
+    The fingerprint of a revision decides the renames its map of fields is routed through; defaults and
+    casts follow. `other` holds the fields that no column of LAYOUT does, path to JSON text, so none is
+    lost; a path renamed in a way RENAMES doesn't know stays there under its own name. A value that can't be
+    cast is null, named in `uncast`, and kept in `other` too. A number where the layout has an array is wrapped.
     A version that is a number is written like the others (2.1 as v2.1).
     """
     routed = valid.select("dataset_id", "revision", "fingerprint", "fields").mapInArrow(
@@ -215,5 +235,9 @@ def unified(valid: DataFrame, renames: list[tuple[str, str]] = RENAMES) -> DataF
         else:
             value = text.try_cast(kind)
         cols.append(value.alias(name))
-        failed.append(F.when(text.isNotNull() & value.isNull(), F.lit(name)))
-    return routed.select("dataset_id", "revision", "fingerprint", *cols, "steps", F.array_compact(F.array(*failed)).alias("uncast"))
+        bad = value.isNull() | F.exists(value, lambda x: x.isNull()) if kind == "array<int>" else value.isNull()
+        failed.append(F.when(text.isNotNull() & bad, F.lit(name)))
+    uncast = F.array_compact(F.array(*failed))
+    column_of = F.create_map(*[F.lit(x) for name, path, _, _ in LAYOUT for x in (path, name)])
+    other = F.map_filter("m", lambda path, _: column_of[path].isNull() | F.array_contains(uncast, column_of[path]))
+    return routed.select("dataset_id", "revision", "fingerprint", *cols, other.alias("other"), "steps", uncast.alias("uncast"))
