@@ -68,6 +68,18 @@ def test_each_kind_of_case(spark):
     assert all(want[k] in got[k] for k in want)
 
 
+def test_the_whole_source_says_what_rests_by_habit(spark):
+    """A short last piece that is stuck for most of its steps; a dimension that rests everywhere."""
+
+    def change(d, e, x, y):
+        x[:, 1] = np.repeat(x[::20, 1], 20)[: len(x)] if d == "a" else x[:, 1]
+        if e == 64:
+            y[5:25, 0] = y[5, 0]
+
+    got = _found(_table(spark, change, ((65, 40),)))
+    assert got == {("a", 64, i, "action", 0): {"stuck"} for i in range(6, 25)}
+
+
 def test_long_episodes_are_cut_into_blocks_without_a_trace(spark):
     def change(d, e, x, y):
         if e == 0:

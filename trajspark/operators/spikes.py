@@ -4,7 +4,7 @@ One pass over the frame records, cut into pieces (see plans.pieces), does two th
 each piece's normal behaviour (quantiles of values and of steps), and it runs one chart per
 episode and dimension: the chart's level follows the readings with clipped updates, so suspected
 values hardly move it, and its scale is an exponentially weighted mean of clipped residuals.
-Readings outside the chart's limits, runs of equal readings, readings outside wide physical limits
+Readings outside the chart's limits, runs of equal readings (by start and end), readings outside wide physical limits
 and readings that are not finite become candidates. The pieces' measurements are then combined
 into one profile per source and dimension (weighted medians, so a bad piece cannot spoil it) and
 each candidate is judged by that profile.
@@ -34,6 +34,7 @@ class SpikeRules:
     beyond: how far outside the 1 % to 99 % range, in widths of it, a reading is out of limits.
     level, spread: weights of the newest reading in the chart's mean and scale.
     limits: chart limits in scales.
+    habit: share of a dimension's steps in long runs, over the whole source, from which they are its habit.
     """
 
     jump: float = 4.0
@@ -44,6 +45,7 @@ class SpikeRules:
     level: float = 0.85
     spread: float = 0.05
     limits: float = 5.0
+    habit: float = 0.3
 
 
 OUT = T.StructType(
@@ -64,6 +66,10 @@ OUT = T.StructType(
         T.StructField("inner_hi", T.DoubleType()),
         T.StructField("step", T.DoubleType()),
         T.StructField("equal", T.DoubleType()),
+        T.StructField("last", T.LongType()),
+        T.StructField("n_steps", T.LongType()),
+        T.StructField("n_equal", T.LongType()),
+        T.StructField("n_stuck", T.LongType()),
     ]
 )
 
@@ -142,14 +148,12 @@ def _piece(values: np.ndarray, there: np.ndarray, ep: np.ndarray, fr: np.ndarray
         equal[1:] = next_to[1:] & (values[1:, k] == values[:-1, k])
         i, j = _runs(equal)
         long = (j - i + 1) >= r.stuck
-        # long runs are left out of the share of equal neighbours unless they are its habit
+        # long runs are left out of the share of equal neighbours; whether they are the dimension's
+        # habit is for the whole source to say, so all of them go on
         stuck = int((j[long] - i[long]).sum())
-        share = (len(s) - len(moved) - stuck) / max(1, len(s) - stuck)
-        habit = (len(s) - len(moved)) / max(1, len(s))
-        share = share if stuck < 0.3 * max(1, len(s)) else habit
-        if share < 3 * r.changing:  # a dimension that rests by habit has no stuck readings
-            runs_of[k] = (i[long], j[long])
-        add("profile", k, n=len(v), lo=lo, hi=hi, inner_lo=a, inner_hi=b, step=p99, equal=share)
+        share = (len(s) - len(moved) - stuck) / (len(s) - stuck) if len(s) > stuck else None
+        runs_of[k] = (i[long], j[long])
+        add("profile", k, n=len(v), lo=lo, hi=hi, inner_lo=a, inner_hi=b, step=p99, equal=share, n_steps=len(s), n_equal=len(s) - len(moved), n_stuck=stuck)
     wide = finite.any(0)
     # not finite: the vector is there and long enough to hold the dimension
     expected = int(np.bincount(widths[there].astype(int)).argmax()) if there.any() else 0
@@ -193,9 +197,9 @@ def _piece(values: np.ndarray, there: np.ndarray, ep: np.ndarray, fr: np.ndarray
                 _excursion(v, e, good, a, b, int(k), own, scale[k], r, add)
     for k, (i, j) in runs_of.items():
         for a, b in zip(i.tolist(), j.tolist()):
-            for x in range(a, b):
-                if own[x]:
-                    add("stuck", int(k), x, value=float(values[x, k]), frames=b - a + 1)
+            mine = np.flatnonzero(own[a:b])  # without a gap, as a run's frames follow each other
+            if len(mine):
+                add("stuck", int(k), a + int(mine[0]), last=int(fr[a + mine[-1]]), frames=b - a + 1)
 
 
 def _excursion(v, e, good, a, b, k, own, scale, r, add) -> None:
@@ -228,7 +232,7 @@ def _scan(fields: list[str], r: SpikeRules, before: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in OUT.fields]
         rows: dict[str, list] = {c: [] for c in names}
-        schema = pa.schema([("kind", pa.string()), ("dataset_id", pa.string()), ("field", pa.string()), ("dim", pa.int32()), ("episode_index", pa.int64()), ("frame_index", pa.int64()), ("value", pa.float64()), ("departure", pa.float64()), ("frames", pa.int32()), ("n", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64()), ("inner_lo", pa.float64()), ("inner_hi", pa.float64()), ("step", pa.float64()), ("equal", pa.float64())])
+        schema = pa.schema([("kind", pa.string()), ("dataset_id", pa.string()), ("field", pa.string()), ("dim", pa.int32()), ("episode_index", pa.int64()), ("frame_index", pa.int64()), ("value", pa.float64()), ("departure", pa.float64()), ("frames", pa.int32()), ("n", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64()), ("inner_lo", pa.float64()), ("inner_hi", pa.float64()), ("step", pa.float64()), ("equal", pa.float64()), ("last", pa.int64()), ("n_steps", pa.int64()), ("n_equal", pa.int64()), ("n_stuck", pa.int64())])
         for t in groups(batches, 3):
             keep = distinct_rows(t)
             t = t.take(pa.array(keep))
@@ -270,9 +274,11 @@ def implausible(frames: DataFrame, fields: list[str], rules: SpikeRules = SpikeR
     profile = (
         found.where("kind = 'profile' and n > 0 and lo is not null and not isnan(lo)")
         .groupBy(*key)
-        .agg(*[med(c) for c in ("lo", "hi", "inner_lo", "inner_hi", "step", "equal")])
+        .agg(*[med(c) for c in ("lo", "hi", "inner_lo", "inner_hi", "step", "equal")], *[F.sum(c).alias(c) for c in ("n_steps", "n_equal", "n_stuck")])
+        .withColumn("equal", F.when(F.col("n_stuck") >= rules.habit * F.col("n_steps"), F.col("n_equal") / F.greatest(F.lit(1), "n_steps")).otherwise(F.col("equal")))
+        .drop("n_steps", "n_equal", "n_stuck")
     )
-    hits = found.where("kind <> 'profile'").select(*key, "kind", "episode_index", "frame_index", "value", "departure", "frames")
+    hits = found.where("kind <> 'profile'").select(*key, "kind", "episode_index", "frame_index", "value", "departure", "frames", "last")
     r, wide = rules, F.col("hi") - F.col("lo")
     outside = (F.col("value") < F.col("lo") - r.beyond * wide) | (F.col("value") > F.col("hi") + r.beyond * wide)
     keep = (
@@ -285,6 +291,7 @@ def implausible(frames: DataFrame, fields: list[str], rules: SpikeRules = SpikeR
     return (
         hits.join(small_side(profile), key, "left")
         .where(keep)
+        .withColumn("frame_index", F.explode(F.sequence("frame_index", F.coalesce("last", "frame_index"))))
         .groupBy("dataset_id", "episode_index", "frame_index", "field", "dim")
         .agg(F.sort_array(F.collect_set("kind")).alias("reasons"))
         .withColumn("field", names[F.col("field")])
