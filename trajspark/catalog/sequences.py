@@ -1,6 +1,6 @@
 """Queries over the ordered frame records: scans, joins, windows, errors, rollouts."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions import arrays
@@ -97,6 +97,22 @@ def stats_relative_chunk(spark: SparkSession, folder: str) -> DataFrame:
     return _round(stats.step_statistics(rel, ["dataset_id"], "chunk"), *stats.SIX, digits=4)
 
 
+def _wide(v: Column, width: Column) -> Column:
+    """A vector with nulls up to `width`: state and action of a data set may differ in width."""
+    return F.concat(v.cast("array<double>"), F.array_repeat(F.lit(None).cast("double"), width - F.size(v)))
+
+
+@query(None)  # exact quantiles of every step and dimension are too slow in SQL; tested against brute force
+def stats_relative_chunk_all(spark: SparkSession, folder: str) -> DataFrame:
+    """As stats_relative_chunk, over all dimensions that state and action both have (88, 57)."""
+    rows = _records(spark, folder, "observation.state", "action")
+    n = F.count("*").over(Window.partitionBy(*EPISODE))
+    rows = rows.withColumn("n", n).withColumn("c", windows.chunk(in_order(), F.col("action"), 4)).where("frame_index < n - 3 and state is not null and action is not null")
+    width = lambda v: F.greatest(F.size(v), F.size("state"))
+    rel = rows.select("dataset_id", F.transform("c", lambda v: F.when(v.isNotNull(), arrays.minus(_wide(v, width(v)), _wide(F.col("state"), width(v))))).alias("chunk"))
+    return _round(stats.step_statistics(rel, ["dataset_id"], "chunk"), *stats.SIX, digits=4)
+
+
 # ---------------------------------------------------------------- projections and joins
 
 
@@ -316,6 +332,33 @@ def absolute_chunk(spark: SparkSession, folder: str) -> DataFrame:
     return _sum_chunks(df.withColumn("chunk", windows.absolute_chunk(windows.relative_chunk(F.col("c"), F.col("ref")), F.col("ref"))))
 
 
+def _whole_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """As _vector_chunks, with all dimensions."""
+    rows = _records(spark, folder, "observation.state", "action").where("action is not null and state is not null")
+    rows = rows.select(*FRAME, windows.chunk(in_order(), F.col("action"), 4).alias("c"), F.col("state").alias("ref"))
+    rows = rows.withColumn("width", F.greatest(F.size("ref"), F.array_max(F.transform("c", F.size))))
+    return rows.withColumn("c", F.transform("c", lambda v: _wide(v, F.col("width")))).withColumn("ref", _wide(F.col("ref"), F.col("width")))
+
+
+@query(None)
+def relative_chunk_all(spark: SparkSession, folder: str) -> DataFrame:
+    """As relative_chunk, over all dimensions that state and action both have (104, 117)."""
+    return _sum_chunks(_whole_chunks(spark, folder).withColumn("chunk", windows.relative_chunk(F.col("c"), F.col("ref"))))
+
+
+@query(None)
+def delta_chunk_all(spark: SparkSession, folder: str) -> DataFrame:
+    """As delta_chunk, over all dimensions (105)."""
+    return _sum_chunks(_whole_chunks(spark, folder).withColumn("chunk", windows.delta_chunk(F.col("c"), F.col("ref"))))
+
+
+@query(None)
+def absolute_chunk_all(spark: SparkSession, folder: str) -> DataFrame:
+    """As absolute_chunk, over all dimensions that state and action both have (106)."""
+    df = _whole_chunks(spark, folder).where("not exists(ref, x -> x is not null and (isnan(x) or abs(x) = double('inf')))")
+    return _sum_chunks(df.withColumn("chunk", windows.absolute_chunk(windows.relative_chunk(F.col("c"), F.col("ref")), F.col("ref"))))
+
+
 _PLANS = f"with {SCALAR}, r as (select *, row_number() over ({ORD}) - 1 i, count(*) over ({EP}) n from x), v as (select dataset_id, episode_index, i anchor, i + k step, k, x * (1 + 0.1 * k) p, -k::double g from r, (select unnest(range(8)) k) where i % {{every}} = 0 and i + k < n), o as (select *, row_number() over ({EP}, step order by anchor desc) b, count(*) over ({EP}, step) m from v), z as (select *, exp(0.005 * (least(m, 5) - b)) w from o where b <= 5) select dataset_id, episode_index, step, round(sum(w * p) / sum(w), 4) x, arg_max(g, anchor) gripper from z group by all"
 
 

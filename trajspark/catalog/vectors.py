@@ -143,6 +143,16 @@ def horizon_mask(spark: SparkSession, folder: str) -> DataFrame:
     return g.select("label", F.posexplode(zipped).alias("step", "z")).select("label", "step", "z.mask", F.round(F.col("z.r")[0], 6).alias("first_"))
 
 
+@query(None)
+def horizon_mask_all(spark: SparkSession, folder: str) -> DataFrame:
+    """As horizon_mask, over all chunks of five vectors of a label and all dimensions (46, 47)."""
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    g = _vectors(spark, folder).withColumn("chunk", F.floor(nth / 5)).groupBy("label", "chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "v"))), lambda s: s["v"]).alias("c"))
+    zipped = F.arrays_zip(arrays.pad_rows(F.col("c"), 8, 64).alias("r"), arrays.pad_mask(F.col("c"), 8).alias("mask"))
+    rows = g.select("label", "chunk", F.posexplode(zipped).alias("step", "z"))
+    return rows.select("label", "chunk", "step", "z.mask", F.posexplode("z.r").alias("dim", "x")).withColumn("x", F.round("x", 6))
+
+
 _GROUPS = [("eef", 9), ("gripper", 1), ("joint", 7), ("rest", 47)]
 
 
@@ -294,6 +304,14 @@ def state_dropout(spark: SparkSession, folder: str) -> DataFrame:
     return _vectors(spark, folder).select("vec_id", F.posexplode(excluded(F.slice("v", 1, 4), F.col("vec_id"), 0.3, 7)).alias("dim", "x"))
 
 
+@query(None)
+def state_dropout_all(spark: SparkSession, folder: str) -> DataFrame:
+    """As state_dropout, over all 64 dimensions (143)."""
+    from trajspark.operators.sampling import excluded
+
+    return _vectors(spark, folder).select("vec_id", F.posexplode(excluded(F.col("v"), F.col("vec_id"), 0.3, 7)).alias("dim", "x"))
+
+
 @query(f"with {EMB}, q as (select vec_id, label, v[1:5] arm, v[6:6] gripper, v[7:13] joint from x) select vec_id, label, list_sum(arm) arm, list_sum(list_reverse(joint)) joint, joint[1] head, list_concat(gripper, arm)[2] next_, len(list_concat(list_concat(arm, gripper), joint)) width from q")
 def nested_reshape(spark: SparkSession, folder: str) -> DataFrame:
     """Flat names to nested fields and back, named parts put together (48, 50, 196, 198, 199)."""
