@@ -74,3 +74,8 @@ def test_every_visible_character_is_in_a_sentence(model, spark, data):
             inside.update(range(a, b))
             last = b
         assert all(c.isspace() or i in inside for i, c in enumerate(text))
+
+
+def test_script_is_that_of_the_whole_text():
+    assert Model().language("xабвг" * 200) == "ru"
+    assert Model().language("xабвг" * 20) == "ru"

@@ -128,13 +128,12 @@ class Model:
 
     def language(self, text: str) -> str:
         """A document's language: its main script, or for Latin script its words."""
-        sample = text[::5] if len(text) > 500 else text
-        if sample.isascii():
-            n = Counter(l=sum(map(str.isalpha, sample)))
+        if text.isascii():
+            n = Counter(l=sum(map(str.isalpha, text)))
         else:
-            other = NOT_ASCII.findall(sample)
+            other = NOT_ASCII.findall(text)
             n = Counter(map(script_of, other))
-            n["l"] += len(ASCII_LETTERS.findall(sample))
+            n["l"] += len(ASCII_LETTERS.findall(text))
         n.pop("", None)
         if not any(n.values()):
             return "en"
