@@ -51,3 +51,9 @@ def test_empty(spark):
     i, t = spark.createDataFrame([], INFO), spark.createDataFrame([], TARGETS)
     assert mix_report(robot_sources(i), t).count() == 0
     assert mix_selection(robot_sources(i), t, "dataset_id").count() == 0
+
+
+def test_sizes_beyond_the_items_close_the_rest():
+    sizes, budget = [(s, 1) for s in range(1, 2001)], sum(range(1489, 2001)) + 1000
+    taken = knapsack(sizes, budget)
+    assert sum(s * k for s, k in taken.items()) == budget and all(0 < k <= 1 for k in taken.values())

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Budget the dynamic program covers in one bit set, and items it considers at most; what lies
-#: beyond is taken greedily first.
+#: beyond is taken greedily, larger budgets before the program, further items after it.
 DP_BITS, DP_ITEMS = 1 << 22, 512
 BUCKETS = 256
 
@@ -49,6 +49,12 @@ def knapsack(sizes: list[tuple[int, int]], budget: int) -> dict[int, int]:
         if not before >> best & 1:
             taken[s] = taken.get(s, 0) + k
             best -= s * k
+            budget -= s * k
+            left[s] -= k
+    for s in sorted(left, reverse=True):  # sizes beyond the items, until no size fits
+        k = min(left[s], budget // s)
+        if k:
+            taken[s], budget = taken.get(s, 0) + k, budget - k * s
     return taken
 
 
