@@ -15,6 +15,7 @@ Memory is that of a chunk and the lookahead, however long the text is.
 import base64
 import codecs
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 import regex
@@ -27,10 +28,14 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Where the vocabulary file lies by default; a parameter of every function here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
-#: Characters taken in at once, and length from which a piece without a stable place is cut within.
-CHUNK = 1 << 16
+#: Characters a text is taken in by.
+WINDOW = 128
 
-_STABLE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})|(?<=\p{L}|\p{N})(?=[^\s\p{L}\p{N}])", regex.V1)
+#: The last place where a piece ends whatever follows.
+_LAST_STABLE = regex.compile(r"(?r)(?<=\S)(?=\s)|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})|(?<=\p{L}|\p{N})(?=[^\s\p{L}\p{N}])", regex.V1)
+_PIECE = regex.compile(PATTERN)
+#: Runs of characters that a single piece is made of.
+_RUNS = {k: regex.compile(k + "*") for k in (r"\p{L}", r"\p{N}", r"\s", r"[^\s\p{L}\p{N}]")}
 
 
 class Vocabulary:
@@ -47,6 +52,11 @@ class Vocabulary:
         self._pairs: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
 
+    @cached_property
+    def endings(self) -> frozenset[bytes]:
+        """All endings of tokens: a walk back from a place stops where no token ends so."""
+        return frozenset(t[i:] for t in self.ranks for i in range(len(t)))
+
     @classmethod
     def load(cls, path: str = VOCABULARY) -> "Vocabulary":
         if path not in cls._loaded:
@@ -83,10 +93,16 @@ class PieceEncoder:
         start = len(self.held)
         self.held += data
         for end in range(start + 1, len(self.held) + 1):
-            best = None
-            for n in range(min(end, v.lookahead), 0, -1):
-                t = v.ranks.get(self.held[end - n : end])
-                if t is None or not v.reached(t):
+            best, tokens = None, []
+            for n in range(1, min(end, v.lookahead) + 1):
+                part = self.held[end - n : end]
+                if part not in v.endings:
+                    break
+                t = v.ranks.get(part)
+                if t is not None:
+                    tokens.append((n, t))
+            for n, t in reversed(tokens):
+                if not v.reached(t):
                     continue
                 was = self.last[end - n] if end > n else self.before
                 if was == -1 or v.fits(was, t):
@@ -128,59 +144,72 @@ class PieceEncoder:
 
 
 class StreamEncoder:
-    """Encodes a text given in chunks; tokens are returned as soon as no later chunk can change them."""
+    """Encodes a text given in chunks; tokens are returned as soon as no later chunk can change them.
+
+    What is held back is what follows the last stable place. Once that is longer than the lookahead,
+    it is either several pieces, whose first is complete, or one piece, which is encoded within.
+    """
 
-    def __init__(self, vocabulary: Vocabulary, chunk: int = CHUNK):
-        self.v, self.chunk = vocabulary, chunk
+    def __init__(self, vocabulary: Vocabulary):
+        self.v = vocabulary
         self.held = ""
         self.piece: PieceEncoder | None = None
-        self.kind = ""  # pattern of the running piece's characters
+        self.run = ""  # pattern of the running piece's characters
 
     def feed(self, text: str) -> list[int]:
         self.held += text
         out: list[int] = []
-        if self.piece is not None:
-            end = regex.match(f"{self.kind}*", self.held).end()
-            out += self.piece.feed(self.held[:end].encode())
-            rest = self.held[end:]
-            if not rest:
-                self.held = ""
-                return out
-            out += self.piece.finish()
-            self.held, self.piece = rest, None
-        cut = 0
-        for m in _STABLE.finditer(self.held, max(0, len(self.held) - 4096)):
-            cut = m.start()
-        if not cut and len(self.held) > self.chunk:
-            for m in _STABLE.finditer(self.held):
-                cut = m.start()
-        if cut:
-            out += self.v.encoding.encode_ordinary(self.held[:cut])
-            self.held = self.held[cut:]
-        if len(self.held) > self.chunk and regex.fullmatch(r" ?(\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)", self.held) and self.held[0] != "'":
-            # one piece so far: stream within it
+        while self.held:
+            if self.piece is not None:
+                if self._within(out):
+                    break
+                continue
+            if at := _LAST_STABLE.search(self.held):
+                out += self.v.encoding.encode_ordinary(self.held[: at.start()])
+                self.held = self.held[at.start() :]
+            if len(self.held) <= self.v.lookahead:
+                break
+            end = _PIECE.match(self.held).end()
             self.piece = PieceEncoder(self.v)
-            self.kind = r"\p{L}" if regex.match(r" ?\p{L}", self.held) else r"\p{N}" if regex.match(r" ?\p{N}", self.held) else r"[^\s\p{L}\p{N}]"
-            out += self.piece.feed(self.held.encode())
-            self.held = ""
+            if end < len(self.held):
+                out += self.piece.feed(self.held[:end].encode()) + self.piece.finish()
+                self.held, self.piece = self.held[end:], None
+            else:
+                self.run = next(k for k, r in _RUNS.items() if r.fullmatch(self.held[-1]))
+                self._take(len(self.held), out)
+                break
         return out
 
+    def _take(self, end: int, out: list[int]) -> None:
+        """Hands held[:end] to the running piece; a piece of white space leaves its last character to what follows."""
+        end -= self.run == r"\s"
+        out += self.piece.feed(self.held[:end].encode())
+        self.held = self.held[end:]
+
+    def _within(self, out: list[int]) -> bool:
+        """Goes on with the running piece; whether all that is held belongs to it."""
+        end = _RUNS[self.run].match(self.held).end()
+        more = end == len(self.held)
+        self._take(end, out)
+        if not more:
+            out += self.piece.finish()
+            self.piece = None
+        return more
+
     def finish(self) -> list[int]:
-        out = self.piece.finish() if self.piece is not None else []
-        out += self.v.encoding.encode_ordinary(self.held)
+        if self.piece is not None:  # what white space holds back belongs to it at the end of a text
+            out = self.piece.feed(self.held.encode()) + self.piece.finish()
+        else:
+            out = self.v.encoding.encode_ordinary(self.held)
         self.held, self.piece = "", None
         return out
 
 
-def encode_text(text: str | None, vocabulary: Vocabulary, chunk: int = CHUNK) -> list[int]:
+def encode_text(text: str | None, vocabulary: Vocabulary, window: int = WINDOW) -> list[int]:
     """The token ids of a text; none for an empty or null one. Marker strings are plain text."""
-    if not text:
-        return []
-    if len(text) <= chunk:
-        return vocabulary.encoding.encode_ordinary(text)
-    s, out = StreamEncoder(vocabulary, chunk), []
-    for i in range(0, len(text), chunk):
-        out += s.feed(text[i : i + chunk])
+    s, out = StreamEncoder(vocabulary), []
+    for i in range(0, len(text or ""), window):
+        out += s.feed(text[i : i + window])
     return out + s.finish()
 
 
