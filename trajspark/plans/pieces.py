@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.plans.sizes import small_side
+from trajspark.plans.sizes import partitions_for, small_side
 
 KEYS = ("dataset_id", "episode_index", "frame_index")
 
@@ -48,12 +48,11 @@ def frame_pieces(
     block: int = 16384,
     before: int = 0,
     after: int = 0,
-    sources: DataFrame | None = None,
+    more: DataFrame | None = None,
 ) -> DataFrame:
     """Rows (dataset_id, piece, block, episode_index, frame_index, *names), sorted within partitions.
 
-    `sources` (dataset_id, whole, further columns), one row a data set, keeps the data sets marked
-    `whole` in one piece and adds its columns to every row; data sets it lacks are left out.
+    The columns of `more` (dataset_id, ..), one row a data set, are added to every row, null where it lacks one.
 
     `piece` is episode_index div `episodes`, `block` is frame_index div `block`. Rows within
     `before` frames ahead of a block or `after` frames behind it are copied into that block too.
@@ -71,19 +70,23 @@ def frame_pieces(
     if before:
         blocks = F.when(F.expr(f"frame_index % {block} >= {block - before}"), F.concat(blocks, F.array(at + 1))).otherwise(blocks)
     piece = F.expr(f"episode_index div {episodes}")
-    more: list[str] = []
-    if sources is not None:
-        slim = slim.join(small_side(sources), "dataset_id")
-        more = [c for c in sources.columns if c != "dataset_id"]
-        piece = F.when(F.col("whole"), F.lit(0)).otherwise(piece)
-        blocks = F.when(F.col("whole"), F.array(F.lit(0).cast("bigint"))).otherwise(blocks)
+    added: list[str] = []
+    if more is not None:
+        slim = slim.join(small_side(more), "dataset_id", "left")
+        added = [c for c in more.columns if c != "dataset_id"]
     return (
-        slim.select("dataset_id", piece.cast("bigint").alias("piece"), F.explode(blocks).alias("block"), "episode_index", "frame_index", *names, *more)
-        .repartition("dataset_id", "piece", "block")
+        slim.select("dataset_id", piece.cast("bigint").alias("piece"), F.explode(blocks).alias("block"), "episode_index", "frame_index", *names, *added)
+        .repartition(partitions_of(frames), "dataset_id", "piece", "block")
         .sortWithinPartitions("dataset_id", "piece", "block", "episode_index", "frame_index")
     )
 
 
+def partitions_of(frames: DataFrame) -> int:
+    """Partitions of the pieces of `frames`: by the stored bytes of its vectors, so that tasks stay alike however many frames there are."""
+    stored = [c for c in (*KEYS, "observation.state", "action") if c in frames.columns]
+    return partitions_for(frames.select(*[F.col(f"`{c}`") for c in stored]))
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """The runs of rows with equal first `keys` columns, each as one table."""
     held: list[pa.RecordBatch] = []

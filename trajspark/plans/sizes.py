@@ -18,3 +18,17 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     Without the hint Spark joins by shuffle, and adaptive execution splits skewed keys.
     """
     return F.broadcast(df) if at_most(df, rows) else df
+
+
+#: Stored bytes a task of a shuffle should take in.
+BYTES_A_TASK = 24 << 20
+
+
+def partitions_for(df: DataFrame, bytes_each: int = BYTES_A_TASK) -> int:
+    """Shuffle partitions for `df` by the size its plan estimates from the files read, at least the session's number.
+
+    A plan whose size isn't known (not read from files) gets the session's number.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, -(-size // bytes_each)) if size < 1 << 60 else least
