@@ -101,7 +101,7 @@ def test_published_values_against_numpy(spark):
 
 def test_large_sources_go_through_merged_sketches_and_exact_selection(spark):
     rows, mod = _tables(spark)  # episodes are cut by the blocks, relative readings cross the cuts
-    _check(spark, rows, mod, percentiles.Sizes(size=16, buffers=3, whole=10, block=40))
+    _check(spark, rows, mod, percentiles.Sizes(size=16, buffers=3, block=40))
 
 
 def test_empty_tables(spark):

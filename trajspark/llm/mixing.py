@@ -94,8 +94,8 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     first = pdf.iloc[0]
     sizes = [(int(s), int(c)) for s, c in zip(pdf["size"], pdf["n"]) if s == s and s is not None and c > 0]
     passes, once = fit_source(sizes, float(first["budget"]), int(first["max_repeats"]))
-    rows = [(int(first["mix_id"]), first["robot_type"], first["source"], s, passes, once.get(s, 0), c) for s, c in sizes]
-    return pd.DataFrame(rows, columns=["mix_id", "robot_type", "source", "size", "passes", "once_more", "n"])
+    rows = [(int(first["mix_id"]), first["robot_type"], first["source"], float(first["target_share"]), int(first["max_repeats"]), s, passes, once.get(s, 0), c) for s, c in sizes]
+    return pd.DataFrame(rows, columns=["mix_id", "robot_type", "source", "target_share", "max_repeats", "size", "passes", "once_more", "n"])
 
 
 def fit_mixes(records: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -118,21 +118,27 @@ def fit_mixes(records: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFr
     wanted = wanted.join(each, "mix_id").withColumn("budget", F.col("target_share") * F.col("total"))
     plan = (
         wanted.join(counts, "source")
-        .groupBy("mix_id", "robot_type", "source")
-        .applyInPandas(_fit, "mix_id int, robot_type string, source string, size long, passes int, once_more long, n long")
+        .groupBy("mix_id", "robot_type", "source", "max_repeats", "target_share")
+        .applyInPandas(_fit, "mix_id int, robot_type string, source string, target_share double, max_repeats int, size long, passes int, once_more long, n long")
     )
     return plan, wanted
 
 
 def mix_report(records: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per mix and source: supply, budget, what is selected, its actual share, and whether the target can be reached."""
+    """Per mix and source: supply, budget, what the fitted plan selects, its actual share, and whether the target is reached.
+
+    A target is out of reach if the plan used every pass it may over all of the source and still
+    selects less than the budget. A source without supply selects nothing.
+    """
     plan, wanted = fit_mixes(records, targets)
-    got = plan.groupBy("mix_id", "robot_type").agg(F.sum(F.col("size") * (F.col("passes") * F.col("n") + F.col("once_more"))).alias("selected"))
-    out = wanted.join(got, ["mix_id", "robot_type"], "left").fillna(0, ["selected"])
+    taken = F.col("passes") * F.col("n") + F.col("once_more")
+    got = plan.groupBy("mix_id", "robot_type", "target_share", "max_repeats").agg(F.sum(F.col("size") * taken).alias("selected"), F.bool_and(taken >= F.col("max_repeats") * F.col("n")).alias("used_up"))
+    out = wanted.join(got, ["mix_id", "robot_type", "target_share", "max_repeats"], "left").fillna(0, ["selected"]).fillna(True, ["used_up"])
+    total = F.sum("selected").over(Window.partitionBy("mix_id"))
     return out.select(
         "mix_id", "robot_type", "target_share", "max_repeats", "supply", "budget", "selected",
-        F.when(F.sum("selected").over(Window.partitionBy("mix_id")) > 0, F.col("selected") / F.sum("selected").over(Window.partitionBy("mix_id"))).alias("actual_share"),
-        (F.col("max_repeats") * F.col("supply") >= F.col("budget")).alias("reachable"),
+        F.when(total > 0, F.col("selected") / total).alias("actual_share"),
+        (~F.col("used_up") | (F.col("selected") >= F.col("budget"))).alias("reachable"),
     )
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.llm.sketch import QuantileSketch
-from trajspark.plans.pieces import distinct_rows, frame_pieces, groups, matrix
+from trajspark.plans.pieces import distinct_rows, frame_pieces, groups, matrix, partitions_of
 from trajspark.plans.shared import cut
-from trajspark.plans.sizes import at_most, small_side
+from trajspark.plans.sizes import at_most
 
 SERIES = ["dataset_id", "modality", "key", "step", "dim"]
 FIELDS = (("observation.state", "state"), ("action", "action"))
@@ -20,22 +20,20 @@ FIELDS = (("observation.state", "state"), ("action", "action"))
 
 @dataclass(frozen=True)
 class Sizes:
-    """Buffer size and buffers of the sketches, rows up to which a data set is worked through as one
-    piece, frames of a block. size * buffers is no less than `whole`, so that the percentiles of
-    such a data set are exact.
-    """
+    """Buffer size and buffers of the sketches, frames of a block."""
 
-    size: int = 2048
-    buffers: int = 8
-    whole: int = 16384
+    size: int = 512
+    buffers: int = 6
     block: int = 16384
 
     def sketch(self) -> QuantileSketch:
         return QuantileSketch(self.size, self.buffers)
 
 
-_OUT = pa.schema([("dataset_id", pa.string()), ("modality", pa.string()), ("key", pa.string()), ("step", pa.int32()), ("dim", pa.int32()), ("n", pa.int64()), ("sketch", pa.binary())] + [(f"{q}{x}", pa.float64()) for q in ("q01", "q99") for x in ("", "_least", "_most")])
-_DDL = "dataset_id string, modality string, key string, step int, dim int, n long, sketch binary, q01 double, q01_least double, q01_most double, q99 double, q99_least double, q99_most double"
+_PART = pa.schema([("dataset_id", pa.string()), ("modality", pa.string()), ("key", pa.string()), ("step", pa.int32()), ("dim", pa.int32()), ("n", pa.int64()), ("sketch", pa.binary())])
+_PART_DDL = "dataset_id string, modality string, key string, step int, dim int, n long, sketch binary"
+_ANSWERS = [f"{q}{x}" for q in ("q01", "q99") for x in ("", "_least", "_most")]
+_DDL = "dataset_id string, modality string, key string, step int, dim int, n long, " + ", ".join(f"{a} double" for a in _ANSWERS)
 
 
 def _relative(spec: str | None) -> list[tuple[str, int, int, int, list[int]]]:
@@ -52,7 +50,7 @@ def series_of(t: pa.Table, block: int) -> Iterator[tuple[str, str, int, int, np.
     """(modality, key, step, dim, finite values) of each series of one piece."""
     t = t.take(pa.array(distinct_rows(t)))
     ep, fr = t.column("episode_index").to_numpy(), t.column("frame_index").to_numpy()
-    own = np.ones(len(ep), bool) if t.column("whole")[0].as_py() else fr // block == t.column("block")[0].as_py()
+    own = fr // block == t.column("block")[0].as_py()
     vec = {}
     for key, name in FIELDS:
         vec[name] = matrix(t.column(name))[0]
@@ -88,61 +86,54 @@ def _answers(s: QuantileSketch) -> list[float]:
 
 def _sketch(sizes: Sizes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One sketch per data set and series and task; answers at once where the data set is whole."""
-        rows: list[tuple] = []
+        """One sketch per data set and series and task."""
         held: dict[tuple, QuantileSketch] = {}
         last = None
 
         def flush():
-            for k, s in held.items():
-                rows.append((last, *k, s.n, s.dump(), *[None] * 6))
+            rows = [(last, *k, s.n, s.dump()) for k, s in held.items()]
             held.clear()
-
-        def batch():
-            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _OUT)], schema=_OUT)
-            rows.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PART)], schema=_PART)
 
         for t in groups(batches, 3):
-            source, whole = t.column(0)[0].as_py(), t.column("whole")[0].as_py()
-            if source != last:
-                flush()
-                last = source
+            source = t.column(0)[0].as_py()
+            if source != last and held:
+                yield flush()
+            last = source
             for modality, key, step, dim, x in series_of(t, sizes.block):
-                if whole:
-                    s = sizes.sketch().add(x)
-                    rows.append((source, modality, key, step, dim, s.n, None, *_answers(s)))
-                else:
-                    held.setdefault((modality, key, step, dim), sizes.sketch()).add(x)
-            if len(rows) > 2000:
-                yield batch()
-        flush()
-        if rows:
-            yield batch()
+                if (k := (modality, key, step, dim)) not in held:
+                    held[k] = sizes.sketch()
+                held[k].add(x)
+        if held:
+            yield flush()
 
     return run
 
 
 def _merge(final: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = QuantileSketch.load(pdf["sketch"].iloc[0])
-        for x in pdf["sketch"].iloc[1:]:
-            s.merge(QuantileSketch.load(x))
+        s, *others = map(QuantileSketch.load, sorted(pdf["sketch"]))
+        for x in others:
+            s.merge(x)
         first = pdf.iloc[:1]
         if final:
-            return first.assign(n=s.n, sketch=None, **dict(zip(("q01", "q01_least", "q01_most", "q99", "q99_least", "q99_most"), _answers(s))))
-        return first.assign(n=s.n, sketch=s.dump())
+            return first[SERIES].assign(n=s.n, **dict(zip(_ANSWERS, _answers(s))))
+        return first[SERIES].assign(n=s.n, sketch=s.dump())
 
     return run
 
 
+#: Sketches of one series that a single task merges; a session with more partitions merges in two levels.
+MERGED_AT_ONCE = 512
+
+
 def _slices(modality: DataFrame, kind: str, field: str) -> DataFrame:
     m = modality.where((F.col("modality") == kind) & F.col("start").isNotNull() & F.col("end").isNotNull() & (F.coalesce("original_key", F.lit(field)) == field))
     return m.groupBy("dataset_id", "key").agg(F.min(F.struct("start", "end")).alias(kind))
 
 
-def sources(frames: DataFrame, stats: DataFrame, modality: DataFrame, sizes: Sizes) -> DataFrame:
-    """(dataset_id, whole, rel): sizes of the data sets and the relative series asked for by `stats`."""
+def relative_series(stats: DataFrame, modality: DataFrame) -> DataFrame:
+    """(dataset_id, rel): the relative series asked for by `stats`, in the form `_relative` reads."""
     asked = (
         stats.where("modality = 'relative_stats' and step >= 0")
         .groupBy("dataset_id", "key")
@@ -151,12 +142,11 @@ def sources(frames: DataFrame, stats: DataFrame, modality: DataFrame, sizes: Siz
         .join(_slices(modality, "state", "observation.state"), ["dataset_id", "key"])
     )
     width = F.least(F.col("action.end") - F.col("action.start"), F.col("state.end") - F.col("state.start"))
-    rel = asked.groupBy("dataset_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "key", "action.start", "state.start", width, "steps"))), "|").alias("rel"))
-    return frames.where("dataset_id is not null").groupBy("dataset_id").agg((F.count("*") <= sizes.whole).alias("whole")).join(rel, "dataset_id", "left")
+    return asked.groupBy("dataset_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "key", "action.start", "state.start", width, "steps"))), "|").alias("rel"))
 
 
-def _pieces(frames: DataFrame, of: DataFrame, horizon: int, block: int) -> DataFrame:
-    return frame_pieces(frames, [F.col(f"`{f}`") for f, _ in FIELDS], [n for _, n in FIELDS], block=block, after=horizon, sources=of)
+def _pieces(frames: DataFrame, stats: DataFrame, modality: DataFrame, block: int) -> DataFrame:
+    return frame_pieces(frames, [F.col(f"`{f}`") for f, _ in FIELDS], [n for _, n in FIELDS], block=block, after=_horizon(stats), more=relative_series(stats, modality))
 
 
 def _horizon(stats: DataFrame) -> int:
@@ -169,20 +159,15 @@ def percentiles(frames: DataFrame, stats: DataFrame, modality: DataFrame, sizes:
     Over the distinct frame records; nulls, NaN and infinities are left out; a relative series at
     step h takes action at frame + h minus state at frame of one episode. Result: SERIES (step -1
     for plain series), n, and per percentile the estimate and the bounds the exact value lies within.
-    Partial sketches hold a task's share of a data set, so a data set of any size merges from at most
-    as many sketches as there are tasks, in two levels. Empty frames give no rows.
+    Every value goes into a sketch of its task and series, sketches of a series merge: at once up to
+    MERGED_AT_ONCE of them, beyond that in two levels. Empty frames give no rows.
     """
-    part = _pieces(frames, sources(frames, stats, modality, sizes), _horizon(stats), sizes.block).mapInArrow(_sketch(sizes), _DDL)
-    part = cut(part)
-    merged = (
-        part.where("sketch is not null")
-        .withColumn("salt", F.pmod(F.xxhash64("sketch"), F.lit(16)))
-        .groupBy(*SERIES, "salt")
-        .applyInPandas(lambda p: _merge(False)(p.drop(columns="salt")), _DDL)
-        .groupBy(*SERIES)
-        .applyInPandas(_merge(True), _DDL)
-    )
-    return part.where("sketch is null").unionByName(merged).drop("sketch")
+    pieces = _pieces(frames, stats, modality, sizes.block)
+    part = pieces.mapInArrow(_sketch(sizes), _PART_DDL)
+    salts = -(-partitions_of(frames) // MERGED_AT_ONCE)
+    if salts > 1:
+        part = part.withColumn("salt", F.pmod(F.xxhash64("sketch"), F.lit(salts))).groupBy(*SERIES, "salt").applyInPandas(_merge(False), _PART_DDL)
+    return part.groupBy(*SERIES).applyInPandas(_merge(True), _DDL)
 
 
 def _counts(bounds: dict[tuple, list[tuple[str, float, float]]], block: int):
@@ -211,14 +196,13 @@ def _exact(frames: DataFrame, stats: DataFrame, modality: DataFrame, open_: Data
     shares, out = 1, None
     while not at_most(keyed.where(F.pmod(F.xxhash64(*SERIES), F.lit(shares)) == 0), OPEN_AT_ONCE):
         shares *= 2
-    of = sources(frames, stats, modality, sizes)
     for share in range(shares):
         some = keyed.where(F.pmod(F.xxhash64(*SERIES), F.lit(shares)) == share)
         bounds: dict[tuple, list] = {}
         for r in some.collect():  # at most OPEN_AT_ONCE, give or take the hash
             bounds[tuple(r[c] for c in SERIES)] = [("q01", r["q01_least"], r["q01_most"]), ("q99", r["q99_least"], r["q99_most"])]
-        mine = of.join(F.broadcast(some.select("dataset_id").distinct()), "dataset_id", "left_semi")
-        found = _pieces(frames, mine, _horizon(stats), sizes.block).mapInArrow(_counts(bounds, sizes.block), "dataset_id string, modality string, key string, step int, dim int, bound string, below long, within array<double>")
+        mine = frames.join(F.broadcast(some.select("dataset_id").distinct()), "dataset_id", "left_semi")  # at most OPEN_AT_ONCE data sets
+        found = _pieces(mine, stats, modality, sizes.block).mapInArrow(_counts(bounds, sizes.block), "dataset_id string, modality string, key string, step int, dim int, bound string, below long, within array<double>")
         out = found if out is None else out.unionByName(found)
     found = cut(out)
     k = [*SERIES, "bound"]
