@@ -32,6 +32,12 @@ def test_shapes(spark):
         checks.checked(_df(spark, GOOD), {"x": Spec("text"), "t": Spec("vector")})
     assert checks.strict(lambda d: d.select("t"), SPECS, {"t": Spec("text")})(_df(spark, GOOD)).count() == 1
     assert checks.with_time_axis(_df(spark, GOOD).schema, {"t": 2})["t"].dataType.simpleString() == "array<string>"
+    twice = checks.repeated(_df(spark, GOOD), {"t": 2})
+    assert twice.schema["t"].metadata["horizon"] == 2 and len(twice.first()["t"]) == 2
+    with pytest.raises(ValueError):
+        checks.with_time_axis(_df(spark, GOOD).schema, {"none": 2})
+    with pytest.raises(Exception, match="wide|null|steps|channels"):  # a later choice of columns doesn't prune the checks
+        checks.checked(_df(spark, bad[0]), SPECS).select("t").collect()
     assert checks.violations(_df(spark, GOOD).where("false"), SPECS).count() == 0
 
 

@@ -133,6 +133,13 @@ def test_initial_actions(spark, tmp_path):
     path = str(tmp_path / "a.npz")
     ndarrays.save_initial_actions([{"t0": {"arm": np.array([[1.0, 2.0], [3.0, 4.0]])}}, {}], path)
     assert [tuple(r) for r in ndarrays.load_initial_actions(spark, path).orderBy("row").collect()] == [(0, "t0", "arm", 0, [1.0, 2.0]), (0, "t0", "arm", 1, [3.0, 4.0])]
+    again = str(tmp_path / "b.npz")
+    ndarrays.save_initial_actions([{}, {"t": {"arm": np.array([5.0, 6.0])}}], again, owner="someone")
+    back = ndarrays.read_initial_actions(again)
+    assert back[0] == {} and len(back) == 2 and back[1]["t"]["arm"].shape == (2,)
+    assert {r["dataset"]: r["vec"] for r in ndarrays.load_initial_actions(spark, [path, again]).where("row = 0").collect()} == {0: [1.0, 2.0], 3: [5.0, 6.0]}
+    with np.load(again) as z:
+        assert json.loads(bytes(z["__schema__"])) == {"format": "someone.initial_actions", "version": 1, "key_sep": "::", "num_datasets": 2}
     with pytest.raises(ValueError):
         ndarrays.save_initial_actions([{"a::b": {"k": np.zeros(1)}}], path)
     np.savez(path, x=np.zeros(1))

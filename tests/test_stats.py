@@ -3,6 +3,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trajspark.operators import evaluation, maintenance, sampling, stats
 from trajspark.plans import modalities as m
@@ -141,3 +142,78 @@ def test_blocks_of_parts_have_shards_of_their_own(spark):
 def test_evaluation_order(spark):
     src = spark.createDataFrame([("b", 2), ("a", 3), ("c", 0)], "k string, n int")
     assert [tuple(r) for r in sampling.evaluation_schedule(src, "k", "n").orderBy("position").collect()] == [(0, "a", 0), (1, "a", 1), (2, "a", 2), (3, "b", 0), (4, "b", 1)]
+
+
+def _order(spark, seed):
+    df = spark.createDataFrame([("d", 0, 0, 200)], "dataset_id string, episode_index long, sequence long, length int")
+    rows = sampling.shuffled_steps(df, ["dataset_id", "episode_index"], "length", 1000, seed).collect()
+    return [r["step"] for r in sorted(rows, key=lambda r: r["split"])]
+
+
+def test_seeds_give_other_orders_draws_and_dropouts(spark):
+    orders = [_order(spark, s) for s in (0, 1, 2, 1000)]
+    assert all(sorted(o) == list(range(200)) for o in orders)
+    for i, a in enumerate(orders):
+        for b in orders[:i]:
+            assert abs(np.corrcoef(a, b)[0, 1]) < 0.25 and sum(x == y for x, y in zip(a, b)) < 10
+    src = spark.createDataFrame([("a", 3, 1.0), ("b", 5, 2.0), ("c", 4, 5.0)], "k string, n int, w double")
+    draws = [[r["k"] for r in sampling.schedule(src, "k", "w", "n", 4000, seed=s).orderBy("position").collect()] for s in (0, 1)]
+    assert 0.3 < np.mean([x == y for x, y in zip(*draws)]) < 0.65  # as independent draws agree
+    for d in draws:
+        want = {"a": 500, "b": 1000, "c": 2500}
+        assert sum((d.count(k) - n) ** 2 / n for k, n in want.items()) < 14  # chi-square, 2 degrees, p < 0.001
+    v = F.array(F.lit(1.0))
+    out = [[r[0][0] == 0 for r in spark.range(4000).select(sampling.excluded(v, F.col("id"), 0.3, s)).collect()] for s in (0, 7)]
+    assert all(1080 < sum(o) < 1320 for o in out) and 0.5 < np.mean([x == y for x, y in zip(*out)]) < 0.66
+
+
+def test_hash_spreads_evenly(spark):
+    from trajspark.functions.text import portable_hash
+
+    for seed in (0, 5):
+        n = [r["count"] for r in spark.range(64_000).groupBy((portable_hash(F.col("id"), seed) % 64).alias("b")).count().collect()]
+        assert len(n) == 64 and sum((x - 1000) ** 2 / 1000 for x in n) < 120
+
+
+def test_white_space_of_any_script_stays(spark):
+    from trajspark.functions.text import normalize_language
+
+    text = "A b　c d\x1ce, f\x85g_h-i"
+    assert spark.createDataFrame([(text,)], "t string").select(normalize_language(F.col("t"))).first()[0] == "a b　c d\x1ce f\x85g_hi"
+
+
+def test_fingerprints_are_those_of_stored_caches():
+    import hashlib
+    import json
+
+    spec = stats.feature_spec("action", {"dtype": "float32", "shape": [7], "names": None})
+    text = json.dumps({"feature": "action", "dtype": "float32", "shape": [7]}, sort_keys=True, separators=(",", ":"))
+    assert stats.fingerprint(spec) == "sha256:" + hashlib.sha256(text.encode()).hexdigest()
+    act = m.ModalityConfig((0, 1), ("b", "a", "c"), actions=(m.ActionConfig("relative"), m.ActionConfig("relative", "pose", "rot6d", "eef"), m.ActionConfig("absolute")))
+    specs = stats.relative_specs("tag", act, m.ModalityConfig((0,), ("a",)))
+    assert list(specs) == ["a", "b"]
+    assert specs["a"] == {"embodiment_tag": "tag", "action_key": "a", "action_delta_indices": [0, 1], "state_delta_indices": [0], "rep": "RELATIVE", "type": "EEF", "format": "XYZ_ROT6D", "state_key": "eef"}
+
+
+def test_a_data_set_is_not_emptied(spark):
+    eps = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0)], "dataset_id string, episode_index long")
+    bad = spark.createDataFrame([("a", 1, "x"), ("b", 0, "y"), ("b", 0, "z")], "dataset_id string, episode_index long, path string")
+    assert {tuple(r) for r in maintenance.repaired(eps, bad).select("dataset_id", "episode_index", "refused").collect()} == {("a", 0, False), ("b", 0, True)}
+
+
+def test_numbers_through_blocks(spark):
+    from trajspark.plans.ranks import numbered
+
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
+    got = numbered(df, ["k"], F.expr("id div 64"), ["id"]).collect()
+    assert all(r["rank"] == r["id"] // 3 for r in got) and len(got) == 1000
+    assert numbered(df.where("false"), ["k"], F.expr("id div 64"), ["id"]).count() == 0
+
+
+def test_bounds_per_step(spark):
+    from trajspark.functions import normalize
+
+    df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0]], [[0.0, 0.0], [0.0, 4.0]], [[2.0, 4.0], [6.0, 4.0]])], "c array<array<double>>, lo array<array<double>>, hi array<array<double>>")
+    c, lo, hi = (F.col(x) for x in ("c", "lo", "hi"))
+    r = df.select(normalize.steps(c, normalize.minmax, lo, hi, per_step=True).alias("a"), normalize.steps(c, normalize.minmax, lo[0], hi[0]).alias("b")).first()
+    assert r["a"] == [[0.0, 0.0], [0.0, 0.0]] and r["b"] == [[0.0, 0.0], [2.0, 1.0]]

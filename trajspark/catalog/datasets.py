@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trajspark.functions.text import hash_sql
 from trajspark.operators import evaluation, maintenance, sampling, stats
 from trajspark.plans.records import EPISODE, frame_records, live_episodes
 from trajspark.plans.sizes import small_side
@@ -95,12 +96,9 @@ def total_dims(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---------------------------------------------------------------- sampling
 
-_HASH = "(({0}) * 2654435761 + {1}) % 4294967296"
-
-
 @query(
     f"""with {E}, s as (select dataset_id, episode_index, unnest(range(greatest(0, "length" - 7))) step from e),
-h as (select *, row_number() over (partition by dataset_id, episode_index order by {_HASH.format('step * 7919 + episode_index * 104729', 3)}, step) - 1 r from s)
+h as (select *, row_number() over (partition by dataset_id, episode_index order by {hash_sql('step * 7919 + episode_index * 104729', 3)}, step) - 1 r from s)
 select dataset_id, episode_index, r % 5 split, count(*) n, min(step) as first, sum(step)::bigint total from h group by all"""
 )
 def shuffled_steps(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,23 +110,34 @@ def shuffled_steps(spark: SparkSession, folder: str) -> DataFrame:
     return steps.groupBy(*EPISODE, "split").agg(F.count("*").alias("n"), F.min("step").alias("first"), F.sum("step").alias("total"))
 
 
+def _lengths(spark: SparkSession, folder: str) -> DataFrame:
+    return _episodes(spark, folder).select(*EPISODE, F.col("length"), F.col("episode_index").alias("sequence"))
+
+
 def _shards(spark: SparkSession, folder: str) -> DataFrame:
-    lengths = _episodes(spark, folder).select(*EPISODE, F.col("length"), F.col("episode_index").alias("sequence"))
-    return sampling.assign_shards(lengths, EPISODE, "length", 0.25, 1000, seed=5)
+    return sampling.assign_shards(_lengths(spark, folder), EPISODE, "length", 0.25, 1000, seed=5)
+
+
+#: Parts in seeded order, each dealt to the least filled shard (ties: the lower) once every shard has one.
+_SHARDS = f"""with recursive {E}, p as (
+ select dataset_id, episode_index, unnest(range(least(4, "length"))) split, "length" l from e where "length" > 0
+), q as (
+ select dataset_id, episode_index, split, (l - split + 3) // 4 n, row_number() over (partition by dataset_id order by {hash_sql('episode_index', 5)}, episode_index, split) i,
+  least(ceil(sum((l - split + 3) // 4) over (partition by dataset_id) / 1000.0), count(*) over (partition by dataset_id))::int k from p
+), deal(dataset_id, i, s, loads) as (
+ select dataset_id, i, 0::bigint, list_transform(range(k), lambda x: case when x = 0 then n::bigint else 0 end) from q where i = 1
+ union all
+ select dataset_id, i, s, list_transform(loads, lambda x, j: x + case when j = s + 1 then n::bigint else 0 end) from (
+  select q.dataset_id, q.i, q.n, loads, case when q.i <= k then q.i - 1 else list_position(loads, list_min(loads)) - 1 end::bigint s
+  from deal d join q on q.dataset_id = d.dataset_id and q.i = d.i + 1)
+), dealt as (select q.dataset_id, q.episode_index, q.split, q.n, s shard from q join deal d on d.dataset_id = q.dataset_id and d.i = q.i)
+"""
 
 
-@query(
-    f"""with {E}, p as (select dataset_id, episode_index, unnest(range(least(4, "length"))) split, "length" l from e where "length" > 0),
-q as (select dataset_id, count(*) parts, sum((l - split + 3) // 4)::bigint steps, count(distinct episode_index) episodes from p group by 1)
-select dataset_id, steps, parts, episodes, least(ceil(steps / 1000.0)::bigint, parts) shards, true balanced, 0 empty from q"""
-)
+@query(_SHARDS + "select dataset_id, episode_index, split, n::bigint n_steps, shard from dealt")
 def shard_assign(spark: SparkSession, folder: str) -> DataFrame:
-    """Shards of parts of episodes: all steps placed, none empty, loads within one part of each other (161, 162)."""
-    s = _shards(spark, folder)
-    per = s.groupBy("dataset_id", "shard").agg(F.sum("n_steps").alias("load"), F.max("n_steps").alias("widest"), F.count("*").alias("parts"))
-    eps = s.groupBy("dataset_id").agg(F.count_distinct("episode_index").alias("episodes"))
-    out = per.groupBy("dataset_id").agg(F.sum("load").alias("steps"), F.sum("parts").alias("parts"), F.count("*").alias("shards"), (F.max("load") - F.min("load") <= F.max("widest")).alias("balanced"), F.count_if(F.col("load") == 0).alias("empty"))
-    return out.join(eps, "dataset_id")
+    """The shard of every part of every episode (161, 162)."""
+    return _shards(spark, folder)
 
 
 @query(f"""with {CURRENT} select dataset_id, robot, round(total_frames / sum(total_frames) over (partition by robot) * (case robot when 'pivot7' then 2.0 else 1.0 end), 6) weight from i""")
@@ -140,11 +149,11 @@ def mixture_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 _SCHEDULE = f"""with {CURRENT}, w as (select dataset_id, ceil(total_frames / 1000.0)::bigint n, total_frames w from i),
 c as (select *, sum(w) over (order by dataset_id) / sum(w) over () u from w),
-d as (select p position, {_HASH.format('p + 1', 9)} / 4294967296.0::double x from (select unnest(range(2000)) p)),
+d as (select p position, {hash_sql('p + 1', 9)} / 4294967296.0::double x from (select unnest(range(2000)) p)),
 g as (select position, arg_min(dataset_id, u) dataset_id, arg_min(n, u) n from d join c on u > x group by position),
 k as (select *, row_number() over (partition by dataset_id order by position) - 1 k from g),
 o as (select distinct dataset_id, k // n cycle, unnest(range(n)) shard from k),
-r as (select *, row_number() over (partition by dataset_id, cycle order by {_HASH.format('shard * 7919 + cycle * 104729 + 1', 9)}, shard) - 1 slot from o),
+r as (select *, row_number() over (partition by dataset_id, cycle order by {hash_sql('shard * 7919 + cycle * 104729 + 1', 9)}, shard) - 1 slot from o),
 s as (select position, k.dataset_id, shard from k join r on r.dataset_id = k.dataset_id and r.cycle = k.k // k.n and r.slot = k.k % k.n)
 """
 
@@ -184,14 +193,36 @@ def mixture_report(spark: SparkSession, folder: str) -> DataFrame:
     return s.groupBy("robot").agg(F.count_distinct("dataset_id").alias("n"), F.sum("n").cast("bigint").alias("shards"))
 
 
-@query(None)
+#: Steps of the episodes with their part: dealt in turn in seeded order.
+_STEPS = f""", st0 as (select dataset_id, episode_index, unnest(range("length")) step from e where "length" > 0),
+st as (select dataset_id, episode_index, step, (row_number() over (partition by dataset_id, episode_index order by {hash_sql('step * 7919 + episode_index * 104729', 5)}, step) - 1) % 4 split from st0),
+fr as (select distinct dataset_id, episode_index, frame_index step, task_index from frames where dataset_id is not null and episode_index is not null and frame_index is not null),
+po as (select dataset_id, shard, row_number() over (order by dataset_id, shard) - 1 as position from (select distinct dataset_id, shard from dealt)),
+m as (select position, dataset_id, shard, st.episode_index, step, task_index from dealt join st using (dataset_id, episode_index, split) join po using (dataset_id, shard) join fr using (dataset_id, episode_index, step)),
+em as (select *, row_number() over (partition by position order by {hash_sql('position * 15485863 + episode_index * 104729 + step', 6)}, dataset_id, episode_index, step) - 1 emitted from m)
+"""
+
+
+def _dealt(spark: SparkSession, folder: str) -> DataFrame:
+    return sampling.dealt_steps(_shards(spark, folder), _lengths(spark, folder), EPISODE, "length", 4, seed=5)
+
+
+@query(_SHARDS + _STEPS + "select position, dataset_id, shard, episode_index, step, task_index, emitted from em")
 def shard_materialize(spark: SparkSession, folder: str) -> DataFrame:
-    """Scheduled shards with the frames of their parts, shuffled within by a seeded hash (170, 172)."""
+    """Scheduled shards with the frames of their dealt steps, in the order they are emitted (170, 172, 86)."""
     shards = _shards(spark, folder)
     plan = sampling.evaluation_schedule(shards.groupBy("dataset_id").agg(F.count_distinct("shard").alias("n")), "dataset_id", "n")
-    frames = frame_records(table(spark, folder, "frames"), "task_index").withColumn("split", (F.col("frame_index") % 4).cast("int"))
-    rows = sampling.materialize(plan, shards, frames, [*EPISODE, "split"])
-    return rows.groupBy("position", "dataset_id", "shard").agg(F.count("*").alias("n"), F.count_distinct("episode_index").alias("episodes"))
+    frames = frame_records(table(spark, folder, "frames"), "task_index")
+    return sampling.materialize(plan, _dealt(spark, folder), frames, EPISODE, "frame_index", seed=6)
+
+
+@query(_SHARDS + _STEPS + """, nf as (select distinct dataset_id, shard, st.episode_index, greatest(0, least(step + d, "length" - 1)) frame
+ from dealt join st using (dataset_id, episode_index, split) join e using (dataset_id, episode_index), (select unnest([-8, 0, 8]) d))
+select dataset_id, shard, episode_index, count(*) n, sum(frame)::bigint total from nf group by all""")
+def shard_needed_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """Frames that windows at -8, 0 and 8 around each shard's steps read, clamped to the episode (59, 84)."""
+    need = sampling.needed_frames(_dealt(spark, folder), [*EPISODE, "shard"], [-8, 0, 8], _lengths(spark, folder).join(_shards(spark, folder).select(*EPISODE, "shard").distinct(), EPISODE))
+    return need.groupBy("dataset_id", "shard", "episode_index").agg(F.count("*").alias("n"), F.sum("frame").alias("total"))
 
 
 # ---------------------------------------------------------------- repair and conversion
@@ -230,11 +261,11 @@ def required_files_missing(spark: SparkSession, folder: str) -> DataFrame:
     return _missing(spark, folder)[1]
 
 
-@query(_REPAIR + """, ok as (select e.* from e anti join miss using (dataset_id, episode_index)) select dataset_id, count(*) n, sum("length")::bigint frames from ok group by all""")
+@query(_REPAIR + """, b as (select e.*, (dataset_id, episode_index) in (select (dataset_id, episode_index) from miss) bad from e), r as (select *, bool_and(bad) over (partition by dataset_id) refused from b) select dataset_id, refused, count(*) n, sum("length")::bigint frames from r where refused or not bad group by all""")
 def repair_anti_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Episodes that remain after dropping those that miss a file (60)."""
+    """Episodes that remain after dropping those that miss a file; a data set that would be emptied is left alone (60)."""
     eps, missing = _missing(spark, folder)
-    return maintenance.repaired(eps, missing).groupBy("dataset_id").agg(F.count("*").alias("n"), F.sum("length").alias("frames"))
+    return maintenance.repaired(eps, missing).groupBy("dataset_id", "refused").agg(F.count("*").alias("n"), F.sum("length").alias("frames"))
 
 
 @query(_REPAIR + ", x as (select dataset_id, episode_index, list(path order by path)[1:4] paths from miss group by all order by dataset_id, episode_index limit 20) select dataset_id, episode_index, array_to_string(paths, ' ') paths from x")

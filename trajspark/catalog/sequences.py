@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions import arrays
+from trajspark.functions.text import hash_sql
 from trajspark.operators import evaluation, joins, stats, windows
 from trajspark.plans.records import EPISODE, FRAME, frame_records, in_order, live_episodes
 from trajspark.plans.sizes import small_side
@@ -155,7 +156,7 @@ def within_length(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""with {RECORDS}, s as (select dataset_id, episode_index, greatest(u.start - 8, 0) lo, u."end" hi, u.text t from (select dataset_id, episode_index, unnest(sub_tasks) u from e)),
-m as (select f.dataset_id, f.episode_index, f.frame_index, arg_min(t, (((frame_index * 7919 + lo) * 2654435761) % 4294967296, lo, hi, t)) filter (t is not null) t
+m as (select f.dataset_id, f.episode_index, f.frame_index, arg_min(t, ({hash_sql('frame_index * 7919 + lo')}, lo, hi, t)) filter (t is not null) t
  from f left join s on s.dataset_id = f.dataset_id and s.episode_index = f.episode_index and frame_index >= lo and frame_index < hi group by all)
 select dataset_id, episode_index, frame_index, coalesce(t, '') as text from m"""
 )

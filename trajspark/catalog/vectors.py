@@ -296,7 +296,7 @@ def flow_loss(spark: SparkSession, folder: str) -> DataFrame:
     return df.select("vec_id", F.round(loss, 6).alias("loss"))
 
 
-@query(f"with {EMB}, h as (select vec_id, v, ((vec_id * 2654435761 + 7) % 4294967296) / 4294967296.0 u from x) select vec_id, unnest(range(4)) dim, unnest(list_transform(v[1:4], lambda z: case when u < 0.3 then 0.0 else z end)) x from h")
+@query(f"with {EMB}, h as (select vec_id, v, {text.hash_sql('vec_id', 7)} / 4294967296.0 u from x) select vec_id, unnest(range(4)) dim, unnest(list_transform(v[1:4], lambda z: case when u < 0.3 then 0.0 else z end)) x from h")
 def state_dropout(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors zeroed with a probability of 0.3, by a seeded hash (143)."""
     from trajspark.operators.sampling import excluded
@@ -347,13 +347,13 @@ def arg_extremes(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- text
 
 
-@query(r"select doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g') as text from documents")
+@query(r"select doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x{85}\p{Z}]', '', 'g') as text from documents")
 def language_normalize(spark: SparkSession, folder: str) -> DataFrame:
     """Texts in lower case without punctuation (144)."""
     return table(spark, folder, "documents").select("doc_id", text.normalize_language(F.col("text")).alias("text"))
 
 
-@query("with e as (select * from (select *, row_number() over (partition by dataset_id, episode_index order by received_at desc, \"length\" desc) rn from episodes where deleted_at is null) where rn = 1) select dataset_id, episode_index, case when len(tasks) > 0 then tasks[((episode_index * 2654435761 + 11) % 4294967296) % len(tasks) + 1] end task from e")
+@query(f"with e as (select * from (select *, row_number() over (partition by dataset_id, episode_index order by received_at desc, \"length\" desc) rn from episodes where deleted_at is null) where rn = 1) select dataset_id, episode_index, case when len(tasks) > 0 then tasks[{text.hash_sql('episode_index', 11)} % len(tasks) + 1] end task from e")
 def language_pick(spark: SparkSession, folder: str) -> DataFrame:
     """One of an episode's task texts by a seeded hash (145)."""
     from trajspark.plans.records import live_episodes

@@ -1,6 +1,8 @@
 """Normalization of vectors by statistics, and its inverse, as native expressions.
 
-Bounds are vectors beside the data (array columns); `zip` runs over values and bounds together.
+Bounds are vectors beside the data (array columns); `zip` runs over values and bounds together. For
+chunks (arrays of vectors) the functions on `steps` take bounds that are one vector for all steps or
+a chunk of one vector a step.
 """
 
 from pyspark.sql import Column
@@ -34,6 +36,16 @@ def unmeanstd(v: Column, mean: Column, std: Column) -> Column:
     return _zip3(v, mean, std, lambda x, m, s: F.when(s == 0, x).otherwise(x * s + m))
 
 
+def steps(chunk: Column, f, *bounds: Column, per_step: bool = False) -> Column:
+    """f(vector, *bounds) at every step of a chunk; with `per_step` each bound is a chunk too, taken step by step.
+
+    A step beyond the bounds' last has null bounds and gives null values.
+    """
+    if not per_step:
+        return F.transform(chunk, lambda v: f(v, *bounds))
+    return F.transform(chunk, lambda v, i: f(v, *[F.get(b, i) for b in bounds]))
+
+
 def clipped(v: Column) -> Column:
     return F.transform(doubles(v), lambda x: clip(x))
 

@@ -6,12 +6,47 @@ from pyspark.sql import functions as F
 
 def normalize_language(t: Column) -> Column:
     """Lower case without anything but letters, digits, underscores and white space (of any script)."""
-    return F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}_\s]", "")
+    return F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}_\s\x1c-\x1f\x85\p{Z}]", "")
+
+
+#: Rounds of the hash: shift, odd multiplier below 2^31 (so that no product leaves 63 bits).
+ROUNDS = ((16, 0x21F0AAAD), (15, 0x735A2D97))
+
+
+def mixed(x: int) -> int:
+    """The hash's mixing of one 32-bit number: shift-xor, multiply, and a last shift-xor."""
+    for shift, factor in ROUNDS:
+        x = (x ^ x >> shift) * factor % (1 << 32)
+    return x ^ x >> 15
 
 
 def portable_hash(x: Column, seed: int = 0) -> Column:
-    """A 32-bit hash of an integer that any engine can compute: (x * 2654435761 + seed) mod 2^32, for x below 2^31."""
-    return F.pmod(x.cast("bigint") * F.lit(2654435761) + F.lit(seed), F.lit(1 << 32))
+    """A seeded 32-bit hash of an integer of at least 0, in integer steps that any engine can compute.
+
+    The number, folded to 32 bits, is mixed, met with the mixed seed, and mixed again, so that another
+    seed gives another order, not a shifted one.
+    """
+    h = x.cast("bigint")
+    h = h.bitwiseAND(F.lit((1 << 32) - 1)).bitwiseXOR(F.shiftright(h, 32))
+    for last in (False, True):
+        for shift, factor in ROUNDS:
+            h = h.bitwiseXOR(F.shiftright(h, shift)) * F.lit(factor) % F.lit(1 << 32)
+        h = h.bitwiseXOR(F.shiftright(h, 15))
+        if not last:
+            h = h.bitwiseXOR(F.lit(mixed(seed % (1 << 32))))
+    return h
+
+
+def hash_sql(x: str, seed: int = 0) -> str:
+    """portable_hash as SQL over the expression `x`."""
+    h = f"xor(({x})::bigint & 4294967295, ({x})::bigint >> 32)"
+    for last in (False, True):
+        for shift, factor in ROUNDS:
+            h = f"(list_transform([{h}], lambda q: xor(q, q >> {shift}) * {factor} % 4294967296)[1])"
+        h = f"(list_transform([{h}], lambda q: xor(q, q >> 15))[1])"
+        if not last:
+            h = f"xor({h}, {mixed(seed % (1 << 32))}::bigint)"
+    return h
 
 
 def pick_one(xs: Column, key: Column, seed: int = 0) -> Column:

@@ -26,9 +26,14 @@ def missing_files(required: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def repaired(episodes: DataFrame, missing: DataFrame) -> DataFrame:
-    """Episodes without a missing file. A data set that would lose all its episodes keeps none: its
-    row count says so; refusing is the caller's choice."""
-    return episodes.join(missing.select("dataset_id", "episode_index").distinct(), ["dataset_id", "episode_index"], "left_anti")
+    """Episodes without a missing file, with `refused`.
+
+    A data set that would lose all its episodes isn't touched: it keeps them all, marked `refused`.
+    """
+    bad = missing.select("dataset_id", "episode_index").distinct().withColumn("_bad", F.lit(True))
+    rows = episodes.join(bad, ["dataset_id", "episode_index"], "left").withColumn("_bad", F.coalesce("_bad", F.lit(False)))
+    lost = rows.groupBy("dataset_id").agg(F.min("_bad").alias("refused"))
+    return rows.join(small_side(lost), "dataset_id").where("refused or not _bad").drop("_bad")
 
 
 def examples(missing: DataFrame, episodes: int = 20, paths: int = 4) -> DataFrame:
@@ -84,8 +89,15 @@ def episode_files(frames: DataFrame, chunks_size: int) -> DataFrame:
 
 
 def renumbered(df: DataFrame, keys: list[str], episode: str, order: str) -> DataFrame:
-    """Episodes numbered 0, 1, .. without gaps per key, and rows numbered through the key."""
-    return df.withColumn("new_episode", F.dense_rank().over(Window.partitionBy(*keys).orderBy(episode)) - 1).withColumn("new_index", F.row_number().over(Window.partitionBy(*keys).orderBy(episode, order)) - 1)
+    """Episodes numbered 0, 1, .. without gaps per key, and rows numbered through the key.
+
+    Only the episodes of a key, with their counts, are ordered in one task; its rows are per episode.
+    """
+    per = df.groupBy(*keys, episode).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys).orderBy(episode)
+    per = per.withColumn("new_episode", F.row_number().over(w) - 1).withColumn("_before", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(*keys, episode).orderBy(order)) - 1
+    return df.withColumn("_within", within).join(per, [*keys, episode]).withColumn("new_index", F.col("_within") + F.col("_before")).drop("_within", "_before")
 
 
 def template_faults(template: dict, state_dim: int, action_dim: int) -> list[str]:

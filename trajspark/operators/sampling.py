@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions.text import portable_hash
+from trajspark.plans.ranks import numbered
 from trajspark.plans.sizes import small_side
 
 
@@ -81,25 +82,31 @@ def mixture_weights(sources: DataFrame, group: str, size: str, ratio: str) -> Da
     return sources.withColumn("weight", F.col(size) / F.sum(size).over(Window.partitionBy(group)) * F.col(ratio))
 
 
+#: Even parts of [0, 1) that draws and ranges of weights are joined by.
+BINS = 4096
+
+
 def schedule(sources: DataFrame, key: str, weight: str, shards: str, draws: int, seed: int = 0) -> DataFrame:
     """(position, key, shard): `draws` weighted draws of a source with replacement, its shards in turn.
 
     Each source's shards come in a seeded order that changes every time they are used up. The k-th
-    draw of a source is shard k mod n of cycle k div n. `sources` is small (one row a source, with
-    its number of shards): cumulative weights are ranges a draw falls into, found by binary search.
+    draw of a source is shard k mod n of cycle k div n. `sources` has one row a source, with its number
+    of shards: cumulative weights are ranges of [0, 1), cut at BINS even places, so that a draw meets
+    the ranges of its bin by an equality join. Sources without weight or shards are never drawn.
     """
+    some = sources.where((F.col(weight) > 0) & (F.col(shards) > 0))
     total = F.sum(weight).over(Window.partitionBy())
-    upto = F.sum(weight).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) / total
-    table = sources.select(key, shards, upto.alias("upto"))
-    bounds = table.agg(F.array_sort(F.collect_list(F.struct("upto", key, shards))).alias("b"))
-    spark = sources.sparkSession
+    w = Window.orderBy(key)
+    upto = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)) / total
+    table = some.select(key, F.col(shards).alias("_n"), upto.alias("_upto")).withColumn("_from", F.coalesce(F.lag("_upto").over(w), F.lit(0.0)))
+    edge = lambda c: F.least(F.floor(F.col(c) * BINS), F.lit(BINS - 1)).cast("int")
+    ranges = table.withColumn("_bin", F.explode(F.sequence(edge("_from"), edge("_upto"))))
     u = portable_hash(F.col("position") + 1, seed) / F.lit(float(1 << 32))
-    drawn = spark.range(draws).select(F.col("id").alias("position")).withColumn("_b", bounds.scalar()).withColumn("_u", u)
-    hit = F.coalesce(F.element_at(F.filter("_b", lambda x: x["upto"] > F.col("_u")), 1), F.element_at("_b", -1))
-    drawn = drawn.select("position", hit.alias("_s")).select("position", f"_s.{key}", F.col(f"_s.{shards}").alias("_n"))
-    k = F.row_number().over(Window.partitionBy(key).orderBy("position")) - 1
-    drawn = drawn.withColumn("_k", k).withColumn("_cycle", F.expr("_k div _n")).withColumn("_slot", F.col("_k") % F.col("_n"))
-    order = table.select(key, F.explode(F.sequence(F.lit(0), F.col(shards).cast("int") - 1)).alias("shard"))
+    drawn = sources.sparkSession.range(draws).select(F.col("id").alias("position"), u.alias("_u")).withColumn("_bin", F.floor(F.col("_u") * BINS).cast("int"))
+    drawn = drawn.join(small_side(ranges), "_bin").where("_u >= _from and _u < _upto").select("position", key, "_n")
+    drawn = numbered(drawn, [key], F.expr("position div 65536"), ["position"], "_k")
+    drawn = drawn.withColumn("_cycle", F.expr("_k div _n")).withColumn("_slot", F.col("_k") % F.col("_n"))
+    order = table.withColumnRenamed("_n", shards).select(key, F.explode(F.sequence(F.lit(0), F.col(shards).cast("int") - 1)).alias("shard"))
     cycles = drawn.select(key, "_cycle").distinct().join(order, key)
     h = portable_hash(F.col("shard") * 7919 + F.col("_cycle") * 104729 + 1, seed)
     cycles = cycles.withColumn("_slot", F.row_number().over(Window.partitionBy(key, "_cycle").orderBy(h, "shard")) - 1)
@@ -123,9 +130,33 @@ def partition_of(position: Column, ranks: int, workers: int) -> tuple[Column, Co
     return F.floor(at / workers).cast("int"), (at % workers).cast("int")
 
 
-def materialize(plan: DataFrame, shards: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
-    """The scheduled shards' windows: each position's shard with its parts' steps and their data."""
-    return plan.join(shards, [keys[0], "shard"]).join(windows, keys)
+def dealt_steps(shards: DataFrame, lengths: DataFrame, keys: list[str], length: str, splits: int, seed: int = 0) -> DataFrame:
+    """(keys, step, shard): every step with the shard its part was dealt to; `shards` as from assign_shards."""
+    return shuffled_steps(lengths, keys, length, splits, seed).join(shards.select(*keys, "split", "shard"), [*keys, "split"]).drop("split")
+
+
+def materialize(plan: DataFrame, steps: DataFrame, windows: DataFrame, keys: list[str], step: str, seed: int = 0) -> DataFrame:
+    """The scheduled shards with their data: (plan's columns, keys, step, emitted, windows' columns).
+
+    Each step of a shard meets the window of its `step`; steps without one are left out. `emitted` is
+    its place within the shard at that position, shuffled by a seeded hash of position and step. The
+    window is over one shard, which is bounded by the size shards are made for.
+    """
+    rows = plan.join(steps, [keys[0], "shard"]).join(windows.withColumnRenamed(step, "step"), [*keys, "step"])
+    h = portable_hash(F.col("position") * 15485863 + F.col(keys[-1]) * 104729 + F.col("step"), seed)
+    return rows.withColumn("emitted", F.row_number().over(Window.partitionBy("position").orderBy(h, *keys, "step")) - 1)
+
+
+def needed_frames(steps: DataFrame, keys: list[str], deltas: list[int], lengths: DataFrame | None = None, length: str = "length") -> DataFrame:
+    """(keys, frame): the distinct frames that windows at `deltas` around the steps read.
+
+    With `lengths` (keys, length) positions are clamped to the sequence, as padding does; without, those
+    below 0 are left out.
+    """
+    at = steps.select(*keys, F.explode(F.array(*[F.col("step") + d for d in deltas])).alias("frame"))
+    if lengths is not None:
+        at = at.join(lengths.select(*keys, F.col(length).alias("_n")), keys).select(*keys, F.greatest(F.lit(0), F.least(F.col("frame"), F.col("_n") - 1)).alias("frame"))
+    return at.where("frame >= 0").distinct()
 
 
 def excluded(v: Column, key: Column, probability: float, seed: int = 0) -> Column:

@@ -88,8 +88,31 @@ FINGERPRINTS = "__fingerprints__"
 
 
 def fingerprint(spec: dict) -> str:
-    """Hash of a specification, whatever the order of its keys."""
-    return hashlib.sha256(json.dumps(spec, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
+    """Hash of a specification, whatever the order of its keys: sha256:, then that of its compact JSON text."""
+    return "sha256:" + hashlib.sha256(json.dumps(spec, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
+
+
+def feature_spec(name: str, declared: dict) -> dict:
+    """What the statistics of a stored feature depend on."""
+    return {"feature": name, "dtype": declared.get("dtype"), "shape": declared.get("shape")}
+
+
+#: How representations, kinds and formats of actions are named in fingerprints.
+SPELLED = {"absolute": "ABSOLUTE", "delta": "DELTA", "relative": "RELATIVE", "joint": "NON_EEF", "pose": "EEF", "default": "DEFAULT", "rot6d": "XYZ_ROT6D", "rotvec": "XYZ_ROTVEC"}
+
+
+def relative_specs(tag: str, action, state) -> dict[str, dict]:
+    """What the statistics of each relative action key depend on, by key in sorted order.
+
+    `action` and `state` are the modality configurations (plans.modalities); keys of other
+    representations have no relative statistics.
+    """
+    out = {}
+    for key in sorted(action.keys):
+        c = action.action_of(key)
+        if c.representation == "relative":
+            out[key] = {"embodiment_tag": tag, "action_key": key, "action_delta_indices": list(action.deltas), "state_delta_indices": list(state.deltas), "rep": SPELLED[c.representation], "type": SPELLED[c.kind], "format": SPELLED[c.form], "state_key": c.state_key}
+    return out
 
 
 def write_json(path: str, data, indent: int = 4) -> None:

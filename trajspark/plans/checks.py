@@ -76,11 +76,10 @@ def checked(df: DataFrame, specs: dict[str, Spec]) -> DataFrame:
     """`df`, failing at once for a wrong schema and, when it is run, at the first row that doesn't fit."""
     if bad := faults(df, specs):
         raise TypeError("; ".join(bad))
-    first = next(iter(specs))
-    guard = F.col(f"`{first}`")
-    for text, ok in conditions(specs).items():
-        guard = F.when(F.coalesce(ok, F.lit(False)), guard).otherwise(F.raise_error(F.lit(text)).cast(df.schema[first].dataType))
-    return df.withColumn(first, guard)
+    good = F.lit(True)
+    for text, ok in reversed(conditions(specs).items()):
+        good = F.when(F.coalesce(ok, F.lit(False)), good).otherwise(F.raise_error(F.lit(text)).cast("boolean"))
+    return df.where(good)  # a filter, so that no later choice of columns prunes the checks away
 
 
 def violations(df: DataFrame, specs: dict[str, Spec]) -> DataFrame:
@@ -97,5 +96,13 @@ def strict(step: Callable[[DataFrame], DataFrame], before: dict[str, Spec], afte
 
 
 def with_time_axis(schema: T.StructType, horizons: dict[str, int]) -> T.StructType:
-    """The schema with the named fields repeated over time."""
-    return T.StructType([T.StructField(f.name, T.ArrayType(f.dataType), f.nullable) if f.name in horizons else f for f in schema.fields])
+    """The schema with the named fields repeated over time; the number of steps is kept in the field's metadata."""
+    if bad := [k for k, h in horizons.items() if h < 1 or k not in schema.names]:
+        raise ValueError(f"no steps or no field: {', '.join(bad)}")
+    return T.StructType([T.StructField(f.name, T.ArrayType(f.dataType), f.nullable, {**f.metadata, "horizon": horizons[f.name]}) if f.name in horizons else f for f in schema.fields])
+
+
+def repeated(df: DataFrame, horizons: dict[str, int]) -> DataFrame:
+    """The named columns as arrays of so many equal steps, the time axis first."""
+    schema = with_time_axis(df.schema, horizons)
+    return df.select(*[F.array_repeat(f"`{f.name}`", horizons[f.name]).alias(f.name, metadata=f.metadata) if f.name in horizons else F.col(f"`{f.name}`") for f in schema.fields])

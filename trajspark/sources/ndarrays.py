@@ -1,6 +1,7 @@
 """A Python data source for .npy and .npz files: masks, raw videos and initial actions."""
 
 import glob
+import json
 import os
 
 import numpy as np
@@ -73,8 +74,15 @@ def read_arrays(spark: SparkSession, path: str, frames: list[int] | None = None)
     return (r.option("frames", ",".join(map(str, frames))) if frames is not None else r).load(path)
 
 
-def save_initial_actions(actions: list[dict[str, dict[str, np.ndarray]]], path: str) -> None:
-    """Arrays by data set, trajectory and action key as one .npz; names may not hold the separator."""
+#: The marker's name and the version of the format; a marker's `format` ends in FORMAT.
+MARKER, FORMAT, VERSION = "__schema__", ".initial_actions", 1
+
+
+def save_initial_actions(actions: list[dict[str, dict[str, np.ndarray]]], path: str, owner: str = "trajspark") -> None:
+    """Arrays by data set, trajectory and action key as one .npz with a marker of format, version and number of data sets.
+
+    Names may not hold the separator; `owner` begins the marker's format, for readers that ask for their own.
+    """
     flat = {}
     for i, d in enumerate(actions):
         for traj, keys in d.items():
@@ -82,23 +90,46 @@ def save_initial_actions(actions: list[dict[str, dict[str, np.ndarray]]], path:
                 if SEPARATOR in str(traj) or SEPARATOR in key:
                     raise ValueError(f"a name holds {SEPARATOR}")
                 flat[SEPARATOR.join((str(i), str(traj), key))] = np.asarray(a)
+    marker = {"format": owner + FORMAT, "version": VERSION, "key_sep": SEPARATOR, "num_datasets": len(actions)}
     part = f"{path}.tmp.npz"
-    np.savez(part, __version__=np.array(1), **flat)
+    np.savez(part, **flat, **{MARKER: np.frombuffer(json.dumps(marker).encode(), dtype=np.uint8)})
     os.replace(part, path)
 
 
-def load_initial_actions(spark: SparkSession, path: str) -> DataFrame:
-    """(dataset, trajectory, action_key, row, vec) of a saved file; other versions and broken names are errors."""
-    rows = []
+def read_initial_actions(path: str) -> list[dict[str, dict[str, np.ndarray]]]:
+    """What save_initial_actions was given, data sets without actions and the arrays' shapes included.
+
+    Never unpickles. A file without the marker, of another format or version, a broken name and a
+    data set beyond their number are errors.
+    """
     with np.load(path, allow_pickle=False) as z:
-        if "__version__" not in z.files or int(z["__version__"]) != 1:
-            raise ValueError("unknown version of initial actions")
+        if MARKER not in z.files:
+            raise ValueError(f"{path}: no {MARKER} marker")
+        marker = json.loads(bytes(z[MARKER]))
+        if not str(marker.get("format", "")).endswith(FORMAT) or marker.get("version") != VERSION:
+            raise ValueError(f"{path}: unknown format {marker}")
+        out: list[dict[str, dict[str, np.ndarray]]] = [{} for _ in range(int(marker.get("num_datasets", 0)))]
         for name in z.files:
-            if name == "__version__":
+            if name == MARKER:
                 continue
-            parts = name.split(SEPARATOR)
-            if len(parts) != 3 or not parts[0].isdigit():
-                raise ValueError(f"bad name {name}")
-            for i, v in enumerate(np.atleast_2d(z[name])):
-                rows.append((int(parts[0]), parts[1], parts[2], i, [float(x) for x in v]))
+            i, *parts = name.split(SEPARATOR, 2)
+            if len(parts) != 2 or not i.isdigit() or int(i) >= len(out):
+                raise ValueError(f"{path}: bad name {name}")
+            out[int(i)].setdefault(parts[0], {})[parts[1]] = z[name]
+    return out
+
+
+def load_initial_actions(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(dataset, trajectory, action_key, row, vec) of saved files; the data sets of several files are numbered on.
+
+    An array of one dimension is one row. The files hold one chunk a trajectory and are read whole.
+    """
+    rows, base = [], 0
+    for path in [paths] if isinstance(paths, str) else paths:
+        actions = read_initial_actions(path)
+        for d, trajectories in enumerate(actions):
+            for traj, keys in trajectories.items():
+                for key, a in keys.items():
+                    rows += [(base + d, traj, key, i, [float(x) for x in np.ravel(v)]) for i, v in enumerate(np.atleast_2d(a))]
+        base += len(actions)
     return spark.createDataFrame(rows, "dataset int, trajectory string, action_key string, row int, vec array<double>")
