@@ -4,7 +4,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,18 +110,47 @@ def _sketch(sizes: Sizes):
 
 
 def _merge(final: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, *others = map(QuantileSketch.load, sorted(pdf["sketch"]))
-        for x in others:
-            s.merge(x)
-        first = pdf.iloc[:1]
-        if final:
-            return first[SERIES].assign(n=s.n, **dict(zip(_ANSWERS, _answers(s))))
-        return first[SERIES].assign(n=s.n, sketch=s.dump())
+    """Merges the sketches of each series; rows come sorted by series, so that one sketch is held at a time."""
+    schema = pa.schema([*list(_PART)[:6], *([pa.field(a, pa.float64()) for a in _ANSWERS] if final else [_PART.field("sketch")])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held: tuple | None = None
+
+        def close():
+            k, s = held
+            rows.append((*k, s.n, *(_answers(s) if final else [s.dump()])))
+
+        def batch():
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            rows.clear()
+            return out
+
+        for b in batches:
+            for *k, data in zip(*(b.column(i).to_pylist() for i in range(5)), b.column(b.num_columns - 1)):
+                s = QuantileSketch.load(data.as_py())
+                if held is not None and held[0] == k:
+                    held[1].merge(s)
+                else:
+                    if held is not None:
+                        close()
+                    held = k, s
+            if len(rows) > 2000:
+                yield batch()
+        if held is not None:
+            close()
+        if rows:
+            yield batch()
 
     return run
 
 
+def _merged(part: DataFrame, n: int, final: bool) -> DataFrame:
+    order = [*SERIES, *(c for c in ("salt",) if c in part.columns)]
+    rows = part.repartition(n, *order).sortWithinPartitions(*order, "n", "sketch").select(*SERIES, "n", "sketch")
+    return rows.mapInArrow(_merge(final), _DDL if final else _PART_DDL)
+
+
 #: Sketches of one series that a single task merges; a session with more partitions merges in two levels.
 MERGED_AT_ONCE = 512
 
@@ -164,10 +192,11 @@ def percentiles(frames: DataFrame, stats: DataFrame, modality: DataFrame, sizes:
     """
     pieces = _pieces(frames, stats, modality, sizes.block)
     part = pieces.mapInArrow(_sketch(sizes), _PART_DDL)
-    salts = -(-partitions_of(frames) // MERGED_AT_ONCE)
+    n = partitions_of(frames)
+    salts = -(-n // MERGED_AT_ONCE)
     if salts > 1:
-        part = part.withColumn("salt", F.pmod(F.xxhash64("sketch"), F.lit(salts))).groupBy(*SERIES, "salt").applyInPandas(_merge(False), _PART_DDL)
-    return part.groupBy(*SERIES).applyInPandas(_merge(True), _DDL)
+        part = _merged(part.withColumn("salt", F.pmod(F.xxhash64("sketch"), F.lit(salts))), n, False)
+    return _merged(part, n, True)
 
 
 def _counts(bounds: dict[tuple, list[tuple[str, float, float]]], block: int):
