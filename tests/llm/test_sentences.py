@@ -79,3 +79,31 @@ def test_every_visible_character_is_in_a_sentence(model, spark, data):
 def test_script_is_that_of_the_whole_text():
     assert Model().language("xабвг" * 200) == "ru"
     assert Model().language("xабвг" * 20) == "ru"
+
+
+def test_collocated_abbreviations(model):
+    for text in ("Mr. T. R. Fratarfra-Silrin filed 3 tickets.", "Prof. Dr. Silhem prüfte 1070 Aufnahmen."):
+        assert len(split(text, model)) == 1
+
+
+def test_hashed_types_are_the_engines(spark):
+    from pyspark.sql import functions as F
+
+    from trajspark.llm.sentences import Types, type_key
+
+    words = ["", "a.", "größe", "ไทย", "##.|mai"]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64(F.lit("period"), F.lit("de"), F.col("w")).alias("h"))
+    assert {r["w"]: r["h"] for r in df.collect()} == {w: type_key("period", "de", w) for w in words}
+    import numpy as np
+
+    t = Types(np.array([type_key("period", "de", w) for w in words]), np.arange(5, dtype=np.float32))
+    assert [t.get("period", "de", w) for w in words] == [0, 1, 2, 3, 4] and t.get("period", "en", "a.") is None
+
+
+def test_language_and_case_given_or_told_alike(model, spark, data):
+    from trajspark.llm.sentences import CASELESS
+
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        if r["text"]:
+            lang = model.language(r["text"])
+            assert split(r["text"], model) == split(r["text"], model, lang, lang not in CASELESS and lowered(r["text"]))

@@ -6,14 +6,16 @@ What a period means is learned from the documents themselves, per language, with
    document or clause; other scripts tell it themselves;
 2. sentence starters: words whose log-likelihood ratio says they stand first in a line more often
    than elsewhere;
-3. for every word before a period (or dots), how often a capitalised starter follows. A word whose
-   ratio says that starters follow it significantly less than they follow periods at large is an
-   abbreviation; numbers and dots are types like others, so ordinals and trailing dots are learned
-   as collocations of the same kind.
+3. collocations: a word with a period and a next word that meet far more often than each meets
+   others, by the same ratio ("9. Mai", "Prof. Dr.");
+4. for every word before a period (or dots), how often a starter follows that isn't its collocation.
+   A word whose ratio says that starters follow it significantly less than they follow periods at
+   large is an abbreviation; numbers and dots are types like others.
 
 Each period is then classified by these statistics; other marks, quotations, brackets, line breaks
-and Thai spaces follow rules. The counting is distributed; what comes to the driver are the types
-above a share of all counts, which bounds their number whatever the corpus.
+and Thai spaces follow rules. Two passes over the documents learn, one splits; the second tells the
+language of each document once and keeps it beside the text. All words of all documents count. The
+learned types are held as hashed keys, 12 bytes each.
 """
 
 import re
@@ -23,11 +25,14 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 from math import log
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.plans.shared import cut
+from trajspark.plans.sizes import at_most, small_side
 
 # Three-letter language codes and their two-letter forms.
 TWO_LETTERS = {"eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "rus": "ru", "jpn": "ja", "zho": "zh", "chi": "zh", "cmn": "zh", "kor": "ko", "hin": "hi", "ara": "ar", "tha": "th", "ita": "it", "por": "pt", "nld": "nl", "dut": "nl", "pol": "pl", "tur": "tr"}
@@ -45,16 +50,25 @@ MARK = re.compile(r"\s*(?:(?:\d{1,4}|[A-Za-z])[.)](?=\s)|[-*•–—·▪◦‣
 NUMBERED = re.compile(r"\s*\d{1,4}[.](?=\s)")
 EVENTS = re.compile("[" + re.escape(END) + "]+|[\"" + re.escape("".join(PAIRS) + "".join(PAIRS.values())) + "]|(?<=[฀-๿])\\s+(?=[฀-๿])")
 WORDS = re.compile(r"\S+")
-NOT_ASCII, ASCII_LETTERS = re.compile(r"[^\x00-\x7f]"), re.compile(r"[A-Za-z]")
 MARKS = re.compile("[\"" + re.escape("".join(PAIRS) + "".join(PAIRS.values())) + "]")
 LATIN = re.compile(r"[A-Za-zÀ-ɏ]+(?:['’][A-Za-z]+)?")
-PERIODS = re.compile(r"(\.{2,}|…+|\.)\s+(?=(\S+))")
+QUOTED = re.compile('"[^"\n]*"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|»[^«\n]*«|「[^」\n]*」|『[^』\n]*』|\\([^()\n]*\\)|（[^（）\n]*）|\\[[^\\[\\]\n]*\\]|【[^】\n]*】|《[^》\n]*》')
+LIST_MARK = re.compile(r"(?:\d{1,4}|[A-Za-z])[.)]|[-*•–—·▪◦‣]+")
+STOPS = frozenset(".…!?।؟")
 
+#: Significance of starters, collocations and abbreviations; fewest uses of a learned type; how many
+#: times likelier a collocation's second word must be after its first.
 STARTER_LLR = 12.0
+COLLOCATION_LLR = 12.0
 ABBREVIATION_LLR = 12.0
-#: Types below this share of their language's counts are not brought to the driver.
-LEAST_SHARE = 1e-5
 LEAST_COUNT = 5
+COLLOCATED = 10.0
+#: Words with at least this share of a label's words tell its language: at most 5,000 a label. A label
+#: needs so many words; labels are codes of two or three letters, of which there are 18,252.
+WORD_SHARE = 2e-4
+LABEL_WORDS = 500
+#: Most learned types (12 bytes each) that are shipped to the tasks; more are an error, not left out.
+MOST_TYPES = 20_000_000
 
 
 @lru_cache(maxsize=1 << 16)
@@ -87,7 +101,7 @@ def cased(c: str) -> bool:
 def label_of(lang: str | None) -> str:
     """A language label in one spelling; '' if there is none."""
     s = re.split(r"[-_]", (lang or "").strip().lower())[0]
-    return TWO_LETTERS.get(s, s)
+    return TWO_LETTERS.get(s, s) if re.fullmatch("[a-z]{2,3}", s) else ""
 
 
 @lru_cache(maxsize=1 << 17)
@@ -105,15 +119,73 @@ def core(token: str) -> str:
     return w.lower()
 
 
+@lru_cache(maxsize=1 << 17)
+def head(token: str) -> str:
+    """The key of a token that may begin a sentence: abbreviations keep their period."""
+    c = core(token)
+    return c + "." if c[:1].isalpha() and token.rstrip(CLOSERS).endswith(".") else c
+
+
+def type_key(kind: str, lang: str, word: str) -> int:
+    """Hash of a learned type, equal to the engine's xxhash64 of the three strings."""
+    h = 42
+    for x in (kind, lang, word):
+        h = xxhash.xxh64_intdigest(x.encode("utf-8", "replace"), seed=h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+class Types:
+    """Learned numbers by (kind, language, word), as sorted hashes; remembers what it was asked."""
+
+    def __init__(self, keys: np.ndarray | None = None, values: np.ndarray | None = None):
+        keys = np.zeros(0, np.int64) if keys is None else keys
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], (np.zeros(0, np.float32) if values is None else values)[order]
+        self.known: dict[tuple[str, str, str], float | None] = {}
+
+    def __getstate__(self):
+        return self.keys, self.values
+
+    def __setstate__(self, state):
+        self.keys, self.values = state
+        self.known = {}
+
+    def get(self, kind: str, lang: str, word: str) -> float | None:
+        k = (kind, lang, word)
+        try:
+            return self.known[k]
+        except KeyError:
+            if len(self.known) > 1_000_000:
+                self.known.clear()
+        h = type_key(kind, lang, word)
+        i = int(np.searchsorted(self.keys, h))
+        self.known[k] = found = float(self.values[i]) if i < len(self.keys) and self.keys[i] == h else None
+        return found
+
+
+#: What a period type means: its number among the types.
+KINDS = {0.0: "ends", 1.0: "mixed", 2.0: "never"}
+
+
 @dataclass
 class Model:
-    """What was learned: word weights per Latin-script language, starters and period types per language."""
+    """What was learned: word weights per Latin-script language, starters, common words and period types."""
 
     words: list[str] = field(default_factory=list)  # the languages
     weights: dict[str, tuple[float, ...]] = field(default_factory=dict)  # word: weight for each of them
-    starters: dict[str, dict[str, float]] = field(default_factory=dict)  # word: share of its uses that start a line
-    common: dict[str, set[str]] = field(default_factory=dict)  # words written in lower case within sentences
-    types: dict[str, dict[str, str]] = field(default_factory=dict)  # word and mark: never, mixed or ends
+    types: Types = field(default_factory=Types)
+
+    def starter(self, lang: str, word: str) -> float | None:
+        """The share of a starter's uses that begin a line or sentence; None for other words."""
+        return self.types.get("starter", lang, word)
+
+    def common(self, lang: str, word: str) -> bool:
+        """Whether the word is written in lower case within sentences."""
+        return self.types.get("common", lang, word) is not None
+
+    def period(self, lang: str, word: str) -> str | None:
+        """never, mixed or ends for a word with its mark; None if nothing was learned."""
+        return KINDS.get(self.types.get("period", lang, word))
 
     def latin(self, words: list[str], among: list[str] | None = None, default: str = "en") -> str:
         """The likeliest of the Latin-script languages."""
@@ -128,121 +200,145 @@ class Model:
 
     def language(self, text: str) -> str:
         """A document's language: its main script, or for Latin script its words."""
-        if text.isascii():
-            n = Counter(l=sum(map(str.isalpha, text)))
-        else:
-            other = NOT_ASCII.findall(text)
-            n = Counter(map(script_of, other))
-            n["l"] += len(ASCII_LETTERS.findall(text))
-        n.pop("", None)
-        if not any(n.values()):
-            return "en"
-        if n["ja"] and n["ja"] * 8 > n["zh"] and n["ja"] + n["zh"] > n["l"] / 2:
-            return "ja"
-        top = n.most_common(1)[0][0]
-        if top != "l" and n["l"] <= 3 * n[top]:
-            return "ru" if top == "c" else top
-        rest = [k for k in n if k != "l" and n[k] * 4 > n["l"]]
-        if rest:
-            return "ru" if rest[0] == "c" else rest[0]
-        return self.latin([w.lower() for w in LATIN.findall(text)])
+        if not text.isascii():
+            n: Counter = Counter()
+            for c, k in Counter(text).items():
+                n[script_of(c)] += k
+            n.pop("", None)
+            if not n:
+                return "en"
+            if n["ja"] and n["ja"] * 8 > n["zh"] and n["ja"] + n["zh"] > n["l"] / 2:
+                return "ja"
+            top = n.most_common(1)[0][0]
+            if top != "l" and n["l"] <= 3 * n[top]:
+                return "ru" if top == "c" else top
+            rest = [k for k in n if k != "l" and n[k] * 4 > n["l"]]
+            if rest:
+                return "ru" if rest[0] == "c" else rest[0]
+        return self.latin(text.lower().split())
 
 
 CASELESS = {"ar", "hi", "th", "ko", "ja", "zh"}
 
 
-_AFTER_END = re.compile(r"[^\W\d_]{4,}[.!?]\s+[" + re.escape(OPENERS) + r"]*([^\W\d_])")
-_LINE_START = re.compile(r"(?:^|[\n\r])(?:\s*(?:\d{1,4}[.)]|[-*•–—·▪◦‣]+)(?=\s))?\s*[" + re.escape(OPENERS) + r"]*([^\W\d_])")
+_AFTER_END = re.compile(r"(?<=[^\W\d_]{4})[.!?]\s+[" + re.escape(OPENERS) + r"]*([^\W\d_])")
+_LINE_START = re.compile(r"[\n\r](?:\s*(?:\d{1,4}[.)]|[-*•–—·▪◦‣]+)(?=\s))?\s*[" + re.escape(OPENERS) + r"]*([^\W\d_])")
 
 
 def lowered(text: str) -> bool:
     """Whether the document starts its sentences in lower case: words of four letters end them, to pass over abbreviations."""
-    low = up = 0
-    for pattern in (_AFTER_END, _LINE_START):
-        for m in pattern.finditer(text):
-            c = m.group(1)
-            low, up = low + c.islower(), up + c.isupper()
-    return low > up
+    firsts = "".join(_AFTER_END.findall(text)) + "".join(_LINE_START.findall("\n" + text))
+    return sum(map(str.islower, firsts)) > sum(map(str.isupper, firsts))
 
 
 # ---------------------------------------------------------------- learning
 
 
-def _emit(rows: Counter, width: int, names: list[str]) -> pa.RecordBatch:
-    cols = list(zip(*[(*k, n) for k, n in rows.items()])) if rows else [()] * (width + 1)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols[:-1]] + [pa.array(cols[-1], pa.int64())], names=names)
-
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words by label: (lang, w, n). Words are told from their marks once per distinct token."""
+    by: dict[str, Counter] = {}
 
-def _count(each, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flush():
         rows: Counter = Counter()
-        for b in batches:
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if text:
-                    each(rows, text, lang)
-            if len(rows) > 200_000:
-                yield _emit(rows, len(names) - 1, names)
-                rows = Counter()
-        if rows:
-            yield _emit(rows, len(names) - 1, names)
-
-    return run
-
-
-def _words(rows: Counter, text: str, lang: str | None) -> None:
-    label = label_of(lang)
-    if label:
-        for w in LATIN.findall(text):
-            rows[label, w.lower()] += 1
-
-
-def _first_words(model: Model):
-    def each(rows: Counter, text: str, lang: str | None) -> None:
-        lang = model.language(text)
-        for line in LINES.findall(text):
-            m = MARK.match(line)
-            first = True
-            for t in WORDS.findall(line, m.end() if m else 0):
-                w = core(t)
-                if w and (w[0] == "#" or w[0].isalnum()):
-                    rows[lang, w, "first" if first else "lower" if t[0].islower() else "later"] += 1
-                first = t[-1] in "!?।؟" or (t[-1] == "." and len(w) > 3 and w.isalpha())
-
-    return each
-
-
-def _followers(model: Model):
-    def each(rows: Counter, text: str, lang: str | None) -> None:
-        lang = model.language(text)
-        low = lang not in CASELESS and lowered(text)
-        if low:
-            return
-        starters, common = model.starters.get(lang, {}), model.common.get(lang, ())
+        for label, tokens in by.items():
+            for t, n in tokens.items():
+                for w in LATIN.findall(t):
+                    rows[label, w] += n
+        by.clear()
+        cols = list(zip(*[(*k, n) for k, n in rows.items()])) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["lang", "w", "n"])
+
+    for b in batches:
+        for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if text and (label := label_of(lang)):
+                if label not in by:
+                    by[label] = Counter()
+                by[label].update(text.lower().split())
+        if sum(map(len, by.values())) > 300_000:
+            yield flush()
+    if by:
+        yield flush()
+
+
+#: Rows of the second pass: documents with their language, and counts of words and of words that meet.
+_ROWS = pa.schema([("what", pa.string()), ("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("low", pa.bool_()), ("a", pa.string()), ("b", pa.string()), ("kind", pa.string()), ("n", pa.int64())])
+_ROWS_DDL = "what string, doc_id long, text string, lang string, low boolean, a string, b string, kind string, n long"
+
+
+class _Counts:
+    """Tokens of sentences and lines, counted as they are written; their keys are found when they are handed on."""
+
+    def __init__(self):
+        self.all: dict[str, Counter] = {}
+        self.first: dict[str, Counter] = {}
+        self.after: dict[str, Counter] = {}
+
+    def add(self, text: str, lang: str, low: bool) -> None:
+        words, first, after = (d.setdefault(lang, Counter()) for d in (self.all, self.first, self.after))
+        if MARKS.search(text):
+            text = QUOTED.sub(" ¤ ", text)  # no sentence ends inside, whatever the word
+        firsts, pairs = [], []
         for line in LINES.findall(text):
-            m = MARK.match(line)
-            begin, spans, s = m.end() if m else 0, _spans(line), 0
-            for m in PERIODS.finditer(line, begin):
-                i = m.start()
-                while s < len(spans) and spans[s][1] < i:
-                    s += 1
-                if s < len(spans) and spans[s][0] < i:
-                    continue  # quoted: no sentence ends here whatever the word
-                words = line[max(begin, i - 60) : i].split()
-                if not words or line[i - 1].isspace():
-                    words = [""]
-                key = core(words[-1]) + ("." if m.group(1) == "." else "...")
-                nxt = m.group(2).lstrip(OPENERS)
+            tokens = line.split()
+            if tokens and LIST_MARK.fullmatch(tokens[0]):
+                del tokens[0]
+            if not tokens:
+                continue
+            words.update(tokens)
+            firsts.append(tokens[0])
+            pairs += [(a, b) for a, b in zip(tokens, tokens[1:]) if a[-1] in STOPS]
+        firsts += [b for a, b in pairs if a[-1] not in ".…"]
+        first.update(firsts)
+        if not low:
+            after.update([p for p in pairs if p[0][-1] in ".…"])
+
+    def __len__(self) -> int:
+        return sum(len(c) for d in (self.all, self.first, self.after) for c in d.values())
+
+    def rows(self) -> pa.RecordBatch:
+        out: Counter = Counter()
+        for what, counts in (("all", self.all), ("first", self.first)):
+            for lang, tokens in counts.items():
+                for t, n in tokens.items():
+                    w = head(t)
+                    if w and (w[0] == "#" or w[0].isalnum()):
+                        out[what, lang, w, "", "lower" if t[0].islower() else ""] += n
+        for lang, pairs in self.after.items():
+            for (a, b), n in pairs.items():
+                one = a[-1] == "." and a[-2:] != ".."
+                nxt = b.lstrip(OPENERS)
                 if not nxt or not nxt[0].isalpha():
                     kind = "other"
-                elif cased(nxt[0]) and lang not in CASELESS and nxt[0].islower():
-                    kind = "lower"
                 else:
-                    kind = "starter" if core(nxt) in starters or core(nxt) in common else "name"
-                rows[lang, key, kind] += 1
-                if key == "##." and kind == "name":
-                    rows[lang, f"##.|{core(nxt)}", kind] += 1  # a number may belong to this word
+                    kind = "lower" if lang not in CASELESS and nxt[0].islower() else "upper"
+                out["after", lang, core(a.rstrip(".…")) + ("." if one else "..."), head(nxt), kind] += n
+        self.__init__()
+        what, lang, a, b, kind = list(zip(*out)) or [()] * 5
+        none = lambda t: pa.nulls(len(what), t)
+        return pa.RecordBatch.from_arrays([pa.array(what, pa.string()), none(pa.int64()), none(pa.string()), pa.array(lang, pa.string()), none(pa.bool_()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(kind, pa.string()), pa.array(out.values(), pa.int64())], schema=_ROWS)
+
 
-    return each
+def _prepare(model: Model, count: bool):
+    """Documents with language and case, then the counts of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = _Counts()
+        for b in batches:
+            langs, lows = [], []
+            for text in b.column(1).to_pylist():
+                lang = model.language(text) if text else ""
+                low = bool(text) and lang not in CASELESS and lowered(text)
+                langs.append(lang), lows.append(low)
+                if count and text:
+                    counts.add(text, lang, low)
+            none = lambda t, n=b.num_rows: pa.nulls(n, t)
+            yield pa.RecordBatch.from_arrays([pa.array(["doc"] * b.num_rows, pa.string()), b.column(0).cast(pa.int64()), b.column(1).cast(pa.string()), pa.array(langs, pa.string()), pa.array(lows, pa.bool_()), none(pa.string()), none(pa.string()), none(pa.string()), none(pa.int64())], schema=_ROWS)
+            if len(counts) > 300_000:
+                yield counts.rows()
+        if len(counts):
+            yield counts.rows()
+
+    return run
 
 
 def _llr(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
@@ -252,55 +348,86 @@ def _llr(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
     return 2 * (part(k1, n1, p1) + part(k2, n2, p2) - part(k1, n1, p) - part(k2, n2, p))
 
 
+def languages(documents: DataFrame) -> Model:
+    """A model that only tells languages, from all documents (text, lang)."""
+    model = Model()
+    docs = documents.select("text", F.col("lang").cast("string").alias("lang"))
+    words = docs.mapInArrow(_words, "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("lang"))
+    words = words.withColumn("total", total).where(f"total >= {LABEL_WORDS} and n >= {LEAST_COUNT} and n >= {WORD_SHARE} * total")
+    by: dict[str, dict[str, float]] = {}
+    for r in words.collect():  # at most 5,000 words of each label
+        by.setdefault(r["lang"], {})[r["w"]] = r["n"] / r["total"]
+    # a language of another script has Latin words only from insertions
+    names = sorted(k for k in by if k not in CASELESS and k not in ("ru", "uk", "bg", "el"))
+    vocabulary = {w for k in names for w in by[k]}
+    mean = {w: sum(by[k].get(w, 0) for k in names) / len(names) for w in vocabulary}
+    model.words = names
+    model.weights = {w: tuple(log((by[k].get(w, 0) + 1e-5) / (mean[w] + 1e-5)) for k in names) for w in vocabulary}
+    return model
+
+
+def _learned(rows: DataFrame) -> DataFrame:
+    """(kind, lang, w, value) of all starters, common words, collocated numbers and period types."""
+    n, some = F.sum("n"), lambda c: F.sum(F.when(F.expr(c), F.col("n")).otherwise(0))
+    words = rows.where("what in ('all', 'first')").groupBy("lang", F.col("a").alias("w")).agg(some("what = 'first'").alias("k1"), some("what = 'all'").alias("k2"), (some("what = 'all' and kind = 'lower'") - some("what = 'first' and kind = 'lower'")).alias("lc"))
+    words = cut(words.withColumn("k2", F.col("k2") - F.col("k1")))
+    sums = words.groupBy("lang").agg(F.sum("k1").alias("n1"), F.sum("k2").alias("n2")).where("n1 > 0 and n2 > 0")
+    scored = words.join(small_side(sums), "lang")
+    more = (F.col("k1") / F.col("n1") > F.col("k2") / F.col("n2")) & (_llr(F.col("k1"), F.col("n1"), F.col("k2"), F.col("n2")) >= STARTER_LLR)
+    starters = scored.where(F.col("k1") >= LEAST_COUNT - 2).where(more).select(F.lit("starter").alias("kind"), "lang", "w", (F.col("k1") / (F.col("k1") + F.col("k2"))).alias("value"))
+    common = scored.where(f"lc >= {LEAST_COUNT} and lc >= 0.5 * k2").select(F.lit("common").alias("kind"), "lang", "w", F.lit(1.0).alias("value"))
+
+    pairs = cut(rows.where("what = 'after'").groupBy("lang", "a", "b", "kind").agg(n.alias("n")))
+    ups = pairs.where("kind = 'upper'")
+    firsts = pairs.groupBy("lang", "a").agg(n.alias("n1"))
+    seconds = ups.groupBy("lang", "b").agg(n.alias("nb"))
+    every = pairs.groupBy("lang").agg(n.alias("sn"))
+    met = ups.where(F.col("n") >= LEAST_COUNT).join(firsts, ["lang", "a"]).join(seconds, ["lang", "b"]).join(small_side(every), "lang").where("sn > n1")
+    k1, n1, k2, n2 = F.col("n"), F.col("n1"), F.col("nb") - F.col("n"), F.col("sn") - F.col("n1")
+    close = (k1 / n1 > COLLOCATED * k2 / n2) & (_llr(k1, n1, k2, n2) >= COLLOCATION_LLR)
+    met = met.where(close).select("lang", "a", "b", F.lit(True).alias("met"))
+    known = starters.select("lang", F.col("w").alias("b")).unionByName(common.select("lang", F.col("w").alias("b"))).distinct().withColumn("known", F.lit(True))
+    told = cut(pairs.join(known, ["lang", "b"], "left").join(met, ["lang", "a", "b"], "left").withColumn("u", F.when((F.col("kind") == "upper") & F.col("known") & F.col("met").isNull(), F.col("n")).otherwise(0)))
+    numbers = told.where("a = '##.' and kind = 'upper' and known is null and met").select(F.lit("period").alias("kind"), "lang", F.concat(F.lit("##.|"), "b").alias("w"), F.lit(2.0).alias("value"))
+
+    follow = told.groupBy("lang", F.col("a").alias("w")).agg(F.sum("u").alias("u"), n.alias("n"))
+    sums = told.groupBy("lang").agg(F.sum("u").alias("su"), n.alias("sn"))
+    rated = follow.where(F.col("n") >= LEAST_COUNT).join(small_side(sums), "lang")
+    rest_u, rest_n = F.col("su") - F.col("u"), F.col("sn") - F.col("n")
+    ratio = F.when(rest_n > 0, _llr(F.col("u"), F.col("n"), rest_u, F.greatest(rest_n, F.lit(1)))).otherwise(0.0)
+    share = F.col("u") / F.col("n")
+    rare = (share < F.col("su") / F.col("sn")) & (ratio >= ABBREVIATION_LLR)
+    value = F.when((share >= 0.6) | ~(rare | (share < 0.1)), 0.0).when(share < 0.02, 2.0).otherwise(1.0)
+    # a word that ends sentences is what an unknown word is taken for, unless it is short or before dots
+    odd = F.col("w").rlike(r"^.\.$|\..*\.$")
+    types = rated.select(F.lit("period").alias("kind"), "lang", "w", value.alias("value")).where(odd | (F.col("value") > 0))
+    return starters.unionByName(common).unionByName(types).unionByName(numbers)
+
+
+def learn(rows: DataFrame, model: Model) -> Model:
+    """Adds to a model of languages what the counts of the second pass say."""
+    found = cut(_learned(rows).select(F.xxhash64("kind", "lang", "w").alias("key"), F.col("value").cast("float").alias("value")))
+    if not at_most(found, MOST_TYPES):
+        raise ValueError(f"more than {MOST_TYPES} types were learned")
+    t = found.toArrow()
+    return Model(model.words, model.weights, Types(t.column("key").to_numpy(), t.column("value").to_numpy()))
+
+
+def _prepared(documents: DataFrame, model: Model, count: bool) -> DataFrame:
+    """Documents with their language and case and, with `count`, the counts to learn from; stored, so that each is told once."""
+    ids = F.col("doc_id") if "doc_id" in documents.columns else F.lit(None).cast("bigint").alias("doc_id")
+    return cut(documents.select(ids, "text").mapInArrow(_prepare(model, count), _ROWS_DDL))
+
+
 def train(documents: DataFrame) -> Model:
-    """Learns a model from all documents (text, lang); three passes, partial counts summed by shuffle.
+    """Learns a model from all documents (text, lang); two passes, partial counts summed by shuffle.
 
     Null and empty texts count for nothing; without any text the model is empty and every period
     before white space ends a sentence.
     """
-    docs = documents.select("text", F.col("lang").cast("string").alias("lang"))
-    model = Model()
-    n = F.sum("n").alias("n")
-    words = docs.mapInArrow(_count(_words, ["lang", "w", "n"]), "lang string, w string, n long").groupBy("lang", "w").agg(n)
-    words = cut(words.where(f"n >= {LEAST_COUNT}"))
-    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(n).orderBy(F.desc("n"), "lang").limit(64).collect()}
-    all_ = sum(totals.values())
-    totals = {k: v for k, v in totals.items() if v >= 0.005 * all_}
-    # a language of another script has Latin words only from insertions: fewer a document
-    if totals:
-        share = F.create_map(*[F.lit(x) for k, v in totals.items() for x in (k, float(v))])
-        by: dict[str, dict[str, int]] = {}
-        frequent = words.where(F.col("lang").isin(list(totals)) & (F.col("n") >= 2e-4 * share[F.col("lang")]))
-        for r in frequent.collect():  # at most 5,000 words of each of at most 64 labels
-            by.setdefault(r["lang"], {})[r["w"]] = r["n"]
-        names = [k for k in by if k not in CASELESS and k not in ("ru", "uk", "bg", "el")]
-        vocabulary = {w for k in names for w in by[k]}
-        mean = {w: sum(by[k].get(w, 0) / totals[k] for k in names) / len(names) for w in vocabulary}
-        model.words = names
-        model.weights = {w: tuple(log((by[k].get(w, 0) / totals[k] + 1e-5) / (mean[w] + 1e-5)) for k in names) for w in vocabulary}
-    firsts = docs.mapInArrow(_count(_first_words(model), ["lang", "w", "at", "n"]), "lang string, w string, at string, n long")
-    firsts = cut(firsts.groupBy("lang", "w").agg(F.sum(F.when(F.col("at") == "first", F.col("n")).otherwise(0)).alias("k1"), F.sum(F.when(F.col("at") != "first", F.col("n")).otherwise(0)).alias("k2"), F.sum(F.when(F.col("at") == "lower", F.col("n")).otherwise(0)).alias("lc")))
-    sums = firsts.groupBy("lang").agg(F.sum("k1").alias("n1"), F.sum("k2").alias("n2"))
-    scored = firsts.join(F.broadcast(sums), "lang").where("n1 > 0 and n2 > 0").where(f"k1 >= greatest({LEAST_COUNT - 2}, {LEAST_SHARE} * n1)")
-    scored = scored.where((F.col("k1") / F.col("n1") > F.col("k2") / F.col("n2")) & (_llr(F.col("k1"), F.col("n1"), F.col("k2"), F.col("n2")) >= STARTER_LLR))
-    for r in scored.select("lang", "w", (F.col("k1") / (F.col("k1") + F.col("k2"))).alias("s")).collect():
-        model.starters.setdefault(r["lang"], {})[r["w"]] = r["s"]
-    common = firsts.join(F.broadcast(sums), "lang").where(f"lc >= greatest({LEAST_COUNT}, {LEAST_SHARE} * n2) and lc >= 0.5 * k2")
-    for r in common.select("lang", "w").collect():
-        model.common.setdefault(r["lang"], set()).add(r["w"])
-    follow = docs.mapInArrow(_count(_followers(model), ["lang", "w", "kind", "n"]), "lang string, w string, kind string, n long")
-    pick = lambda *k: F.sum(F.when(F.col("kind").isin(*k), F.col("n")).otherwise(0))
-    follow = cut(follow.groupBy("lang", "w").agg(pick("starter").alias("u"), pick("lower").alias("l"), n))
-    sums = follow.groupBy("lang").agg(F.sum("u").alias("su"), F.sum("n").alias("sn"))
-    rated = follow.join(F.broadcast(sums), "lang").where(f"n >= greatest({LEAST_COUNT}, {LEAST_SHARE} * sn)")
-    rest_u, rest_n = F.col("su") - F.col("u"), F.col("sn") - F.col("n")
-    ratio = F.when(rest_n > 0, _llr(F.col("u"), F.col("n"), rest_u, F.greatest(rest_n, F.lit(1)))).otherwise(0.0)
-    rated = rated.select("lang", "w", (F.col("u") / F.col("n")).alias("b"), ((F.col("u") / F.col("n") < F.col("su") / F.col("sn")) & (ratio >= ABBREVIATION_LLR)).alias("rare"))
-    for r in rated.collect():
-        b = r["b"]
-        kind = "ends" if b >= 0.6 or not (r["rare"] or b < 0.1) else "never" if b < 0.02 else "mixed"
-        model.types.setdefault(r["lang"], {})[r["w"]] = kind
-    return model
+    model = languages(documents)
+    return learn(_prepared(documents, model, True), model)
 
 
 # ---------------------------------------------------------------- splitting
@@ -337,16 +464,16 @@ def _spans(line: str) -> list[tuple[int, int]]:
 class Splitter:
     """Splits one document; holds its language and whether it is in lower case."""
 
-    def __init__(self, model: Model, text: str):
+    def __init__(self, model: Model, text: str, lang: str | None = None, low: bool | None = None):
         self.m, self.text = model, text
-        self.lang = model.language(text)
-        self.low = self.lang not in CASELESS and lowered(text)
+        self.lang = model.language(text) if lang is None else lang
+        self.low = (self.lang not in CASELESS and lowered(text)) if low is None else low
 
     def _clause(self, text: str) -> str:
         """Language of a few words: the document's, or English inserted into it."""
         if self.lang == "en":
             return "en"
-        words = [w.lower() for w in LATIN.findall(text)]
+        words = LATIN.findall(text.lower())
         if not words:
             return self.lang
         if self.lang in CASELESS or self.lang == "ru":
@@ -358,10 +485,9 @@ class Splitter:
         w = nxt.lstrip(OPENERS)
         if not w:
             return True  # an opening mark by itself
-        c, key = w[0], core(nxt.lstrip(OPENERS))
+        c, key = w[0], head(w)
         lang = self._clause(rest)
-        starters = self.m.starters.get(lang, {})
-        share = starters.get(key)
+        share = self.m.starter(lang, key)
         if not c.isalpha():
             return not strict
         if not cased(c):
@@ -374,7 +500,7 @@ class Splitter:
             return share is not None if strict else True
         if not c.isupper():
             return False
-        return share is not None or not strict or key in self.m.common.get(lang, ())
+        return share is not None or not strict or self.m.common(lang, key)
 
     def _period(self, line: str, begin: int, i: int, j: int) -> bool:
         """Whether the period or dots line[i:j] end a sentence that began at `begin`."""
@@ -405,14 +531,14 @@ class Splitter:
         key = core(tok)
         closed = tok[-1] in CLOSERS and tok[-1] != "'"
         lang = self._clause(before[-60:]) if not closed else self.lang
-        kind = "ends" if closed else self.m.types.get(lang, {}).get(key + ("..." if dots else "."))
+        kind = "ends" if closed else self.m.period(lang, key + ("..." if dots else "."))
         w = tok.lstrip(OPENERS)
         if kind is None:
             short = len(w) == 1 and w.isalpha() or ("." in w and not any(c.isdigit() for c in w) and max(map(len, w.split("."))) <= 2)
             kind = "mixed" if short or dots else "ends"
         elif kind == "ends" and len(w) == 1 and w.isalpha() and w.isupper():
             kind = "mixed"
-        if kind == "never" or (key == "##" and self.m.types.get(lang, {}).get(f"##.|{core(token.lstrip(OPENERS))}") == "never"):
+        if kind == "never" or (key == "##" and self.m.period(lang, f"##.|{head(token.lstrip(OPENERS))}") == "never"):
             return False
         if kind == "mixed":
             return self._starts(token, rest, True)
@@ -510,25 +636,30 @@ class Splitter:
         return not (c.isascii() and (c.islower() or c.isdigit() or c in "=&/_"))
 
 
-def split(text: str | None, model: Model) -> list[tuple[int, int]]:
-    """The sentences of a text as half-open offsets in code points; none for null, empty and blank texts."""
+def split(text: str | None, model: Model, lang: str | None = None, low: bool | None = None) -> list[tuple[int, int]]:
+    """The sentences of a text as half-open offsets in code points; none for null, empty and blank texts.
+
+    `lang` and `low` (whether sentences begin in lower case) are told from the text if not given.
+    """
     if not text:
         return []
-    s = Splitter(model, text)
+    s = Splitter(model, text, lang, low)
     return [x for m in LINES.finditer(text) for x in s.line(m.start(), m.end())]
 
 
 def sentences(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, sent_start, sent_end) of every sentence of every document, by a model of the same documents unless one is given."""
-    model = model or train(documents)
-    shipped = documents.sparkSession.sparkContext.broadcast(model)
+    tells = model or languages(documents)
+    rows = _prepared(documents, tells, model is None)
+    shipped = documents.sparkSession.sparkContext.broadcast(model or learn(rows, tells))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shipped.value
         for b in batches:
             ids, starts, ends = [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for a, z in split(t, shipped.value):
+            for d, t, lang, low in zip(*(b.column(i).to_pylist() for i in range(4))):
+                for a, z in split(t, m, lang, low):
                     ids.append(d), starts.append(a), ends.append(z)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["doc_id", "sent_start", "sent_end"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, sent_start int, sent_end int")
+    return rows.where("what = 'doc'").select("doc_id", "text", "lang", "low").mapInArrow(run, "doc_id long, sent_start int, sent_end int")
