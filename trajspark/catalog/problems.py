@@ -63,12 +63,33 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_table(spark: SparkSession, folder: str) -> DataFrame:
-    """All revisions in one layout, with the fields outside it in `other`; arrays and maps as text."""
-    t = drift.unified(_valid(spark, folder)).withColumn("other", F.map_from_entries(F.array_sort(F.map_entries("other"))))
+    """All revisions in one layout, with the fields outside it in `other`; arrays and maps as text.
+
+    Renames that no rule knows are taken from the changes recorded.
+    """
+    valid = _valid(spark, folder)
+    t = drift.unified(valid, drift.RENAMES + drift.learned_renames(drift.schema_changes(valid))).withColumn("other", F.map_from_entries(F.array_sort(F.map_entries("other"))))
     return t.select(*[F.to_json(c).alias(c) if k.startswith(("array", "map")) else c for c, k in t.dtypes])
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_report, p5_found, p5_plan, p5_compact, p7_found, p7_table)}
+def p7_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Every field of every revision under the path it has in the table, with its type and plain value."""
+    rows = drift.routed(_valid(spark, folder)).select("dataset_id", "revision", F.explode("m").alias("path", "v"))
+    v = F.col("v")
+    kind = F.when(v == "null", "null").when(v.isin("true", "false"), "boolean").when(v.startswith('"'), "string").when(v.startswith("["), "array").otherwise("number")
+    rows = rows.withColumn("type", kind)
+    text = F.when(F.col("type") == "string", F.get_json_object(F.concat(F.lit('{"x":'), v, F.lit("}")), "$.x")).when(F.col("type") == "boolean", v)
+    number = F.when(F.col("type") == "number", v.try_cast("double")).when(F.col("type") == "array", F.json_array_length(v).cast("double"))
+    return rows.select("dataset_id", "revision", "path", "type", text.alias("text_value"), number.alias("number_value"))
+
+
+def p7_schemas(spark: SparkSession, folder: str) -> DataFrame:
+    """The registry of schemas, by their paths: how many revisions and data sets have each, and its first revision."""
+    t = drift.schemas(_valid(spark, folder))
+    return t.select(F.array_join("paths", " ").alias("paths"), "n_revisions", "n_sources", "first_revision")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_report, p5_found, p5_plan, p5_compact, p7_found, p7_table, p7_fields, p7_schemas)}
 
 _PATH = "regexp_replace(regexp_replace({0}, '/{{2,}}', '/', 'g'), '^(\\./)+', '')".format
 
@@ -112,7 +133,7 @@ per as (select dataset_id, data_path, sum(n) n_rows, count(*) filter (own) n_new
 plan as (select dataset_id, data_path, coalesce(n_rows, 0) n_rows, coalesce(n_new, 0) n_new from listed left join per using (dataset_id, data_path))
 """
 
-_DRIFT = """
+_WALK = """
 with recursive valid as (
  select dataset_id, revision, arg_min(body, received_at) body from info_files where json_valid(body) group by all
 ), walk(dataset_id, revision, path, v) as (
@@ -124,7 +145,9 @@ with recursive valid as (
  select dataset_id, revision, path, v::varchar v,
   case json_type(v) when 'VARCHAR' then 'string' when 'NULL' then 'null' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' else 'number' end t
  from walk where json_type(v) <> 'OBJECT'
-), steps as (select dataset_id, revision, lag(revision) over (partition by dataset_id order by revision) was from valid),
+)"""
+
+_DRIFT = _WALK + """, steps as (select dataset_id, revision, lag(revision) over (partition by dataset_id order by revision) was from valid),
 both_ as (
  select s.dataset_id, s.revision, coalesce(a.path, b.path) path, a.v av, a.t tm, b.v bv, b.t bt
  from (select s.dataset_id, s.revision, f.path, f.v, f.t from steps s join f on f.dataset_id = s.dataset_id and f.revision = s.was) a
@@ -147,7 +170,24 @@ where (bt is null) or (tm is null and q.come is null)
  or (tm <> 'null' and bt <> 'null' and (tm <> bt or (tm = 'array' and av <> bv and path like '%/shape')))
 """
 
+
+
+def _renamed() -> str:
+    """SQL that takes the fields through the renames, one after the other, where the new path is free."""
+    out = ", g0 as (select dataset_id, revision, path, v, t from f)"
+    for i, (old, new) in enumerate(drift.RENAMES):
+        out += f", g{i + 1} as (select g.dataset_id, g.revision, case when g.path = '{old}' and not exists (select 1 from g{i} h where h.dataset_id = g.dataset_id and h.revision = g.revision and h.path = '{new}') then '{new}' else g.path end path, g.v, g.t from g{i} g)"
+    return out
+
+
 ORACLES = {
+    "p7_fields": _WALK
+    + _renamed()
+    + f""" select dataset_id, revision, path, t as "type", case t when 'string' then v::json ->> '$' when 'boolean' then v end text_value,
+ case t when 'number' then v::double when 'array' then json_array_length(v::json)::double end number_value from g{len(drift.RENAMES)}""",
+    "p7_schemas": _WALK
+    + """, p as (select dataset_id, revision, string_agg(path || ':' || t, ' ' order by path) paths from f group by all)
+select paths, count(*) n_revisions, count(distinct dataset_id) n_sources, min(revision) first_revision from p group by 1""",
     "p4_found": _REFS + "select * from found where state is not null",
     "p4_report": _REFS + "select src_table, ref_field, state, period, count(*) n from found where state is not null group by all",
     "p5_found": _OWN + "select dataset_id, data_path from plan where n_new = 0",
