@@ -32,3 +32,12 @@ def partitions_for(df: DataFrame, bytes_each: int = BYTES_A_TASK) -> int:
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return max(least, -(-size // bytes_each)) if size < 1 << 60 else least
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` for costly work per row: dealt evenly to all cores if it is read in fewer pieces than there are.
+
+    Only what lies in few small files is shuffled so; a scan of many pieces stays as it is.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
