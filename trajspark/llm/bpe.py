@@ -22,6 +22,8 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
+from trajspark.plans.sizes import spread
+
 #: Fixed value: the pattern that cuts a text into pieces before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -239,12 +241,12 @@ def _map(path: str, ids: bool):
 
 def encode(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids) of every document; empty and null texts have an empty list."""
-    return documents.select("doc_id", "text").mapInArrow(_map(path, True), "doc_id long, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(_map(path, True), "doc_id long, ids array<int>")
 
 
 def lengths(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens) of every document; 0 for empty and null texts."""
-    return documents.select("doc_id", "text").mapInArrow(_map(path, False), "doc_id long, n_tokens long")
+    return spread(documents.select("doc_id", "text")).mapInArrow(_map(path, False), "doc_id long, n_tokens long")
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:

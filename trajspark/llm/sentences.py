@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.plans.shared import cut
-from trajspark.plans.sizes import at_most, small_side
+from trajspark.plans.sizes import at_most, spread
 
 # Three-letter language codes and their two-letter forms.
 TWO_LETTERS = {"eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "rus": "ru", "jpn": "ja", "zho": "zh", "chi": "zh", "cmn": "zh", "kor": "ko", "hin": "hi", "ara": "ar", "tha": "th", "ita": "it", "por": "pt", "nld": "nl", "dut": "nl", "pol": "pl", "tur": "tr"}
@@ -48,7 +48,10 @@ BRACKETS = "(（[【"
 LINES = re.compile(r"[^\n\r\x0b\x0c\x85  ]+")
 MARK = re.compile(r"\s*(?:(?:\d{1,4}|[A-Za-z])[.)](?=\s)|[-*•–—·▪◦‣]+(?=\s))\s*")
 NUMBERED = re.compile(r"\s*\d{1,4}[.](?=\s)")
-EVENTS = re.compile("[" + re.escape(END) + "]+|[\"" + re.escape("".join(PAIRS) + "".join(PAIRS.values())) + "]|(?<=[฀-๿])\\s+(?=[฀-๿])")
+# a single period right before a digit or small letter (13.7, file.txt) never ends a sentence
+EVENTS = re.compile(r"(?:\.(?![0-9a-z])|[" + re.escape(END.replace(".", "")) + "])[" + re.escape(END) + "]*|[\"" + re.escape("".join(PAIRS) + "".join(PAIRS.values())) + "]")
+THAI = re.compile("[฀-๿]")
+THAI_EVENTS = re.compile(EVENTS.pattern + "|(?<=[฀-๿])\\s+(?=[฀-๿])")
 WORDS = re.compile(r"\S+")
 MARKS = re.compile("[\"" + re.escape("".join(PAIRS) + "".join(PAIRS.values())) + "]")
 LATIN = re.compile(r"[A-Za-zÀ-ɏ]+(?:['’][A-Za-z]+)?")
@@ -94,6 +97,22 @@ def script_of(c: str) -> str:
     return "l" if c.isalpha() and o < 0x2000 else ""
 
 
+SCRIPTS = ("", "l", "c", "ar", "hi", "th", "ko", "ja", "zh")
+
+
+@lru_cache(maxsize=1)
+def _script_table() -> np.ndarray:
+    """The number of each code point's script among SCRIPTS; the last entry stands for all beyond."""
+    return np.array([SCRIPTS.index(script_of.__wrapped__(chr(o))) for o in range(0x32000)] + [0], np.uint8)
+
+
+def scripts(text: str) -> Counter:
+    """How many characters of each script a text has."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    table = _script_table()
+    return Counter({k: int(n) for k, n in zip(SCRIPTS, np.bincount(table[np.minimum(codes, len(table) - 1)], minlength=len(SCRIPTS))) if k and n})
+
+
 def cased(c: str) -> bool:
     return c.lower() != c.upper()
 
@@ -189,7 +208,7 @@ class Model:
 
     def latin(self, words: list[str], among: list[str] | None = None, default: str = "en") -> str:
         """The likeliest of the Latin-script languages."""
-        hits = [self.weights[w] for w in words if w in self.weights]
+        hits = [x for x in map(self.weights.get, words) if x]
         if not hits:
             return default
         best, name = 0.0, default
@@ -201,10 +220,7 @@ class Model:
     def language(self, text: str) -> str:
         """A document's language: its main script, or for Latin script its words."""
         if not text.isascii():
-            n: Counter = Counter()
-            for c, k in Counter(text).items():
-                n[script_of(c)] += k
-            n.pop("", None)
+            n = scripts(text)
             if not n:
                 return "en"
             if n["ja"] and n["ja"] * 8 > n["zh"] and n["ja"] + n["zh"] > n["l"] / 2:
@@ -221,7 +237,7 @@ class Model:
 CASELESS = {"ar", "hi", "th", "ko", "ja", "zh"}
 
 
-_AFTER_END = re.compile(r"(?<=[^\W\d_]{4})[.!?]\s+[" + re.escape(OPENERS) + r"]*([^\W\d_])")
+_AFTER_END = re.compile(r"[.!?](?<=[^\W\d_]{4}.)\s+[" + re.escape(OPENERS) + r"]*([^\W\d_])")
 _LINE_START = re.compile(r"[\n\r](?:\s*(?:\d{1,4}[.)]|[-*•–—·▪◦‣]+)(?=\s))?\s*[" + re.escape(OPENERS) + r"]*([^\W\d_])")
 
 
@@ -351,7 +367,7 @@ def _llr(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
 def languages(documents: DataFrame) -> Model:
     """A model that only tells languages, from all documents (text, lang)."""
     model = Model()
-    docs = documents.select("text", F.col("lang").cast("string").alias("lang"))
+    docs = spread(documents.select("text", F.col("lang").cast("string").alias("lang")))
     words = docs.mapInArrow(_words, "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
     total = F.sum("n").over(Window.partitionBy("lang"))
     words = words.withColumn("total", total).where(f"total >= {LABEL_WORDS} and n >= {LEAST_COUNT} and n >= {WORD_SHARE} * total")
@@ -368,12 +384,15 @@ def languages(documents: DataFrame) -> Model:
 
 
 def _learned(rows: DataFrame) -> DataFrame:
-    """(kind, lang, w, value) of all starters, common words, collocated numbers and period types."""
+    """(kind, lang, w, value) of all starters, common words, collocated numbers and period types.
+
+    The sides broadcast have one row a language: at most the labels there can be, and the scripts.
+    """
     n, some = F.sum("n"), lambda c: F.sum(F.when(F.expr(c), F.col("n")).otherwise(0))
     words = rows.where("what in ('all', 'first')").groupBy("lang", F.col("a").alias("w")).agg(some("what = 'first'").alias("k1"), some("what = 'all'").alias("k2"), (some("what = 'all' and kind = 'lower'") - some("what = 'first' and kind = 'lower'")).alias("lc"))
     words = cut(words.withColumn("k2", F.col("k2") - F.col("k1")))
     sums = words.groupBy("lang").agg(F.sum("k1").alias("n1"), F.sum("k2").alias("n2")).where("n1 > 0 and n2 > 0")
-    scored = words.join(small_side(sums), "lang")
+    scored = words.join(F.broadcast(sums), "lang")
     more = (F.col("k1") / F.col("n1") > F.col("k2") / F.col("n2")) & (_llr(F.col("k1"), F.col("n1"), F.col("k2"), F.col("n2")) >= STARTER_LLR)
     starters = scored.where(F.col("k1") >= LEAST_COUNT - 2).where(more).select(F.lit("starter").alias("kind"), "lang", "w", (F.col("k1") / (F.col("k1") + F.col("k2"))).alias("value"))
     common = scored.where(f"lc >= {LEAST_COUNT} and lc >= 0.5 * k2").select(F.lit("common").alias("kind"), "lang", "w", F.lit(1.0).alias("value"))
@@ -383,7 +402,7 @@ def _learned(rows: DataFrame) -> DataFrame:
     firsts = pairs.groupBy("lang", "a").agg(n.alias("n1"))
     seconds = ups.groupBy("lang", "b").agg(n.alias("nb"))
     every = pairs.groupBy("lang").agg(n.alias("sn"))
-    met = ups.where(F.col("n") >= LEAST_COUNT).join(firsts, ["lang", "a"]).join(seconds, ["lang", "b"]).join(small_side(every), "lang").where("sn > n1")
+    met = ups.where(F.col("n") >= LEAST_COUNT).join(firsts, ["lang", "a"]).join(seconds, ["lang", "b"]).join(F.broadcast(every), "lang").where("sn > n1")
     k1, n1, k2, n2 = F.col("n"), F.col("n1"), F.col("nb") - F.col("n"), F.col("sn") - F.col("n1")
     close = (k1 / n1 > COLLOCATED * k2 / n2) & (_llr(k1, n1, k2, n2) >= COLLOCATION_LLR)
     met = met.where(close).select("lang", "a", "b", F.lit(True).alias("met"))
@@ -393,7 +412,7 @@ def _learned(rows: DataFrame) -> DataFrame:
 
     follow = told.groupBy("lang", F.col("a").alias("w")).agg(F.sum("u").alias("u"), n.alias("n"))
     sums = told.groupBy("lang").agg(F.sum("u").alias("su"), n.alias("sn"))
-    rated = follow.where(F.col("n") >= LEAST_COUNT).join(small_side(sums), "lang")
+    rated = follow.where(F.col("n") >= LEAST_COUNT).join(F.broadcast(sums), "lang")
     rest_u, rest_n = F.col("su") - F.col("u"), F.col("sn") - F.col("n")
     ratio = F.when(rest_n > 0, _llr(F.col("u"), F.col("n"), rest_u, F.greatest(rest_n, F.lit(1)))).otherwise(0.0)
     share = F.col("u") / F.col("n")
@@ -417,7 +436,7 @@ def learn(rows: DataFrame, model: Model) -> Model:
 def _prepared(documents: DataFrame, model: Model, count: bool) -> DataFrame:
     """Documents with their language and case and, with `count`, the counts to learn from; stored, so that each is told once."""
     ids = F.col("doc_id") if "doc_id" in documents.columns else F.lit(None).cast("bigint").alias("doc_id")
-    return cut(documents.select(ids, "text").mapInArrow(_prepare(model, count), _ROWS_DDL))
+    return cut(spread(documents.select(ids, "text")).mapInArrow(_prepare(model, count), _ROWS_DDL))
 
 
 def train(documents: DataFrame) -> Model:
@@ -468,6 +487,7 @@ class Splitter:
         self.m, self.text = model, text
         self.lang = model.language(text) if lang is None else lang
         self.low = (self.lang not in CASELESS and lowered(text)) if low is None else low
+        self.events = THAI_EVENTS if not text.isascii() and THAI.search(text) else EVENTS
 
     def _clause(self, text: str) -> str:
         """Language of a few words: the document's, or English inserted into it."""
@@ -514,8 +534,9 @@ class Splitter:
         if token[0] in ",;:،؛，、" or (token[0] in "—–-" and not dots):
             return False
         before = line[begin:i]
-        k = max(before.rfind(" "), before.rfind(" "), before.rfind("\t"))
-        tok = before[k + 1 :]
+        tok = before[before.rfind(" ") + 1 :]
+        if "\t" in tok or "\u00a0" in tok:
+            tok = re.split("[\t\u00a0]", tok)[-1]
         if not spaced:
             c = rest[0]
             if script_of(c) in ("zh", "ja", "ko", "ar", "hi", "th"):
@@ -574,20 +595,20 @@ class Splitter:
         mark = MARK.match(line)
         begin = 0
         body = mark.end() if mark else 0
-        spans = _spans(line)
+        spans = _spans(line) if MARKS.search(line) else ()
         opens = {o for o, _ in spans}
         s = 0
         cuts: list[int] = []
         pos = 0
-        for m in EVENTS.finditer(line):
-            i, j = m.start(), m.end()
+        for m in self.events.finditer(line):
+            i, j = m.span()
             if i < pos:
                 continue
-            while s < len(spans) and spans[s][1] < i:
-                s += 1
-            inside = s < len(spans) and spans[s][0] < i < spans[s][1]
-            if inside:
-                continue
+            if spans:
+                while s < len(spans) and spans[s][1] < i:
+                    s += 1
+                if s < len(spans) and spans[s][0] < i < spans[s][1]:
+                    continue
             c = line[i]
             head = max(begin, body) if begin == 0 else begin
             if c.isspace():
@@ -604,10 +625,10 @@ class Splitter:
                 continue
             if mark and i < body:
                 continue
+            run = line[i:j]
             while j < len(line) and line[j] in CLOSERS and j not in opens:
                 j += 1
-            run = line[i : m.end()]
-            if all(x in DOTS for x in run):
+            if run == "." or not run.strip(DOTS):
                 ends = self._period(line, head, i, j)
             else:
                 ends = self._strong(line, j)
@@ -615,12 +636,10 @@ class Splitter:
                 cuts.append(j)
                 begin, pos = j, j
         for a, b in zip([0, *cuts], [*cuts, len(line)]):
-            while a < b and line[a].isspace():
-                a += 1
-            while b > a and line[b - 1].isspace():
-                b -= 1
-            if a < b:
-                yield at + a, at + b
+            part = line[a:b].rstrip()
+            if part:
+                z = a + len(part)
+                yield at + z - len(part.lstrip()), at + z
 
     def _strong(self, line: str, j: int) -> bool:
         """Whether an exclamation, question or full stop of another script ends a sentence at j."""
