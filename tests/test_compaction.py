@@ -5,7 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from trajspark.operators.compaction import bins, compact, consolidate, contributions, list_files, treatment
+from trajspark.operators.compaction import binned, compact, consolidate, contributions, list_files, treatment
 from trajspark.sources.parquet_blocks import concat_files, read_footer
 
 FRAMES = "dataset_id string, episode_index long, frame_index long, data_path string, received_at timestamp"
@@ -73,9 +73,10 @@ def test_what_each_file_contributes(spark):
 
 
 def test_bins(spark):
-    df = spark.createDataFrame([("d", f"x/{i:03d}", 10) for i in range(20)], "dataset_id string, data_path string, n long")
-    sizes = [r["count"] for r in bins(df, "n", 50).groupBy("bin").count().collect()]
+    df = spark.createDataFrame([("d", f"x/{i:03d}", 10) for i in range(20)], "dataset_id string, path string, n_bytes long")
+    sizes = [r["count"] for r in binned(df, 200, 50, ["dataset_id"], "path").groupBy("bin").count().collect()]
     assert sizes == [5, 5, 5, 5]
+    assert len({r["bin"][:6] for r in binned(df, 8000, 50, ["path"], "path").collect()}) > 5  # ranges grow with the bytes
 
 
 def test_every_record_once_in_the_consolidated_files(spark, tmp_path):
@@ -84,12 +85,34 @@ def test_every_record_once_in_the_consolidated_files(spark, tmp_path):
     rows = [("a", 1, 0, "p2"), ("a", 1, 1, "p2"), ("a", 1, 1, "p1"), ("a", 1, 2, "p1"), ("a", 1, 2, ".//p1"), ("a", 1, 0, "p3"), ("a", 1, 2, "p3"), ("a", 1, 40000, "p1"), ("b", 1, 0, "p1"), ("a", 2, 0, "unlisted"), ("a", 1, 0, "unlisted"), ("a", 3, 7, None), ("a", None, 0, "p3"), (None, 1, 0, "p3")]
     rows += [("a", 5, i, "p1") for i in range(100)] + [("a", 5, i, "p3") for i in range(50, 170)]
     df = spark.createDataFrame([(*r, t(1)) for r in rows], FRAMES)
-    done = consolidate(df, spark.createDataFrame(files, FILES), str(tmp_path / "out")).collect()
+    done, account = consolidate(df, spark.createDataFrame(files, FILES), str(tmp_path / "out"))
+    done = done.collect()
+    went = {(r["dataset_id"], r["file"], r["piece"], r["bucket"]): (r["treatment"], r["n_rows"], r["n_left"], r["out_path"] is not None) for r in account.collect()}
+    assert went["a", "p2", 0, 0] == ("copy", 2, 2, True) and went["a", "p3", 0, 0] == ("rewrite", 122, 70, True) and went["a", "p1", 0, 0][0] == "rewrite" and went["a", "p1", 0, 1] == ("copy", 1, 1, True)
     got = [(r[0], r[1], r[2], (r[3] or "").replace(".//", "")) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     want = {("a", 1, 0): "p2", ("a", 1, 1): "p2", ("a", 1, 2): "p1", ("a", 1, 40000): "p1", ("b", 1, 0): "p1", ("a", 2, 0): "unlisted", ("a", 3, 7): ""} | {("a", 5, i): "p1" if i < 100 else "p3" for i in range(170)}
     assert len(got) == len(want) and {r[:3]: r[3] for r in got} == want
     assert sum(r["n_rows"] for r in done) == len(want) and all(r["ok"] for r in done)
-    assert sum(r["n_rows"] for r in consolidate(df.where("false"), spark.createDataFrame([], FILES), str(tmp_path / "none")).collect()) == 0
+    none, nothing = consolidate(df.where("false"), spark.createDataFrame([], FILES), str(tmp_path / "none"))
+    assert none.count() == nothing.count() == 0
+    # the outputs are files to copy themselves: consolidating again keeps every record
+    again, kept = consolidate(spark.read.parquet(str(tmp_path / "out")), spark.createDataFrame(files, FILES), str(tmp_path / "again"))
+    assert sum(r["n_rows"] for r in again.collect()) == len(want) and {r["treatment"] for r in kept.collect()} == {"copy"}
+
+
+def test_many_outputs_are_copied_by_many_tasks(spark, tmp_path):
+    rows = [(f"d{i % 7}", i // 50, i % 50, f"f{i // 50}") for i in range(20_000)]
+    t = D(2024, 1, 1)
+    df = spark.createDataFrame([(*r, t) for r in rows], FRAMES)
+    done, _ = consolidate(df, spark.createDataFrame([], FILES), str(tmp_path / "out"), target=100_000)
+    assert done.count() > 8 and sum(r["n_rows"] for r in done.collect()) == df.select("dataset_id", "episode_index", "frame_index").distinct().count()
+    assert done.rdd.getNumPartitions() > 1
+
+
+def test_columns_of_any_name_are_kept(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, 0, "p", D(2024, 1, 1), "x", 5), ("a", -70, -3, "p", D(2024, 1, 1), "y", 6)], FRAMES + ", file string, piece long")
+    consolidate(df, spark.createDataFrame([], FILES), str(tmp_path / "out"))
+    assert sorted((r["frame_index"], r["file"], r["piece"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(-3, "y", 6), (0, "x", 5)]
 
 
 def test_p5_compact_holds_the_distinct_records(spark, data):

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajspark.functions.paths import plain_path
 from trajspark.operators import compaction, drift, orphans, spikes
 from trajspark.plans.shared import cut, shared_folder
 from trajspark.plans.tables import table
@@ -36,8 +37,27 @@ def _plan(spark: SparkSession, folder: str) -> DataFrame:
     return compaction.treatment(compaction.contributions(table(spark, folder, "frames"), table(spark, folder, "stored_files")))
 
 
+def _consolidated(spark: SparkSession, folder: str) -> tuple[str, DataFrame, DataFrame]:
+    """The folder of the consolidated files, the files, and the account of where each small file went."""
+    import uuid
+
+    to = f"{shared_folder(spark).rstrip('/')}/compact-{uuid.uuid4().hex}"
+    return to, *compaction.consolidate(table(spark, folder, "frames"), table(spark, folder, "stored_files"), to)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _plan(spark, folder).where("treatment = 'drop'").select("dataset_id", "data_path")
+    """Listed files of which the consolidation put neither a block nor a row into any output."""
+    _, _, account = _consolidated(spark, folder)
+    listed = compaction.listed_files(table(spark, folder, "stored_files")).select("dataset_id", F.col("file").alias("data_path"))
+    used = account.where("out_path is not null").select("dataset_id", F.col("file").alias("data_path")).distinct()
+    return listed.join(used, ["dataset_id", "data_path"], "left_anti")
+
+
+def p5_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The frame records read back from the consolidated files, each with the plain path of the small file it came from."""
+    to, _, _ = _consolidated(spark, folder)
+    rows = spark.read.schema(table(spark, folder, "frames").schema).parquet(to)
+    return rows.select("dataset_id", "episode_index", "frame_index", plain_path(F.col("data_path")).alias("data_path"))
 
 
 def p5_plan(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,11 +67,7 @@ def p5_plan(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_compact(spark: SparkSession, folder: str) -> DataFrame:
     """The consolidated files, of 128 MB in the shared folder: every frame record exactly once, which is checked."""
-    import uuid
-
-    to = f"{shared_folder(spark).rstrip('/')}/compact-{uuid.uuid4().hex}"
-    done = compaction.consolidate(table(spark, folder, "frames"), table(spark, folder, "stored_files"), to)
-    return done.select("n_files", "n_rows", "n_blocks", "n_bytes", "ok")
+    return _consolidated(spark, folder)[1].select("n_files", "n_rows", "n_blocks", "n_bytes", "ok")
 
 
 def _valid(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,7 +105,7 @@ def p7_schemas(spark: SparkSession, folder: str) -> DataFrame:
     return t.select(F.array_join("paths", " ").alias("paths"), "n_revisions", "n_sources", "first_revision")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_report, p5_found, p5_plan, p5_compact, p7_found, p7_table, p7_fields, p7_schemas)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_report, p5_found, p5_plan, p5_compact, p5_records, p7_found, p7_table, p7_fields, p7_schemas)}
 
 _PATH = "regexp_replace(regexp_replace({0}, '/{{2,}}', '/', 'g'), '^(\\./)+', '')".format
 
@@ -190,6 +206,10 @@ ORACLES = {
 select paths, count(*) n_revisions, count(distinct dataset_id) n_sources, min(revision) first_revision from p group by 1""",
     "p4_found": _REFS + "select * from found where state is not null",
     "p4_report": _REFS + "select src_table, ref_field, state, period, count(*) n from found where state is not null group by all",
+    "p5_records": f"""with listed as (select dataset_id, {_PATH('path')} f, min(received_at) tm from stored_files where kind = 'data' group by all),
+h as (select distinct dataset_id, coalesce({_PATH('data_path')}, '') f, episode_index, frame_index from frames where dataset_id is not null and episode_index is not null and frame_index is not null)
+select dataset_id, episode_index, frame_index, nullif(f, '') data_path from (
+ select h.*, row_number() over (partition by dataset_id, episode_index, frame_index order by f = '', tm is null, tm, f) r from h left join listed using (dataset_id, f)) where r = 1""",
     "p5_found": _OWN + "select dataset_id, data_path from plan where n_new = 0",
     "p5_plan": _OWN + "select dataset_id, case when n_new = 0 then 'drop' when n_new = n_rows then 'copy' else 'rewrite' end treatment, count(*) n_files, sum(n_rows)::bigint n_rows, sum(n_new)::bigint n_new from plan group by all",
     "p7_found": _DRIFT,

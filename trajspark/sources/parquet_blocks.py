@@ -6,6 +6,7 @@ is kept as it was. Nothing is decompressed or decoded, so the cost is that of co
 """
 
 import struct
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 MAGIC = b"PAR1"
@@ -111,7 +112,7 @@ def _write_value(kind: int, v) -> bytes:
     if kind == MAP:
         a, b, xs = v
         return _varint(len(xs)) + (bytes([a << 4 | b]) + b"".join(_write_value(a, x) + _write_value(b, y) for x, y in xs) if xs else b"")
-    return _write_struct(v)
+    return v if isinstance(v, bytes) else _write_struct(v)
 
 
 def _write_struct(fields: list) -> bytes:
@@ -189,9 +190,12 @@ def _chunk_range(meta: list) -> tuple[int, int]:
     return min(x for x in (data, dictionary) if x) if data or dictionary else 0, _get(meta, 7)
 
 
-def concat_files(sources: list, target) -> dict:
+def concat_files(sources: Iterable, target) -> dict:
     """Writes the row groups of the open files `sources` into `target`; returns what was validated.
 
+    Each file is done with before the next is asked for, so an iterator may open them one by one. Of
+    the blocks copied only their new metadata, as bytes, are kept until the end.
+
     All files must have one schema (and one set of key-value pairs, which hold readers' schemas).
     Page indexes and bloom filters are optional and aren't carried over. Checked: row groups and
     rows written equal those read, and every block is copied whole.
@@ -233,9 +237,9 @@ def concat_files(sources: list, target) -> dict:
                 copied += length
             _set(g, 5, begin)
             if _get(g, 7) is not None:
-                _set(g, 7, len(groups))
+                _set(g, 7, len(groups) & 0x7FFF)
             rows += _get(g, 3)
-            groups.append(g)
+            groups.append(_write_struct(g))
     if first is None:
         raise ValueError("no file to copy from")
     if rows != expected_rows or len(groups) != expected_groups:
