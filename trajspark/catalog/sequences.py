@@ -39,12 +39,21 @@ def _episodes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scalar(spark: SparkSession, folder: str) -> DataFrame:
-    """(FRAME, x): the first finite action value of each record, a plain series per episode."""
+    """(FRAME, x): the first action dimension where it is finite, for what is a single number by nature: a gripper, a flag, a metric."""
     x = F.col("action")[0].cast("double")
     return _records(spark, folder, "action").select(*FRAME, x.alias("x")).where("x is not null and not isnan(x) and abs(x) < 1e30")
 
 
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """(FRAME, v): the whole action vectors of the records where all of it is finite."""
+    rows = _records(spark, folder, "action").select(*FRAME, F.col("action").cast("array<double>").alias("v"))
+    return rows.where("v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < 1e30)")
+
+
 SCALAR = RECORDS + ", x as (select dataset_id, episode_index, frame_index, a[1]::double x from f where a[1] is not null and isfinite(a[1]))"
+VECTORS = RECORDS + ", x as (select dataset_id, episode_index, frame_index, a::double[] v from f where a is not null and len(list_filter(a, lambda z: z is null or not isfinite(z) or abs(z) >= 1e30)) = 0)"
+#: Sums over a table w of (dataset_id, episode_index, frame_index, k, v), weighted to tell misplaced rows.
+SUMMED = " select dataset_id, episode_index, k::int k, dim::int dim, count(*) n, round(sum(x), 2) total, round(sum(x * (frame_index % 7 + 1)), 2) weighted from (select dataset_id, episode_index, frame_index, k, unnest(range(len(v))) dim, unnest(v) x from w) group by all"
 EP = "partition by dataset_id, episode_index"
 ORD = f"{EP} order by frame_index"
 SIX = "avg(x) mean, stddev_pop(x) std, min(x) min, max(x) max, quantile_cont(x, 0.01) q01, quantile_cont(x, 0.99) q99"
@@ -82,36 +91,21 @@ def stats_all_features(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""with {RECORDS}, n as (select dataset_id, episode_index, count(*) n from f group by all),
-c as (select x.dataset_id, h step, generate_subscripts(x.a, 1) - 1 dim, unnest(list_transform(list_zip(g.a[1:3], x.s[1:3]), lambda z: z[1]::double - z[2]::double)) x
+c as (select x.dataset_id, h step, unnest(range(least(len(g.a), len(x.s)))) dim, unnest(list_transform(range(1, least(len(g.a), len(x.s)) + 1), lambda k: g.a[k]::double - x.s[k]::double)) x
  from (select f.*, h from f join n using (dataset_id, episode_index), (select unnest([0, 1, 2, 3]) h) where frame_index < n - 3) x
  join f g on g.dataset_id = x.dataset_id and g.episode_index = x.episode_index and g.frame_index = x.frame_index + h
  where x.a is not null and x.s is not null and g.a is not null)
 select dataset_id, step, dim, round(mean, 4) mean, round(std, 4) std, round(min, 4) min, round(max, 4) max, round(q01, 4) q01, round(q99, 4) q99
-from (select dataset_id, step, dim, {SIX} from c where isfinite(x) group by all)""".replace("generate_subscripts(x.a, 1) - 1 dim", "unnest([0, 1, 2]) dim")
+from (select dataset_id, step, dim, {SIX} from c where isfinite(x) group by all)"""
 )
 def stats_relative_chunk(spark: SparkSession, folder: str) -> DataFrame:
-    """Per window step and dimension: actions ahead less the current state, over steps with a full window (88, 57)."""
-    rows = _records(spark, folder, "observation.state", "action")
-    n = F.count("*").over(Window.partitionBy(*EPISODE))
-    rows = rows.withColumn("n", n).withColumn("c", windows.chunk(in_order(), F.slice(F.col("action"), 1, 3), 4)).where("frame_index < n - 3 and state is not null")
-    rel = rows.where("action is not null").select("dataset_id", F.transform("c", lambda v: F.when(v.isNotNull(), F.zip_with(v.cast("array<double>"), F.slice(F.col("state"), 1, 3).cast("array<double>"), lambda a, b: a - b))).alias("chunk"))
-    return _round(stats.step_statistics(rel, ["dataset_id"], "chunk"), *stats.SIX, digits=4)
-
-
-def _wide(v: Column, width: Column) -> Column:
-    """A vector with nulls up to `width`: state and action of a data set may differ in width."""
-    return F.concat(v.cast("array<double>"), F.array_repeat(F.lit(None).cast("double"), width - F.size(v)))
-
-
-@query(None)  # exact quantiles of every step and dimension are too slow in SQL; tested against brute force
-def stats_relative_chunk_all(spark: SparkSession, folder: str) -> DataFrame:
-    """As stats_relative_chunk, over all dimensions that state and action both have (88, 57)."""
+    """Per window step and dimension that both have: actions ahead less the current state, over steps with a full window (88, 57)."""
     rows = _records(spark, folder, "observation.state", "action")
     n = F.count("*").over(Window.partitionBy(*EPISODE))
     rows = rows.withColumn("n", n).withColumn("c", windows.chunk(in_order(), F.col("action"), 4)).where("frame_index < n - 3 and state is not null and action is not null")
-    width = lambda v: F.greatest(F.size(v), F.size("state"))
-    rel = rows.select("dataset_id", F.transform("c", lambda v: F.when(v.isNotNull(), arrays.minus(_wide(v, width(v)), _wide(F.col("state"), width(v))))).alias("chunk"))
-    return _round(stats.step_statistics(rel, ["dataset_id"], "chunk"), *stats.SIX, digits=4)
+    both = lambda v: F.least(F.size(v), F.size("state"))
+    less = lambda v: F.when(v.isNotNull(), arrays.minus(F.slice(v, 1, both(v)), F.slice("state", 1, both(v))))
+    return _round(stats.step_statistics(rows.select("dataset_id", F.transform("c", less).alias("chunk")), ["dataset_id"], "chunk"), *stats.SIX, digits=4)
 
 
 # ---------------------------------------------------------------- projections and joins
@@ -215,70 +209,75 @@ def resample_grid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""with {SCALAR}, t as (select x.*, f.ts from x join f using (dataset_id, episode_index, frame_index)),
+    f"""with {VECTORS}, t as (select x.*, f.ts from x join f using (dataset_id, episode_index, frame_index)),
 m as (select * from (select *, lag(ts) over ({ORD}) p from t) where p is null or ts > p),
 q as (select dataset_id, episode_index, min(ts) a, max(ts) b from m group by all having count(*) > 1),
 g as (select dataset_id, episode_index, a + (b - a) * k / 4 as at_ from q, (select unnest([0, 1, 2, 3, 4]) k)),
-j as (select g.*, arg_max(x, ts) filter (ts <= at_) v0, max(ts) filter (ts <= at_) t0, arg_min(x, ts) filter (ts >= at_) v1, min(ts) filter (ts >= at_) t1 from g join m using (dataset_id, episode_index) group by all)
-select dataset_id, episode_index, round(at_, 6) as "at", round(case when t0 = t1 then v0 else v0 + (v1 - v0) * (at_ - t0) / (t1 - t0) end, 4) as value from j"""
+j as (select g.*, arg_max(v, ts) filter (ts <= at_) v0, max(ts) filter (ts <= at_) t0, arg_min(v, ts) filter (ts >= at_) v1, min(ts) filter (ts >= at_) t1 from g join m using (dataset_id, episode_index) group by all),
+u as (select *, unnest(range(1, len(v0) + 1)) d from j)
+select dataset_id, episode_index, round(at_, 6) as "at", (d - 1)::int dim, round(case when t0 = t1 then v0[d] else v0[d] + (v1[d] - v0[d]) * (at_ - t0) / (t1 - t0) end, 4) as value from u"""
 )
 def interp_linear(spark: SparkSession, folder: str) -> DataFrame:
-    """Five evenly spaced values per episode by linear interpolation, after dropping stalled times (107, 62)."""
-    rows = _scalar(spark, folder).join(_records(spark, folder, "timestamp"), FRAME).withColumn("ts", F.col("ts").cast("double"))
+    """Five evenly spaced vectors per episode by linear interpolation, after dropping stalled times (107, 62)."""
+    rows = _records(spark, folder, "action", "timestamp").select(*FRAME, F.col("action").cast("array<double>").alias("v"), F.col("ts").cast("double").alias("ts"))
+    rows = rows.where("v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < 1e30)")
     rows = windows.monotonic(rows, EPISODE, "frame_index", "ts")
     ends = rows.groupBy(*EPISODE).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n")).where("n > 1")
     at = ends.select(*EPISODE, F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"), "a", "b").select(*EPISODE, (F.col("a") + (F.col("b") - F.col("a")) * F.col("k") / 4).alias("at"))
-    out = windows.interpolate(rows, EPISODE, "ts", "x", at, "at")
+    out = windows.interpolate(rows, EPISODE, "ts", "v", at, "at").select(*EPISODE, "at", F.posexplode("value").alias("dim", "value"))
     return _round(_round(out, "at"), "value", digits=4)
 
 
 # ---------------------------------------------------------------- windows
 
 
-def _exploded(df: DataFrame, column: str = "chunk") -> DataFrame:
-    return df.select(*FRAME, F.posexplode(column).alias("k", "x"))
+def _summed(df: DataFrame, column: str = "chunk") -> DataFrame:
+    """Per episode, place in the chunk and dimension: how many values, their sum, and one weighted by the frame."""
+    long = df.select(*FRAME, F.posexplode(column).alias("k", "v")).select(*FRAME, "k", F.posexplode("v").alias("dim", "x"))
+    weighted = F.sum(F.col("x") * (F.col("frame_index") % 7 + 1))
+    return long.groupBy(*EPISODE, "k", "dim").agg(F.count("*").alias("n"), F.round(F.sum("x"), 2).alias("total"), F.round(weighted, 2).alias("weighted"))
 
 
-@query(f"with {SCALAR}, w as (select *, lead(x, 1) over ({ORD}) x1, lead(x, 2) over ({ORD}) x2, lead(x, 3) over ({ORD}) x3 from x) select dataset_id, episode_index, frame_index, unnest([0, 1, 2, 3]) k, unnest([x, x1, x2, x3]) x from w where x3 is not null")
+@query(f"with {VECTORS}, l as (select *, lead(v, 1) over ({ORD}) v1, lead(v, 2) over ({ORD}) v2, lead(v, 3) over ({ORD}) v3 from x), w as (select dataset_id, episode_index, frame_index, unnest([0, 1, 2, 3]) k, unnest([v, v1, v2, v3]) v from l where v3 is not null)" + SUMMED)
 def window_offsets_drop(spark: SparkSession, folder: str) -> DataFrame:
     """Windows at offsets 0 to 3, only full ones (97, 56)."""
-    return _exploded(windows.offsets(_scalar(spark, folder), EPISODE, "frame_index", "x", [0, 1, 2, 3], "drop"))
+    return _summed(windows.offsets(_vectors(spark, folder), EPISODE, "frame_index", "v", [0, 1, 2, 3], "drop"))
 
 
-@query(f"with {SCALAR}, w as (select *, coalesce(lag(x, 2) over ({ORD}), first_value(x) over ({ORD})) p, coalesce(lead(x, 2) over ({ORD}), last_value(x) over ({ORD} rows between unbounded preceding and unbounded following)) n from x) select dataset_id, episode_index, frame_index, unnest([0, 1, 2]) k, unnest([p, x, n]) x from w")
+@query(f"with {VECTORS}, l as (select *, coalesce(lag(v, 2) over ({ORD}), first_value(v) over ({ORD})) p, coalesce(lead(v, 2) over ({ORD}), last_value(v) over ({ORD} rows between unbounded preceding and unbounded following)) n from x), w as (select dataset_id, episode_index, frame_index, unnest([0, 1, 2]) k, unnest([p, v, n]) v from l)" + SUMMED)
 def window_offsets_clamp(spark: SparkSession, folder: str) -> DataFrame:
     """Windows at offsets -2, 0 and 2, clamped to the episode (98)."""
-    return _exploded(windows.offsets(_scalar(spark, folder), EPISODE, "frame_index", "x", [-2, 0, 2], "clamp"))
+    return _summed(windows.offsets(_vectors(spark, folder), EPISODE, "frame_index", "v", [-2, 0, 2], "clamp"))
 
 
-@query(f"with {SCALAR}, r as (select *, row_number() over ({ORD}) - 1 i, count(*) over ({EP}) n from x), w as (select r.*, q.x p from r join r q on q.dataset_id = r.dataset_id and q.episode_index = r.episode_index and q.i = case when r.i >= 2 then r.i - 2 else r.i - 2 + r.n end) select dataset_id, episode_index, frame_index, unnest([0, 1]) k, unnest([p, x]) x from w")
+@query(f"with {VECTORS}, r as (select *, row_number() over ({ORD}) - 1 i, count(*) over ({EP}) n from x), l as (select r.*, q.v p from r join r q on q.dataset_id = r.dataset_id and q.episode_index = r.episode_index and q.i = case when r.i >= 2 then r.i - 2 else r.i - 2 + r.n end), w as (select dataset_id, episode_index, frame_index, unnest([0, 1]) k, unnest([p, v]) v from l)" + SUMMED)
 def window_offsets_wrap(spark: SparkSession, folder: str) -> DataFrame:
     """Windows at offsets -2 and 0, negative positions counted from the end (99)."""
-    return _exploded(windows.offsets(_scalar(spark, folder), EPISODE, "frame_index", "x", [-2, 0], "wrap"))
+    return _summed(windows.offsets(_vectors(spark, folder), EPISODE, "frame_index", "v", [-2, 0], "wrap"))
 
 
-@query(f"with {SCALAR}, r as (select *, row_number() over ({ORD}) - 1 i, list(x) over ({ORD} rows between current row and 5 following) c, last_value(x) over ({ORD} rows between unbounded preceding and unbounded following) l from x), p as (select *, list_concat(c, list_transform(range(6 - len(c)), lambda z: l)) q from r where i % 4 = 0) select dataset_id, episode_index, frame_index, unnest(range(6)) k, unnest(q) x from p")
+@query(f"with {VECTORS}, r as (select *, row_number() over ({ORD}) - 1 i, list(v) over ({ORD} rows between current row and 5 following) c, last_value(v) over ({ORD} rows between unbounded preceding and unbounded following) l from x), p as (select *, list_concat(c, list_transform(range(6 - len(c)), lambda z: l)) q from r where i % 4 = 0), w as (select dataset_id, episode_index, frame_index, unnest(range(6)) k, unnest(q) v from p)" + SUMMED)
 def replay_chunk(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of 6 at every fourth row, padded with the last value (100)."""
-    return _exploded(windows.replay(_scalar(spark, folder), EPISODE, "frame_index", "x", 6, 4))
+    return _summed(windows.replay(_vectors(spark, folder), EPISODE, "frame_index", "v", 6, 4))
 
 
-_NAIVE = f"with {SCALAR}, r as (select *, row_number() over ({ORD}) - 1 i, count(*) over ({EP}) n from x), p as (select t.*, h.x p from r t join r h on h.dataset_id = t.dataset_id and h.episode_index = t.episode_index and h.i = t.i - t.i % 8), t as (select dataset_id, episode_index, avg((x - p) * (x - p)) mse, avg(abs(x - p)) mae from p group by all)"
+_NAIVE = f"with {VECTORS}, r as (select *, row_number() over ({ORD}) - 1 i, count(*) over ({EP}) n from x), p as (select t.*, h.v p from r t join r h on h.dataset_id = t.dataset_id and h.episode_index = t.episode_index and h.i = t.i - t.i % 8), u as (select dataset_id, episode_index, unnest(v) x, unnest(p) p from p), t as (select dataset_id, episode_index, avg((x - p) * (x - p)) mse, avg(abs(x - p)) mae from u group by all)"
 
 
 def _naive_errors(spark: SparkSession, folder: str) -> DataFrame:
-    """Errors of a policy that repeats the value seen at the start of every 8 steps."""
-    rows = _scalar(spark, folder)
-    planned = rows.withColumn("plan", F.array_repeat("x", 8))
+    """Errors of a policy that repeats the vector seen at the start of every 8 steps."""
+    rows = _vectors(spark, folder)
+    planned = rows.withColumn("plan", F.array_repeat("v", 8))
     guess = windows.stitched(planned, EPISODE, "frame_index", "plan", 8, F.count("*").over(Window.partitionBy(*EPISODE)))
     truth = rows.withColumn("step", F.row_number().over(in_order()) - 1)
     pairs = truth.join(guess, [*EPISODE, "step"])
-    return evaluation.trajectory_errors(pairs, EPISODE, F.array("x"), F.array("value"))
+    return evaluation.trajectory_errors(pairs, EPISODE, F.col("v"), F.col("value"))
 
 
 @query(_NAIVE + " select dataset_id, episode_index, round(mse, 4) mse, round(mae, 4) mae from t")
 def tumbling_inference(spark: SparkSession, folder: str) -> DataFrame:
-    """Errors of chunked prediction per episode (101, 82, 95)."""
+    """Errors of chunked prediction per episode over all steps and dimensions (101, 82, 95)."""
     return _round(_naive_errors(spark, folder), "mse", "mae", digits=4)
 
 
@@ -288,19 +287,26 @@ def mse_mean_of_means(spark: SparkSession, folder: str) -> DataFrame:
     return _round(_round(evaluation.mean_of_means(_naive_errors(spark, folder)), "mse", digits=3), "mae", digits=4)
 
 
-@query(f"with {SCALAR} select dataset_id, episode_index, frame_index, unnest([0, 1, 2]) k, unnest([coalesce(lag(x, 5) over ({ORD}), first_value(x) over ({ORD})), coalesce(lag(x, 2) over ({ORD}), first_value(x) over ({ORD})), x]) x from x")
+@query(f"with {VECTORS}, w as (select dataset_id, episode_index, frame_index, unnest([0, 1, 2]) k, unnest([coalesce(lag(v, 5) over ({ORD}), first_value(v) over ({ORD})), coalesce(lag(v, 2) over ({ORD}), first_value(v) over ({ORD})), v]) v from x)" + SUMMED)
 def observation_history(spark: SparkSession, folder: str) -> DataFrame:
     """Observations 5, 2 and 0 rows back, filled with the first (102)."""
-    return _exploded(windows.history(_scalar(spark, folder), EPISODE, "frame_index", "x", [5, 2, 0]), "history")
+    return _summed(windows.history(_vectors(spark, folder), EPISODE, "frame_index", "v", [5, 2, 0]), "history")
 
 
-_CHUNK = f"with {RECORDS}, c as (select dataset_id, episode_index, frame_index, list(a[1:2]) over ({ORD} rows between current row and 3 following) c, s[1:2] ref from f where a is not null and s is not null)"
+_CHUNK = f"with {RECORDS}, c as (select dataset_id, episode_index, frame_index, list(a::double[]) over ({ORD} rows between current row and 3 following) c, s::double[] ref from f where a is not null and s is not null)"
+
+
+def _wide(v: Column, width: Column) -> Column:
+    """A vector with nulls up to `width`: state and action of a data set may differ in width."""
+    return F.concat(v.cast("array<double>"), F.array_repeat(F.lit(None).cast("double"), width - F.size(v)))
 
 
 def _vector_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """(FRAME, c, ref): the next four actions beside the state, all of one width."""
     rows = _records(spark, folder, "observation.state", "action").where("action is not null and state is not null")
-    two = lambda c: F.slice(F.col(c), 1, 2).cast("array<double>")
-    return rows.select(*FRAME, windows.chunk(in_order(), two("action"), 4).alias("c"), two("state").alias("ref"))
+    rows = rows.select(*FRAME, windows.chunk(in_order(), F.col("action"), 4).alias("c"), F.col("state").alias("ref"))
+    rows = rows.withColumn("width", F.greatest(F.size("ref"), F.array_max(F.transform("c", F.size))))
+    return rows.withColumn("c", F.transform("c", lambda v: _wide(v, F.col("width")))).withColumn("ref", _wide(F.col("ref"), F.col("width")))
 
 
 def _sum_chunks(df: DataFrame) -> DataFrame:
@@ -309,93 +315,85 @@ def _sum_chunks(df: DataFrame) -> DataFrame:
     return long.groupBy(*EPISODE, "k", "dim").agg(F.round(F.sum("x"), 2).alias("total"), F.count("*").alias("n"))
 
 
-_SUMS = " select dataset_id, episode_index, k, dim, round(sum(x), 2) total, count(*) n from (select dataset_id, episode_index, k, unnest([0, 1]) dim, unnest(v) x from d) where isfinite(x) and abs(x) < 1e30 group by all"
+_SUMS = " select dataset_id, episode_index, k::int k, dim::int dim, round(sum(x), 2) total, count(*) n from (select dataset_id, episode_index, k, unnest(range(len(v))) dim, unnest(v) x from d) where isfinite(x) and abs(x) < 1e30 group by all"
+_EACH = "select dataset_id, episode_index, generate_subscripts(c, 1) - 1 k, unnest(list_transform(c, lambda z, i: list_transform(range(1, least(len(z), len(ref)) + 1), lambda j: {0}))) v from c"
 
 
-@query(_CHUNK + ", d as (select dataset_id, episode_index, generate_subscripts(c, 1) - 1 k, unnest(list_transform(c, lambda z: [z[1]::double - ref[1]::double, z[2]::double - ref[2]::double])) v from c)" + _SUMS)
+@query(_CHUNK + f", d as ({_EACH.format('z[j] - ref[j]')})" + _SUMS)
 def relative_chunk(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks of actions less the current state, summed (104, 117)."""
+    """Chunks of actions less the current state over the dimensions both have, summed (104, 117)."""
     df = _vector_chunks(spark, folder)
     return _sum_chunks(df.withColumn("chunk", windows.relative_chunk(F.col("c"), F.col("ref"))))
 
 
-@query(_CHUNK + ", d as (select dataset_id, episode_index, generate_subscripts(c, 1) - 1 k, unnest(list_transform(c, lambda z, i: [z[1]::double - (case when i = 1 then ref[1] else c[i - 1][1] end)::double, z[2]::double - (case when i = 1 then ref[2] else c[i - 1][2] end)::double])) v from c)" + _SUMS)
+@query(_CHUNK + f", d as ({_EACH.format('z[j] - (case when i = 1 then ref[j] else c[i - 1][j] end)').replace('least(len(z), len(ref))', 'case when i = 1 then least(len(z), len(ref)) else least(len(z), len(c[i - 1])) end')})" + _SUMS)
 def delta_chunk(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of actions less the one before (105)."""
     df = _vector_chunks(spark, folder)
     return _sum_chunks(df.withColumn("chunk", windows.delta_chunk(F.col("c"), F.col("ref"))))
 
 
-@query(_CHUNK + ", d as (select dataset_id, episode_index, generate_subscripts(c, 1) - 1 k, unnest(list_transform(c, lambda z: [z[1]::double, z[2]::double])) v from c where isfinite(ref[1]) and isfinite(ref[2]))" + _SUMS)
+@query(_CHUNK + f", d as ({_EACH.format('z[j]')} where len(list_filter(ref, lambda q: q is not null and not isfinite(q))) = 0)" + _SUMS)
 def absolute_chunk(spark: SparkSession, folder: str) -> DataFrame:
     """Relative chunks turned back, which must give the actions themselves (106)."""
-    df = _vector_chunks(spark, folder).where("not exists(ref, x -> isnan(x) or abs(x) = double('inf'))")
-    return _sum_chunks(df.withColumn("chunk", windows.absolute_chunk(windows.relative_chunk(F.col("c"), F.col("ref")), F.col("ref"))))
-
-
-def _whole_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """As _vector_chunks, with all dimensions."""
-    rows = _records(spark, folder, "observation.state", "action").where("action is not null and state is not null")
-    rows = rows.select(*FRAME, windows.chunk(in_order(), F.col("action"), 4).alias("c"), F.col("state").alias("ref"))
-    rows = rows.withColumn("width", F.greatest(F.size("ref"), F.array_max(F.transform("c", F.size))))
-    return rows.withColumn("c", F.transform("c", lambda v: _wide(v, F.col("width")))).withColumn("ref", _wide(F.col("ref"), F.col("width")))
-
-
-@query(None)
-def relative_chunk_all(spark: SparkSession, folder: str) -> DataFrame:
-    """As relative_chunk, over all dimensions that state and action both have (104, 117)."""
-    return _sum_chunks(_whole_chunks(spark, folder).withColumn("chunk", windows.relative_chunk(F.col("c"), F.col("ref"))))
-
-
-@query(None)
-def delta_chunk_all(spark: SparkSession, folder: str) -> DataFrame:
-    """As delta_chunk, over all dimensions (105)."""
-    return _sum_chunks(_whole_chunks(spark, folder).withColumn("chunk", windows.delta_chunk(F.col("c"), F.col("ref"))))
-
-
-@query(None)
-def absolute_chunk_all(spark: SparkSession, folder: str) -> DataFrame:
-    """As absolute_chunk, over all dimensions that state and action both have (106)."""
-    df = _whole_chunks(spark, folder).where("not exists(ref, x -> x is not null and (isnan(x) or abs(x) = double('inf')))")
+    df = _vector_chunks(spark, folder).where("not exists(ref, x -> x is not null and (isnan(x) or abs(x) = double('inf')))")
     return _sum_chunks(df.withColumn("chunk", windows.absolute_chunk(windows.relative_chunk(F.col("c"), F.col("ref")), F.col("ref"))))
 
 
-_PLANS = f"with {SCALAR}, r as (select *, row_number() over ({ORD}) - 1 i, count(*) over ({EP}) n from x), v as (select dataset_id, episode_index, i anchor, i + k step, k, x * (1 + 0.1 * k) p, -k::double g from r, (select unnest(range(8)) k) where i % {{every}} = 0 and i + k < n), o as (select *, row_number() over ({EP}, step order by anchor desc) b, count(*) over ({EP}, step) m from v), z as (select *, exp(0.005 * (least(m, 5) - b)) w from o where b <= 5) select dataset_id, episode_index, step, round(sum(w * p) / sum(w), 4) x, arg_max(g, anchor) gripper from z group by all"
+#: Per step and dimension the five newest plans that cover it, and the newest's gripper.
+_PLANS = f"with {VECTORS}, r as (select *, row_number() over ({ORD}) - 1 i, count(*) over ({EP}) n from x), a as (select dataset_id, episode_index, i anchor, i + k step, k, v from r, (select unnest(range(8)) k) where i % {{every}} = 0 and i + k < n), o as (select *, row_number() over ({EP}, step order by anchor desc) b, count(*) over ({EP}, step) m from a), z as (select dataset_id, episode_index, step, anchor, k, unnest(range(len(v))) dim, unnest(v) * (1 + 0.1 * k) p, exp(0.005 * (least(m, 5) - b)) w from o where b <= 5), y as (select dataset_id, episode_index, step, dim, sum(w * p) / sum(w) x, arg_max(-k, anchor) gripper from z group by all) select dataset_id, episode_index, dim::int dim, count(*) n, round(sum(x), 2) total, round(sum(x * (step % 7 + 1)), 2) weighted, sum(gripper)::double gripper from y group by all"
 
 
 def _plans(spark: SparkSession, folder: str) -> DataFrame:
-    """A plan of 8 two-dimensional actions at every row: the value growing, and minus the plan's step."""
-    return _scalar(spark, folder).withColumn("plan", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.array(F.col("x") * (1 + F.lit(0.1) * k), -k.cast("double"))))
+    """A plan of 8 vectors at every row: minus the plan's step as the gripper, then the action growing."""
+    return _vectors(spark, folder).withColumn("plan", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.concat(F.array(-k.cast("double")), F.transform("v", lambda x: x * (1 + F.lit(0.1) * k)))))
 
 
 def _ensembled(df: DataFrame) -> DataFrame:
-    return df.select(*EPISODE, F.col("step").cast("bigint").alias("step"), F.round(F.col("vector")[0], 4).alias("x"), F.col("vector")[1].alias("gripper"))
+    long = df.select(*EPISODE, "step", F.col("vector")[0].alias("g"), F.posexplode(F.slice("vector", 2, F.size("vector") - 1)).alias("dim", "x"))
+    return long.groupBy(*EPISODE, "dim").agg(F.count("*").alias("n"), F.round(F.sum("x"), 2).alias("total"), F.round(F.sum(F.col("x") * (F.col("step") % 7 + 1)), 2).alias("weighted"), F.sum("g").alias("gripper"))
 
 
 @query(_PLANS.format(every=1))
 def temporal_ensemble(spark: SparkSession, folder: str) -> DataFrame:
     """Up to five overlapping plans blended, a new one at every step (177)."""
-    return _ensembled(windows.ensemble(_plans(spark, folder), EPISODE, "frame_index", "plan", 8, newest=[1]))
+    return _ensembled(windows.ensemble(_plans(spark, folder), EPISODE, "frame_index", "plan", 8, newest=[0]))
 
 
 @query(_PLANS.format(every=3))
 def receding_temporal(spark: SparkSession, folder: str) -> DataFrame:
     """The same with a new plan at every third step (176)."""
-    return _ensembled(windows.ensemble(_plans(spark, folder), EPISODE, "frame_index", "plan", 8, newest=[1], every=3))
+    return _ensembled(windows.ensemble(_plans(spark, folder), EPISODE, "frame_index", "plan", 8, newest=[0], every=3))
 
 
-@query(f"with {SCALAR}, r as (select *, row_number() over ({ORD}) - 1 i, count(*) over ({EP}) n from x) select dataset_id, episode_index, i + k step, round(x * (1 + 0.1 * k), 6) x, case when -k::double > -2.5 then 1 else 0 end open_ from r, (select unnest(range(5)) k) where i % 5 = 0 and i + k < n")
+@query(f"with {VECTORS}, r as (select *, row_number() over ({ORD}) - 1 i, count(*) over ({EP}) n from x), p as (select dataset_id, episode_index, i + k step, k, v from r, (select unnest(range(5)) k) where i % 5 = 0 and i + k < n), u as (select dataset_id, episode_index, step, k, unnest(range(len(v))) dim, unnest(v) * (1 + 0.1 * k) x from p) select dataset_id, episode_index, dim::int dim, count(*) n, round(sum(x), 2) total, round(sum(x * (step % 7 + 1)), 2) weighted, count(*) filter (-k > -2.5) open_ from u group by all")
 def receding_horizon(spark: SparkSession, folder: str) -> DataFrame:
-    """A plan carried out for five steps, then the next; the last dimension made binary (175, 175a)."""
+    """A plan carried out for five steps, then the next; the gripper made binary (175, 175a)."""
     out = windows.receding(_plans(spark, folder), EPISODE, "frame_index", "plan", 8, 5)
-    return out.select(*EPISODE, F.col("step").cast("bigint").alias("step"), F.round(F.col("vector")[0], 6).alias("x"), F.when(F.col("vector")[1] > -2.5, 1).otherwise(0).alias("open_"))
+    long = out.select(*EPISODE, "step", (F.col("vector")[0] > -2.5).alias("o"), F.posexplode(F.slice("vector", 2, F.size("vector") - 1)).alias("dim", "x"))
+    return long.groupBy(*EPISODE, "dim").agg(F.count("*").alias("n"), F.round(F.sum("x"), 2).alias("total"), F.round(F.sum(F.col("x") * (F.col("step") % 7 + 1)), 2).alias("weighted"), F.count_if("o").alias("open_"))
 
 
-@query(None)
+#: The state machine step by step: what is held and for how many rows, after each.
+_LATCH = """o as (select *, row_number() over (partition by {key} order by {order}) i from x),
+s as (
+ select {key}, i, {order}, case when abs(1 - 2 * g) > 0.5 then 1 - 2 * g end held, case when abs(1 - 2 * g) > 0.5 then 1 else 0 end n, 1 - 2 * g latched from o where i = 1
+ union all
+ select {key}, i, {order}, case when n = 5 then null else h end, case when n = 5 then 0 else n end, coalesce(h, v) from (
+  select {of}, o.i, 1 - 2 * g v, coalesce(s.held, case when abs(1 - 2 * g) > 0.5 then 1 - 2 * g end) h, s.n + (case when coalesce(s.held, case when abs(1 - 2 * g) > 0.5 then 1 - 2 * g end) is not null then 1 else 0 end) n
+  from s join o on {same} and o.i = s.i + 1)
+)"""
+
+
+@query(
+    f"with recursive {SCALAR.replace(', x as (', ', x0 as (')}, x as (select *, 1 / (1 + exp(-x / 10)) g from x0), "
+    + _LATCH.format(key="dataset_id, episode_index", order="frame_index", of="o.dataset_id, o.episode_index, o.frame_index", same="o.dataset_id = s.dataset_id and o.episode_index = s.episode_index")
+    + " select dataset_id, episode_index, frame_index, round(latched, 6) latched from s"
+)
 def sticky_latch(spark: SparkSession, folder: str) -> DataFrame:
     """The sticky gripper over the first action dimension, squeezed to [0, 1] (179)."""
     rows = _scalar(spark, folder).withColumn("g", 1 / (1 + F.exp(-F.col("x") / 10)))
-    return windows.latched(rows, EPISODE, "frame_index", "g", 5)
+    return _round(windows.latched(rows, EPISODE, "frame_index", "g", 5), "latched")
 
 
 # ---------------------------------------------------------------- rollouts
@@ -474,11 +472,12 @@ def renumber(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy(*EPISODE).agg(F.min("new_episode").alias("new_episode"), F.min("new_index").alias("first"), F.max("new_index").alias("last"))
 
 
-@query(f"with {SCALAR}, r as (select *, row_number() over ({ORD}) - 1 i from x), b as (select dataset_id, episode_index, i // 32 batch, count(*) n, list(x order by i) xs from r group by all) select dataset_id, episode_index, batch, n, round(xs[1], 4) as first, round(xs[-1], 4) as last, round(list_sum(xs[-3:]), 4) tail from b")
+@query(f"with {VECTORS}, r as (select *, row_number() over ({ORD}) - 1 i from x), b as (select dataset_id, episode_index, i // 32 batch, count(*) n, list(v order by i) xs from r group by all), u as (select *, unnest(range(1, len(xs[1]) + 1)) d from b) select dataset_id, episode_index, batch, (d - 1)::int dim, n, round(xs[1][d], 4) as first, round(xs[-1][d], 4) as last, round(list_sum(list_transform(xs[-3:], lambda z: z[d])), 4) tail from u")
 def collate(spark: SparkSession, folder: str) -> DataFrame:
     """Rows collated to batches of 32, and the last three of each (54, 103)."""
-    rows = _scalar(spark, folder).withColumn("i", F.row_number().over(in_order()) - 1)
-    per = rows.groupBy(*EPISODE, F.expr("i div 32").alias("batch")).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("b"), F.count("*").alias("n"))
-    xs = F.transform("b", lambda b: b["x"])
-    tail = F.aggregate(arrays.take_last(xs, 3), F.lit(0.0), lambda s, x: s + x)
-    return per.select(*EPISODE, "batch", "n", F.round(xs[0], 4).alias("first"), F.round(F.element_at(xs, -1), 4).alias("last"), F.round(tail, 4).alias("tail"))
+    rows = _vectors(spark, folder).withColumn("i", F.row_number().over(in_order()) - 1)
+    per = rows.groupBy(*EPISODE, F.expr("i div 32").alias("batch")).agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("b"), F.count("*").alias("n"))
+    xs = F.transform("b", lambda b: b["v"])
+    wide = per.select(*EPISODE, "batch", "n", xs.alias("xs")).select("*", F.posexplode(F.col("xs")[0]).alias("dim", "first"))
+    tail = F.aggregate(arrays.take_last(F.col("xs"), 3), F.lit(0.0), lambda t, v: t + v[F.col("dim")])
+    return wide.select(*EPISODE, "batch", "dim", "n", F.round("first", 4).alias("first"), F.round(F.element_at("xs", -1)[F.col("dim")], 4).alias("last"), F.round(tail, 4).alias("tail"))

@@ -5,31 +5,35 @@ import json
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trajspark.operators import distribution
+from trajspark.plans.shared import cut
+
 SIX = ("mean", "std", "min", "max", "q01", "q99")
 
 
-def six(x: Column) -> list[Column]:
-    """Mean, population deviation, extremes, and linearly interpolated percentiles of x."""
-    return [F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.percentile(x, F.lit(0.01)).alias("q01"), F.percentile(x, F.lit(0.99)).alias("q99")]
+PERCENTILES = {"q01": 0.01, "q99": 0.99}
+
+
+def _labels(df: DataFrame, keys: list[str], *more: str) -> dict[str, str]:
+    kinds = dict(df.dtypes)
+    return {k: kinds[k] for k in keys} | {k: "string" if k == "feature" else "int" for k in more}
 
 
-def vector_statistics(df: DataFrame, keys: list[str], vectors: list[str], finite: bool = True) -> DataFrame:
-    """Six statistics per key, feature and dimension: one scan and one shuffle for all features.
+def vector_statistics(df: DataFrame, keys: list[str], vectors: list[str], exact: bool = True) -> DataFrame:
+    """Six statistics per key, feature and dimension, for all features at once.
 
-    All but the percentiles are aggregated on the map side; these hold the distinct values of a
-    dimension (for columns too large for that, see the sketches). Scalars are vectors of one.
-    With `finite`, NaN and infinities are left out as nulls are.
+    Vectors are never exploded: see operators.distribution. Scalars are vectors of one. Nulls, NaN and
+    infinities are left out; a series without values does not appear. Keys are strings or integers.
+    Percentiles are exact unless `exact` is false, when they come with bounds.
     """
     kinds = dict(df.dtypes)
-    as_vector = lambda c: F.col(f"`{c}`").cast("array<double>") if kinds[c].startswith("array") else F.array(F.col(f"`{c}`").cast("double"))
-    features = F.array(*[F.struct(F.lit(c).alias("feature"), as_vector(c).alias("v")) for c in vectors])
-    long = df.select(*keys, F.explode(features).alias("f")).select(*keys, "f.feature", F.posexplode("f.v").alias("dim", "x"))
-    if finite:
-        long = long.where(~F.isnan("x") & (F.abs("x") < float("inf")))
-    return long.groupBy(*keys, "feature", "dim").agg(*six(F.col("x")))
+    column = lambda c: F.col(f"`{c}`") if kinds[c].startswith("array") else F.array(F.col(f"`{c}`").cast("double"))
+    rows = df.select(*keys, *[column(c).alias(f"_v{i}") for i, c in enumerate(vectors)])
+    stored = cut(rows.sortWithinPartitions(*keys) if keys else rows)
+    return distribution.statistics(stored, _labels(df, keys, "feature", "dim"), distribution.vectors(len(keys), vectors), PERCENTILES, exact).drop("n")
 
 
 def float_features(info: dict) -> list[str]:
@@ -37,11 +41,10 @@ def float_features(info: dict) -> list[str]:
     return [k for k, v in info.get("features", {}).items() if "float" in str(v.get("dtype", ""))]
 
 
-def step_statistics(chunks: DataFrame, keys: list[str], chunk: str) -> DataFrame:
-    """Six statistics per key, window step and dimension of a column of chunks (array of vectors)."""
-    long = chunks.select(*keys, F.posexplode(chunk).alias("step", "v")).select(*keys, "step", F.posexplode("v").alias("dim", "x"))
-    long = long.where("x is not null").where(~F.isnan("x") & (F.abs("x") < float("inf")))
-    return long.groupBy(*keys, "step", "dim").agg(*six(F.col("x").cast("double")))
+def step_statistics(chunks: DataFrame, keys: list[str], chunk: str, exact: bool = True) -> DataFrame:
+    """Six statistics per key, window step and dimension of a column of chunks (array of vectors), as vector_statistics."""
+    stored = cut(chunks.select(*keys, F.col(chunk).alias("_c")).sortWithinPartitions(*keys))
+    return distribution.statistics(stored, _labels(chunks, keys, "step", "dim"), distribution.chunks(len(keys)), PERCENTILES, exact).drop("n")
 
 
 def merge_weighted(stats: DataFrame, keys: list[str], weight: str) -> DataFrame:

@@ -117,20 +117,22 @@ def monotonic(df: DataFrame, keys: list[str], order: str, time: str) -> DataFram
 
 
 def interpolate(df: DataFrame, keys: list[str], time: str, value: str, queries: DataFrame, at: str) -> DataFrame:
-    """Linear values at the times `at` of `queries` (keys, at): (keys, at, value).
+    """Linear values (numbers or vectors) at the times `at` of `queries` (keys, at): (keys, at, value).
 
     An as-of join by union: readings and queries of a sequence in one ordering, the last reading
     before and the first after carried to each query. A query outside the readings gives null.
     """
-    point = F.struct(F.col(time).cast("double").alias("t"), F.col(value).cast("double").alias("v"))
+    kind = "array<double>" if dict(df.dtypes)[value].startswith("array") else "double"
+    point = F.struct(F.col(time).cast("double").alias("t"), F.col(value).cast(kind).alias("v"))
     both = df.select(*keys, F.col(time).cast("double").alias("_t"), point.alias("_p"), F.lit(False).alias("_q")).unionByName(
-        queries.select(*keys, F.col(at).cast("double").alias("_t"), F.lit(None).cast("struct<t:double,v:double>").alias("_p"), F.lit(True).alias("_q"))
+        queries.select(*keys, F.col(at).cast("double").alias("_t"), F.lit(None).cast(f"struct<t:double,v:{kind}>").alias("_p"), F.lit(True).alias("_q"))
     )
     w = Window.partitionBy(*keys).orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     u = Window.partitionBy(*keys).orderBy("_t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
     both = both.withColumn("_a", F.last("_p", ignorenulls=True).over(w)).withColumn("_b", F.first("_p", ignorenulls=True).over(u)).where("_q")
     a, b = F.col("_a"), F.col("_b")
-    v = F.when(a["t"] == b["t"], a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * (F.col("_t") - a["t"]) / (b["t"] - a["t"]))
+    between = lambda x, y: x + (y - x) * (F.col("_t") - a["t"]) / (b["t"] - a["t"])
+    v = F.when(a["t"] == b["t"], a["v"]).otherwise(F.zip_with(a["v"], b["v"], between) if kind.startswith("array") else between(a["v"], b["v"]))
     return both.select(*keys, F.col("_t").alias(at), v.alias("value"))
 
 
@@ -174,20 +176,18 @@ def ensemble(df: DataFrame, keys: list[str], order: str, plan: str, horizon: int
     used. The newest `most` plans that still cover a step are weighted exp(rate * k), k growing
     towards the newest; the dimensions `newest` come from the newest plan alone.
     """
-    i = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    n = F.count("*").over(Window.partitionBy(*keys))
-    rows = df.withColumn("_i", i).withColumn("_n", n).where(F.col("_i") % every == 0)
-    votes = rows.select(*keys, F.col("_i").alias("_anchor"), "_n", F.posexplode(F.slice(plan, 1, horizon)).alias("_k", "_v"))
-    votes = votes.withColumn("step", F.col("_anchor") + F.col("_k")).where("step < _n")
-    per = votes.groupBy(*keys, "step").agg(F.sort_array(F.collect_list(F.struct(F.col("_anchor").alias("a"), F.col("_v").cast("array<double>").alias("v")))).alias("_p"))
-    per = per.withColumn("_p", F.slice("_p", -F.least(F.lit(most), F.size("_p")), most))
-    weights = F.transform("_p", lambda _, k: F.exp(F.lit(rate) * k))
-    total = F.aggregate(weights, F.lit(0.0), lambda s, x: s + x)
-    width = F.size(F.element_at("_p", -1)["v"])
-    add = lambda k: F.aggregate(F.zip_with("_p", weights, lambda x, y: x["v"][k] * y), F.lit(0.0), lambda s, x: s + x) / total
-    last = F.element_at("_p", -1)["v"]
-    mixed = F.transform(F.sequence(F.lit(0), width - 1), lambda k: F.when(k.isin(newest), last[k]).otherwise(add(k)) if newest else add(k))
-    return per.select(*keys, "step", mixed.alias("vector"))
+    w = Window.partitionBy(*keys).orderBy(order)
+    rows = df.withColumn("_i", F.row_number().over(w) - 1)
+    # the vector that the plan of j rows before has for this row; only rows that plan, newest first
+    cell = lambda j: F.lag(F.when(F.col("_i") % every == 0, F.struct(F.col(plan)[j].cast("array<double>").alias("v"))), j).over(w)
+    votes = F.array_compact(F.array(*[cell(j) for j in range(horizon)]))
+    rows = rows.withColumn("_p", F.slice(F.filter(votes, lambda x: x["v"].isNotNull()), 1, most)).where(F.size("_p") > 0)
+    weights = F.transform("_p", lambda _, k: F.exp(F.lit(rate) * (F.size("_p") - 1 - k)))
+    rows = rows.select(*keys, F.col("_i").cast("bigint").alias("step"), "_p", weights.alias("_w")).withColumn("_s", F.aggregate("_w", F.lit(0.0), lambda t, x: t + x))
+    last = F.col("_p")[0]["v"]
+    add = lambda k: F.aggregate(F.zip_with("_p", "_w", lambda x, y: x["v"][k] * y), F.lit(0.0), lambda t, x: t + x) / F.col("_s")
+    mixed = F.transform(F.sequence(F.lit(0), F.size(last) - 1), lambda k: F.when(k.isin(newest), last[k]).otherwise(add(k)) if newest else add(k))
+    return rows.select(*keys, "step", mixed.alias("vector"))
 
 
 def receding(df: DataFrame, keys: list[str], order: str, plan: str, horizon: int, steps: int) -> DataFrame:
