@@ -112,14 +112,16 @@ def stats_relative_chunk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""with {RECORDS}, g as (select distinct dataset_id, key, "start" st, "end" en from modality where modality = 'state' and key = 'gripper')
-select f.dataset_id, episode_index, frame_index, key as "group", generate_subscripts(s[st + 1:en], 1) - 1 dim, unnest(s[st + 1:en])::double x from f join g using (dataset_id) where s is not null"""
+    f"""with {RECORDS}, g as (select distinct dataset_id, key, "start" st, "end" en from modality where modality = 'state'),
+u as (select f.dataset_id, key as "group", frame_index, generate_subscripts(s[st + 1:en], 1) - 1 dim, unnest(s[st + 1:en])::double x from f join g using (dataset_id) where s is not null)
+select dataset_id, "group", dim::int dim, count(*) n, round(sum(x), 2) total, round(sum(x * (frame_index % 7 + 1)), 2) weighted from u where isfinite(x) and abs(x) < 1e30 group by all"""
 )
 def group_slice(spark: SparkSession, folder: str) -> DataFrame:
-    """A named slice of the state vector of each record (40)."""
-    g = table(spark, folder, "modality").where("modality = 'state' and key = 'gripper'").select("dataset_id", F.col("key").alias("group"), "start", F.col("end").alias("stop")).distinct()
+    """All named slices of the state vector of each record, summed (40)."""
+    g = table(spark, folder, "modality").where("modality = 'state'").select("dataset_id", F.col("key").alias("group"), "start", F.col("end").alias("stop")).distinct()
     rows = _records(spark, folder, "observation.state").join(small_side(g), "dataset_id")
-    return rows.select(*FRAME, "group", F.posexplode(arrays.group_slice(F.col("state"), F.col("start"), F.col("stop"))).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+    long = rows.select("dataset_id", "frame_index", "group", F.posexplode(arrays.group_slice(F.col("state"), F.col("start"), F.col("stop"))).alias("dim", "x")).withColumn("x", F.col("x").cast("double")).where("not isnan(x) and abs(x) < 1e30")
+    return long.groupBy("dataset_id", "group", "dim").agg(F.count("*").alias("n"), F.round(F.sum("x"), 2).alias("total"), F.round(F.sum(F.col("x") * (F.col("frame_index") % 7 + 1)), 2).alias("weighted"))
 
 
 @query(
@@ -375,11 +377,11 @@ def receding_horizon(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: The state machine step by step: what is held and for how many rows, after each.
-_LATCH = """o as (select *, row_number() over (partition by {key} order by {order}) i from x),
+LATCH = """o as (select *, row_number() over (partition by {key} order by {order}) i from x),
 s as (
- select {key}, i, {order}, case when abs(1 - 2 * g) > 0.5 then 1 - 2 * g end held, case when abs(1 - 2 * g) > 0.5 then 1 else 0 end n, 1 - 2 * g latched from o where i = 1
+ select {key}, i, {at}, case when abs(1 - 2 * g) > 0.5 then 1 - 2 * g end held, case when abs(1 - 2 * g) > 0.5 then 1 else 0 end n, 1 - 2 * g latched from o where i = 1
  union all
- select {key}, i, {order}, case when n = 5 then null else h end, case when n = 5 then 0 else n end, coalesce(h, v) from (
+ select {key}, i, {at}, case when n = 5 then null else h end, case when n = 5 then 0 else n end, coalesce(h, v) from (
   select {of}, o.i, 1 - 2 * g v, coalesce(s.held, case when abs(1 - 2 * g) > 0.5 then 1 - 2 * g end) h, s.n + (case when coalesce(s.held, case when abs(1 - 2 * g) > 0.5 then 1 - 2 * g end) is not null then 1 else 0 end) n
   from s join o on {same} and o.i = s.i + 1)
 )"""
@@ -387,7 +389,7 @@ s as (
 
 @query(
     f"with recursive {SCALAR.replace(', x as (', ', x0 as (')}, x as (select *, 1 / (1 + exp(-x / 10)) g from x0), "
-    + _LATCH.format(key="dataset_id, episode_index", order="frame_index", of="o.dataset_id, o.episode_index, o.frame_index", same="o.dataset_id = s.dataset_id and o.episode_index = s.episode_index")
+    + LATCH.format(key="dataset_id, episode_index", order="frame_index", at="frame_index", of="o.dataset_id, o.episode_index, o.frame_index", same="o.dataset_id = s.dataset_id and o.episode_index = s.episode_index")
     + " select dataset_id, episode_index, frame_index, round(latched, 6) latched from s"
 )
 def sticky_latch(spark: SparkSession, folder: str) -> DataFrame:

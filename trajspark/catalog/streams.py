@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajspark.catalog.sequences import LATCH
 from trajspark.plans.shared import shared_folder
 from trajspark.plans.tables import table
 from trajspark.streaming import scans
@@ -65,9 +66,14 @@ def stream_replan(spark: SparkSession, folder: str) -> DataFrame:
     return _run(out).select("user_id", "event_id", F.round(F.col("vector")[0], 6).alias("x"))
 
 
-@query(None)
+@query(
+    "with recursive x as (select user_id, ts, event_id, value % 1.0 g from events), "
+    + LATCH.format(key="user_id", order="ts, event_id", at="event_id", of="o.user_id, o.event_id", same="o.user_id = s.user_id")
+    + " select user_id, event_id, round(latched, 6) latched from s"
+)
 def stream_latch(spark: SparkSession, folder: str) -> DataFrame:
     """The sticky gripper over a stream (179)."""
     step = scans.latch(["user_id", "event_id"], "x", 5)
     rows = _events(spark, folder).select("user_id", "ts", "event_id", (F.pmod(F.col("value"), F.lit(1.0))).alias("x"))
-    return _run(scans.stream_scan(rows, ["user_id"], ["ts", "event_id"], step, "user_id long, event_id long, latched double", ["user_id", "event_id", "latched"]))
+    out = _run(scans.stream_scan(rows, ["user_id"], ["ts", "event_id"], step, "user_id long, event_id long, latched double", ["user_id", "event_id", "latched"]))
+    return out.withColumn("latched", F.round("latched", 6))

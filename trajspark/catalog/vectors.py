@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from trajspark.functions import arrays, normalize, poses, rotations, text
 from trajspark.operators import stats
+from trajspark.plans.ranks import numbered
 from trajspark.plans.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -102,13 +103,11 @@ def action_pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return _sums(df, F.concat(*[normalize.action(F.col("v"), mode, _stats(df), F.col("before")) for mode in ("meanstd", "minmax")]))
 
 
-@query(f"with {LINES} select count(*) n, 0 wrong from v")
+@query(_sum_sql("list_concat(v, v)"))
 def pipeline_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    """Normalizing and back gives the vectors again (141, 142, 123)."""
+    """Normalizing and back gives the vectors again, in both modes (141, 142, 123)."""
     df = _lines(spark, folder)
-    back = [normalize.unstate(normalize.state(F.col("v"), m, _stats(df)), m, _stats(df)) for m in ("meanstd", "minmax")]
-    ok = arrays.all_close(back[0], F.col("v"), 1e-6, 1e-9) & arrays.all_close(back[1], F.col("v"), 1e-6, 1e-9)
-    return df.agg(F.count("*").alias("n"), F.count_if(~ok).alias("wrong"))
+    return _sums(df, F.concat(*[normalize.unstate(normalize.state(F.col("v"), m, _stats(df)), m, _stats(df)) for m in ("meanstd", "minmax")]))
 
 
 EMB = "x as (select vec_id, label, list_transform(embedding, lambda z: z::double) v from embeddings)"
@@ -135,22 +134,19 @@ def pad_and_mask(spark: SparkSession, folder: str) -> DataFrame:
     return _vectors(spark, folder).select("vec_id", F.posexplode(zipped).alias("dim", "z")).select("vec_id", "dim", "z.x", "z.mask")
 
 
-@query(f"with {EMB}, g as (select label, list(v order by vec_id)[1:5] c from x group by all) select label, unnest(range(8)) step, unnest(list_transform(range(8), lambda k: (k < len(c))::int)) mask, round(unnest(list_transform(range(1, 9), lambda k: coalesce(c[k][1], 0))), 6) first_ from g")
-def horizon_mask(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks of at most five vectors padded to eight rows, with the mask of rows (46, 47)."""
-    g = _vectors(spark, folder).groupBy("label").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "v"))), lambda s: s["v"]), 1, 5).alias("c"))
-    zipped = F.arrays_zip(arrays.pad_rows(F.col("c"), 8, 64).alias("r"), arrays.pad_mask(F.col("c"), 8).alias("mask"))
-    return g.select("label", F.posexplode(zipped).alias("step", "z")).select("label", "step", "z.mask", F.round(F.col("z.r")[0], 6).alias("first_"))
+def _ranked(spark: SparkSession, folder: str) -> DataFrame:
+    """The vectors with their place within their label."""
+    return numbered(_vectors(spark, folder), ["label"], F.expr("vec_id div 1024"), ["vec_id"], "i")
 
 
-@query(None)
-def horizon_mask_all(spark: SparkSession, folder: str) -> DataFrame:
-    """As horizon_mask, over all chunks of five vectors of a label and all dimensions (46, 47)."""
-    nth = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    g = _vectors(spark, folder).withColumn("chunk", F.floor(nth / 5)).groupBy("label", "chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "v"))), lambda s: s["v"]).alias("c"))
+@query(f"with {EMB}, r as (select *, row_number() over (partition by label order by vec_id) - 1 i from x), g as (select label, i // 5 chunk, list(v order by vec_id) c from r group by all), s as (select label, chunk, unnest(range(8)) step, c from g), u as (select label, chunk, step, (step < len(c))::int mask, coalesce(c[step + 1], list_transform(range(64), lambda k: 0.0::double)) v from s) select label, chunk, step, mask, round(list_sum(v), 4) total, round(list_sum(list_transform(v, lambda z, k: z * (k % 7))), 4) weighted from u")
+def horizon_mask(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors of a label in chunks of five, padded to eight rows, with the mask of rows (46, 47)."""
+    g = _ranked(spark, folder).groupBy("label", F.expr("i div 5").alias("chunk")).agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "v"))), lambda s: s["v"]).alias("c"))
     zipped = F.arrays_zip(arrays.pad_rows(F.col("c"), 8, 64).alias("r"), arrays.pad_mask(F.col("c"), 8).alias("mask"))
     rows = g.select("label", "chunk", F.posexplode(zipped).alias("step", "z"))
-    return rows.select("label", "chunk", "step", "z.mask", F.posexplode("z.r").alias("dim", "x")).withColumn("x", F.round("x", 6))
+    add = lambda v: F.round(F.aggregate(v, F.lit(0.0), lambda t, x: t + x), 4)
+    return rows.select("label", "chunk", "step", "z.mask", add(F.col("z.r")).alias("total"), add(F.transform("z.r", lambda x, k: x * ((k + 1) % 7))).alias("weighted"))
 
 
 _GROUPS = [("eef", 9), ("gripper", 1), ("joint", 7), ("rest", 47)]
@@ -261,21 +257,55 @@ def pose_relative_arrow(spark: SparkSession, folder: str) -> DataFrame:
     return _explode(df, F.slice(poses.relative_pose(F.col("q"), F.col("p"), "rot6d"), 1, 12), 4).withColumn("x", F.col("x") + 0.0)
 
 
-@query(None)
+def _entry(i: int, j: int) -> str:
+    return f"m[{3 * i + j + 1}]"
+
+
+def _euler_sql(order: str) -> str:
+    """Degrees about fixed axes in the order given, from the matrix m."""
+    i, j, k = ("xyz".index(c) for c in order[::-1])
+    s = "" if (j - i) % 3 == 1 else "-"
+    angles = [f"atan2(-({s}{_entry(j, k)}), {_entry(k, k)})", f"asin(greatest(-1, least(1, {s}{_entry(i, k)})))", f"atan2(-({s}{_entry(i, j)}), {_entry(i, i)})"]
+    return "[" + ", ".join(f"degrees({a})" for a in angles[::-1]) + "]"
+
+
+_QUAT = """case greatest(m[1], m[5], m[9], m[1] + m[5] + m[9]) when m[1] + m[5] + m[9] then [1 + m[1] + m[5] + m[9], m[8] - m[6], m[3] - m[7], m[4] - m[2]]
+ when m[1] then [m[8] - m[6], 1 + m[1] - m[5] - m[9], m[4] + m[2], m[3] + m[7]] when m[5] then [m[3] - m[7], m[4] + m[2], 1 - m[1] + m[5] - m[9], m[8] + m[6]]
+ else [m[4] - m[2], m[3] + m[7], m[8] + m[6], 1 - m[1] - m[5] + m[9]] end"""
+
+
+@query(
+    _GS
+    + f""", q as (select vec_id, m, list_transform({_QUAT}, lambda z: z) q from m), r as (select vec_id, m, list_transform(q, lambda z: z / sqrt(q[1] * q[1] + q[2] * q[2] + q[3] * q[3] + q[4] * q[4])) q from q),
+s as (select vec_id, m, q, sqrt(q[2] * q[2] + q[3] * q[3] + q[4] * q[4]) n, case when q[1] < 0 then -1 else 1 end g from r),
+k as (select vec_id, unnest(['quat', 'rotvec', 'matrix', 'euler', {', '.join(f"'euler_{o}'" for o in poses.ORDERS)}]) kind, unnest([q, list_transform(q[2:4], lambda z: g * z / n * 2 * atan2(n, g * q[1])), m, {_euler_sql('xyz')}, {', '.join(_euler_sql(o) for o in poses.ORDERS)}]) v from s)
+select vec_id, kind, unnest(range(len(v))) dim, round(unnest(v), 4) + 0.0 x from k"""
+)
 def rotation_conversions(spark: SparkSession, folder: str) -> DataFrame:
     """Each rotation in every encoding (120, 194)."""
     df = _vectors(spark, folder).select("vec_id", F.slice("v", 1, 6).alias("r"))
-    cols = [poses.convert_rotation(F.col("r"), "rot6d", k).alias(k) for k in poses.KINDS if k != "rot6d"]
-    cols += [poses.convert_rotation(F.col("r"), "rot6d", "euler", target_order=o).alias(f"euler_{o}") for o in poses.ORDERS]
-    return df.select("vec_id", *cols)
+    cols = {k: poses.convert_rotation(F.col("r"), "rot6d", k) for k in poses.KINDS if k != "rot6d"}
+    cols |= {f"euler_{o}": poses.convert_rotation(F.col("r"), "rot6d", "euler", target_order=o) for o in poses.ORDERS}
+    long = df.select("vec_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("v")) for k, c in cols.items()])).alias("z"))
+    return long.select("vec_id", "z.kind", F.posexplode("z.v").alias("dim", "x")).withColumn("x", F.round("x", 4) + 0.0)
 
 
-@query(None)
+@query(
+    _POSE.partition("z as (select")[0]
+    + """l as (select vec_id, t, t0, m0, list_transform(range(9), lambda k: m0[1 + k // 3] * m[1 + k % 3] + m0[4 + k // 3] * m[4 + k % 3] + m0[7 + k // 3] * m[7 + k % 3]) r from w),
+sk as (select *, [r[8] - r[6], r[3] - r[7], r[4] - r[2]] u from l), an as (select *, sqrt(u[1] * u[1] + u[2] * u[2] + u[3] * u[3]) / 2 s, (r[1] + r[5] + r[9] - 1) / 2 c from sk),
+h as (select vec_id, t, t0, m0, f, case when s < 1e-9 then [1.0, 0.0, 0.0] else list_transform(u, lambda z: z / (2 * s)) end u, case when s < 1e-9 then 0.0 else atan2(s, c) * f end th from an, (select unnest([0.5, 0.75]) f)),
+o as (select vec_id, t, t0, m0, f, [cos(th) + (1 - cos(th)) * u[1] * u[1], (1 - cos(th)) * u[1] * u[2] - sin(th) * u[3], (1 - cos(th)) * u[1] * u[3] + sin(th) * u[2],
+ (1 - cos(th)) * u[1] * u[2] + sin(th) * u[3], cos(th) + (1 - cos(th)) * u[2] * u[2], (1 - cos(th)) * u[2] * u[3] - sin(th) * u[1],
+ (1 - cos(th)) * u[1] * u[3] - sin(th) * u[2], (1 - cos(th)) * u[2] * u[3] + sin(th) * u[1], cos(th) + (1 - cos(th)) * u[3] * u[3]] g from h)
+select vec_id, f::double as t, unnest(range(9)) dim, round(unnest(list_concat(list_transform([1, 2, 3], lambda k: t0[k] + (t[k] - t0[k]) * f), list_transform(range(6), lambda k: m0[3 * (k // 3) + 1] * g[1 + k % 3] + m0[3 * (k // 3) + 2] * g[4 + k % 3] + m0[3 * (k // 3) + 3] * g[7 + k % 3]))), 4) + 0.0 x from o"""
+)
 def slerp(spark: SparkSession, folder: str) -> DataFrame:
     """Poses halfway and three quarters between neighbours, along the shorter arc (108)."""
     df = _poses(spark, folder)
     halves = df.select("vec_id", "p", "q", F.explode(F.array(F.lit(0.5), F.lit(0.75))).alias("t"))
-    return halves.select("vec_id", "t", F.posexplode(poses.slerp_pose(F.col("q"), F.col("p"), F.col("t"), "rot6d")).alias("dim", "x"))
+    long = halves.select("vec_id", "t", F.posexplode(poses.slerp_pose(F.col("q"), F.col("p"), F.col("t"), "rot6d")).alias("dim", "x"))
+    return long.withColumn("x", F.round("x", 4) + 0.0)
 
 
 @query(f"with {EMB}, w as (select unnest(range(16)) i), r as (select i, case when i < 4 then 0.0 when i >= 10 then 1.0 else (1 - exp(-6.0 * (i - 3) / 7.0)) / (1 - exp(-6.0)) end w from w), e as (select i, exp(0.005 * i) / (select sum(exp(0.005 * j)) from (select unnest(range(16)) j)) e from w) select r.i, round(w, 6) ramp, round(e, 6) ensemble from r join e on e.i = r.i")
@@ -296,19 +326,11 @@ def flow_loss(spark: SparkSession, folder: str) -> DataFrame:
     return df.select("vec_id", F.round(loss, 6).alias("loss"))
 
 
-@query(f"with {EMB}, h as (select vec_id, v, {text.hash_sql('vec_id', 7)} / 4294967296.0 u from x) select vec_id, unnest(range(4)) dim, unnest(list_transform(v[1:4], lambda z: case when u < 0.3 then 0.0 else z end)) x from h")
+@query(f"with {EMB}, h as (select vec_id, v, {text.hash_sql('vec_id', 7)} / 4294967296.0 u from x) select vec_id, unnest(range(64)) dim, unnest(list_transform(v, lambda z: case when u < 0.3 then 0.0 else z end)) x from h")
 def state_dropout(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors zeroed with a probability of 0.3, by a seeded hash (143)."""
     from trajspark.operators.sampling import excluded
 
-    return _vectors(spark, folder).select("vec_id", F.posexplode(excluded(F.slice("v", 1, 4), F.col("vec_id"), 0.3, 7)).alias("dim", "x"))
-
-
-@query(None)
-def state_dropout_all(spark: SparkSession, folder: str) -> DataFrame:
-    """As state_dropout, over all 64 dimensions (143)."""
-    from trajspark.operators.sampling import excluded
-
     return _vectors(spark, folder).select("vec_id", F.posexplode(excluded(F.col("v"), F.col("vec_id"), 0.3, 7)).alias("dim", "x"))
 
 
@@ -323,25 +345,26 @@ def nested_reshape(spark: SparkSession, folder: str) -> DataFrame:
     return flat.select("vec_id", "label", add(F.col("arm")).alias("arm"), add(F.reverse("joint")).alias("joint"), F.col("joint")[0].alias("head"), F.concat("gripper", "arm")[1].alias("next_"), width.alias("width"))
 
 
-@query("with d as (select label, vec_id, embedding[1]::double x from embeddings) select label, count(*) n, round(list_sum(list(x order by vec_id)), 4) total, round(arg_min(x, vec_id), 6) as first from d group by all")
+@query(f"with {EMB}, r as (select *, (row_number() over (partition by label order by vec_id) - 1) // 32 batch from x), b as (select label, batch, count(*) n, list(v order by vec_id) vs from r group by all), u as (select *, unnest(range(1, 65)) d from b) select label, batch, (d - 1)::int dim, n, round(list_sum(list_transform(vs, lambda v: v[d])), 4) total, round(vs[1][d], 6) as first, round(vs[-1][d], 6) as last from u")
 def compress_dicts(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of named values turned into named lists (49, 54)."""
-    g = _vectors(spark, folder).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("vec_id", F.col("v")[0].alias("x")))).alias("rows"))
-    xs = F.transform("rows", lambda r: r["x"])
-    return g.select("label", F.size("rows").alias("n"), F.round(F.aggregate(xs, F.lit(0.0), lambda s, x: s + x), 4).alias("total"), F.round(xs[0], 6).alias("first"))
+    """Rows of named values turned into named lists, in batches of 32 (49, 54)."""
+    b = _ranked(spark, folder).groupBy("label", F.expr("i div 32").alias("batch")).agg(F.count("*").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "v"))), lambda r: r["v"]).alias("vs"))
+    named = b.select("label", "batch", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda d: F.transform("vs", lambda v: v[d]))).alias("dim", "xs"))
+    return named.select("label", "batch", "dim", "n", F.round(F.aggregate("xs", F.lit(0.0), lambda t, x: t + x), 4).alias("total"), F.round(F.col("xs")[0], 6).alias("first"), F.round(F.element_at("xs", -1), 6).alias("last"))
 
 
-@query("select vec_id, unnest([0, 1, 2]) tile, embedding[1]::double x from embeddings")
+@query(f"with {EMB}, t as (select vec_id, unnest([0, 1, 2]) tile, v from x) select vec_id, tile, len(v) width, round(list_sum(v), 5) total, v[1] as first, v[64] as last from t")
 def tile_batch(spark: SparkSession, folder: str) -> DataFrame:
     """An observation repeated along the batch (54a)."""
-    return _vectors(spark, folder).select("vec_id", F.posexplode(F.array_repeat(F.col("v")[0], 3)).alias("tile", "x"))
+    rows = _vectors(spark, folder).select("vec_id", F.posexplode(F.array_repeat("v", 3)).alias("tile", "v"))
+    return rows.select("vec_id", "tile", F.size("v").alias("width"), F.round(F.aggregate("v", F.lit(0.0), lambda t, x: t + x), 5).alias("total"), F.col("v")[0].alias("first"), F.col("v")[63].alias("last"))
 
 
-@query("with d as (select label, list(embedding[1]::double order by vec_id) v from embeddings group by all), m as (select label, list_max(v) a, list_min(v) b, v from d) select label, list_position(v, a) - 1 argmax, list_position(v, b) - 1 argmin from m")
+@query(f"with {EMB}, u as (select label, vec_id, unnest(range(64)) dim, unnest(v) x, row_number() over (partition by label order by vec_id) - 1 i from x) select label, dim::int dim, arg_max(i, (x, -i)) argmax, arg_min(i, (x, i)) argmin from u group by all")
 def arg_extremes(spark: SparkSession, folder: str) -> DataFrame:
-    """Positions of the greatest and least element, the first on a tie (111b)."""
-    g = _vectors(spark, folder).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", F.col("v")[0].alias("x")))), lambda r: r["x"]).alias("v"))
-    return g.select("label", (F.array_position("v", F.array_max("v")) - 1).alias("argmax"), (F.array_position("v", F.array_min("v")) - 1).alias("argmin"))
+    """Positions of the greatest and least element of each dimension, the first on a tie (111b)."""
+    long = _ranked(spark, folder).select("label", "i", F.posexplode("v").alias("dim", "x"))
+    return long.groupBy("label", "dim").agg(F.max_by("i", F.struct(F.col("x"), -F.col("i"))).alias("argmax"), F.min_by("i", F.struct("x", "i")).alias("argmin"))
 
 
 # ---------------------------------------------------------------- text

@@ -53,23 +53,14 @@ def quat_to_matrix(q: np.ndarray, order: str = "wxyz") -> np.ndarray:
 
 
 def matrix_to_quat(m: np.ndarray, order: str = "wxyz") -> np.ndarray:
-    """The largest of the four components is computed first, which keeps the division well away from 0."""
-    d = np.stack([m[..., 0, 0], m[..., 1, 1], m[..., 2, 2], np.trace(m, axis1=-2, axis2=-1)], -1)
-    q = np.zeros((*m.shape[:-2], 4))  # x y z w
-    pick = np.argmax(d, -1)
-    for c in range(3):
-        i, j, k = c, (c + 1) % 3, (c + 2) % 3
-        at = pick == c
-        n = m[at]
-        q[at, i] = 1 - d[at, 3] + 2 * n[:, i, i]
-        q[at, j] = n[:, j, i] + n[:, i, j]
-        q[at, k] = n[:, k, i] + n[:, i, k]
-        q[at, 3] = n[:, k, j] - n[:, j, k]
-    at = pick == 3
-    n = m[at]
-    q[at] = np.stack([n[:, 2, 1] - n[:, 1, 2], n[:, 0, 2] - n[:, 2, 0], n[:, 1, 0] - n[:, 0, 1], 1 + d[at, 3]], -1)
-    q /= np.linalg.norm(q, axis=-1, keepdims=True)
-    return q if order == "xyzw" else q[..., [3, 0, 1, 2]]
+    """A column of 4 q q', whose entries are sums of the matrix's: that of the largest component, which comes out positive."""
+    a, (b, c), (d, e), (f, g) = np.ones(m.shape[:-2]), (m[..., 2, 1], m[..., 1, 2]), (m[..., 0, 2], m[..., 2, 0]), (m[..., 1, 0], m[..., 0, 1])
+    x, y, z = m[..., 0, 0], m[..., 1, 1], m[..., 2, 2]
+    outer = np.stack([a + x + y + z, b - c, d - e, f - g, b - c, a + x - y - z, f + g, d + e, d - e, f + g, a - x + y - z, b + c, f - g, d + e, b + c, a - x - y + z], -1).reshape(*m.shape[:-2], 4, 4)
+    pick = np.argmax(np.diagonal(outer, axis1=-2, axis2=-1), -1)
+    q = np.take_along_axis(outer, pick[..., None, None], -2)[..., 0, :]
+    q = q / np.linalg.norm(q, axis=-1, keepdims=True)
+    return q if order == "wxyz" else q[..., [1, 2, 3, 0]]
 
 
 def rotvec_to_matrix(v: np.ndarray) -> np.ndarray:
