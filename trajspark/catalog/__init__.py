@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["problems", "sequences", "vectors", "datasets", "streams"]
+MODULES = ["problems", "sequences", "vectors", "datasets", "streams", "stored"]
 
 
 def _all(what: str) -> dict:

@@ -100,3 +100,14 @@ def step_of_checkpoint(path: Column) -> Column:
 def canonical_name(spec: Column) -> Column:
     """A package's name: lower case, runs of - _ . as one -."""
     return F.regexp_replace(F.lower(F.regexp_extract(F.trim(spec), r"^([A-Za-z0-9][A-Za-z0-9._-]*)", 1)), r"[-_.]+", "-")
+
+
+def requirement(line: Column) -> Column:
+    """A dependency line as (name, spec, marker): the canonical name, version specifications without white space, and what follows a ;.
+
+    Comments are cut off; extras in brackets are left out; parts that aren't there are ''.
+    """
+    plain = F.trim(F.regexp_replace(line, r"(^|\s)#.*$", ""))
+    body, marker = F.trim(F.split_part(plain, F.lit(";"), F.lit(1))), F.trim(F.regexp_extract(plain, r";(.*)$", 1))
+    spec = F.regexp_replace(F.regexp_replace(body, r"^[A-Za-z0-9][A-Za-z0-9._-]*\s*(\[[^\]]*\])?", ""), r"[\s()]", "")
+    return F.struct(canonical_name(body).alias("name"), spec.alias("spec"), marker.alias("marker"))

@@ -13,15 +13,14 @@ import io
 import urllib.parse
 import uuid
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions.paths import plain_path
+from trajspark.plans.files import opened
 from trajspark.plans.pieces import groups, partitions_of
 from trajspark.plans.shared import cut
 from trajspark.sources.parquet_blocks import concat_files, read_footer
@@ -79,17 +78,11 @@ def binned(files: DataFrame, total: int, target: int, keys: list[str], name: str
     return ranged.withColumn("bin", F.format_string("%06d-%06d", F.col("_range"), F.floor(before / F.lit(target)))).drop("_range")
 
 
-def _open(uri: str):
-    if urlparse(uri).scheme in ("", "file"):
-        return pafs.LocalFileSystem(), urlparse(uri).path or uri
-    return pafs.FileSystem.from_uri(uri)
-
-
 def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: dict[str, list] = {k: [] for k in ("path", "n_bytes", "n_rows", "n_blocks", "schema_id")}
         for path, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            fs, at = _open(path)
+            fs, at = opened(path)
             with fs.open_input_file(at) as f:
                 foot = read_footer(f)
             for k, v in zip(out, (path, size, foot.rows, len(foot.groups), hashlib.sha256(foot.schema + foot.pairs).hexdigest()[:16])):
@@ -106,7 +99,7 @@ def _sources(paths: list[str], earlier: list[list | None], left: list[int]) -> I
     A rewritten file must have as many rows as are `left` of it.
     """
     for path, seen, n in zip(paths, earlier, left):
-        fs, at = _open(path)
+        fs, at = opened(path)
         with fs.open_input_file(at) as f:
             if seen is None:
                 yield f
@@ -136,7 +129,7 @@ def _copy(folder: str):
             out: dict[str, list] = {k: [] for k in _DONE.names}
             for i in range(b.num_rows):
                 name, files, rows, blocks = (b.column(k)[i].as_py() for k in range(4))
-                fs, root = _open(folder)
+                fs, root = opened(folder)
                 fs.create_dir(root, recursive=True)
                 # a name of its own per attempt, moved into place when whole: a repeated or
                 # speculative task can neither double rows nor leave half a file
@@ -235,7 +228,7 @@ def _store(folder: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        fs, root = _open(folder)
+        fs, root = opened(folder)
         made: set[str] = set()
         for t in groups(batches, 4):
             ds, file, piece, bucket = (t.column(i)[0].as_py() for i in range(4))
@@ -328,6 +321,6 @@ def consolidate(frames: DataFrame, files: DataFrame, folder: str, target: int =
     got = n_records(spark.read.schema(frames.schema).parquet(folder)) if want else (0, 0)
     if got != (want, want):
         raise ValueError(f"{want} frame records, but {got[0]} rows with {got[1]} frame records in the consolidated files")
-    root = _open(folder)[1]
+    root = opened(folder)[1]
     account = plan.drop("earlier").join(placed.select(*PART, F.concat(F.lit(f"{root}/"), "bin", F.lit(".parquet")).alias("out_path")), PART, "left")
     return done, account

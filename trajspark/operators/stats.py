@@ -2,13 +2,12 @@
 
 import hashlib
 import json
-import os
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajspark.operators import distribution
+from trajspark.plans import files
 from trajspark.plans.shared import cut
 
 SIX = ("mean", "std", "min", "max", "q01", "q99")
@@ -119,24 +118,14 @@ def relative_specs(tag: str, action, state) -> dict[str, dict]:
 
 
 def write_json(path: str, data, indent: int = 4) -> None:
-    """Writes a file whole or not at all: a sibling of a unique name, synced, then renamed."""
-    part = f"{path}.{os.getpid()}.{uuid.uuid4().hex}.tmp"
-    try:
-        with open(part, "w") as f:
-            json.dump(data, f, indent=indent, allow_nan=True)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(part, path)
-    finally:
-        if os.path.exists(part):
-            os.remove(part)
+    """Writes a file whole or not at all (plans.files.write); what JSON can't hold is an error before anything is written."""
+    files.write(path, json.dumps(data, indent=indent, allow_nan=True).encode())
 
 
 def read_json(path: str) -> dict:
     """A cache file's object; {} if it is missing, empty, cut short or not an object."""
     try:
-        with open(path) as f:
-            data = json.load(f)
+        data = json.loads(files.read(path))
     except (OSError, ValueError):
         return {}
     return data if isinstance(data, dict) else {}

@@ -6,17 +6,18 @@ episodes share a file and the metadata are Parquet. Both are read by one scan wi
 that columns and row groups are pruned.
 """
 
-import glob
 import json
 import os
 import re
-import shutil
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajspark.operators.stats import read_json, write_json
+from trajspark.plans import files
+from trajspark.sources.layouts import write_files
 
 EPISODES = "episode_index long, tasks array<string>, length int, sub_tasks array<struct<start:int,end:int,text:string>>"
 TASKS = "task_index long, task string"
@@ -33,8 +34,7 @@ def expand(values: list[str]) -> list[str]:
     out = []
     for v in values:
         for part in v.split(os.pathsep):
-            found = sorted(glob.glob(part)) if glob.has_magic(part) else [part]
-            out += [x for x in found if x]
+            out += files.matching(part) if part else []
     return list(dict.fromkeys(out))
 
 
@@ -46,7 +46,7 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
 
 def file_index(spark: SparkSession, root: str, parts: tuple[str, ...] = ("data", "videos", "masks")) -> DataFrame:
     """(path): all files under the parts, relative to the data set; contents aren't read."""
-    there = [f"{root}/{p}" for p in parts if os.path.isdir(f"{root}/{p}")]
+    there = [f"{root}/{p}" for p in parts if files.is_folder(f"{root}/{p}")]
     if not there:
         return spark.createDataFrame([], "path string")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(there)
@@ -58,8 +58,7 @@ class Dataset:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        with open(f"{self.root}/meta/info.json") as f:
-            self.info = json.load(f)
+        self.info = json.loads(files.read(f"{self.root}/meta/info.json"))
         self.version = major_version(self.info)
         self.modality = read_json(f"{self.root}/meta/modality.json")
 
@@ -70,7 +69,7 @@ class Dataset:
     def episodes(self) -> DataFrame:
         """Episode metadata in order, without the embedded statistics of the newer layout."""
         if self.version >= 3:
-            if not glob.glob(f"{self.root}/meta/episodes/*/*.parquet"):
+            if not files.matching(f"{self.root}/meta/episodes/*/*.parquet"):
                 raise FileNotFoundError(f"no episode metadata under {self.root}/meta/episodes")
             df = self.spark.read.parquet(f"{self.root}/meta/episodes/*/*.parquet")
             return df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("stats/")]).orderBy("episode_index")
@@ -174,12 +173,16 @@ def nested_stats(row: dict) -> dict:
 def convert(spark: SparkSession, root: str, target: str, chunks_size: int = 1000) -> None:
     """Writes a data set of the newer layout as one of the older: one Parquet file per episode.
 
-    Rows of an episode are hashed to one task and written by Spark's committer below a folder per
-    chunk and episode; the driver then gives the files their names. An empty episode is an error.
+    Rows of an episode come to one task, in order, and are written as its file; metadata lines are
+    written by one task a file. All is put together in a folder beside `target` that is moved there at
+    last, an older `target` being kept under a name of its own. Episodes' embedded statistics go, nested,
+    into meta/episodes_stats.jsonl; other files and folders of the data set (images, notes) are copied.
+    An empty episode is an error.
     """
     d = Dataset(spark, root)
     if d.version < 3:
         raise ValueError("only data sets of version 3 are converted")
+    all_ = spark.read.parquet(f"{d.root}/meta/episodes/*/*.parquet")
     episodes = d.episodes()
     length = F.col("length") if "length" in episodes.columns else F.lit(None).cast("bigint")
     if "dataset_to_index" in episodes.columns:
@@ -188,33 +191,37 @@ def convert(spark: SparkSession, root: str, target: str, chunks_size: int = 1000
     if episodes.where("coalesce(length, 0) <= 0").limit(1).count():
         raise ValueError("an episode has no rows")
     part = f"{target}.{uuid.uuid4().hex}.tmp"
-    os.makedirs(f"{part}/meta")
-    df = spark.read.option("recursiveFileLookup", "true").parquet(f"{d.root}/data")
-    chunk = F.expr(f"episode_index div {chunks_size}")
-    out = df.withColumn("_chunk", chunk).withColumn("_episode", F.col("episode_index")).repartition("_episode").sortWithinPartitions("_episode", "frame_index")
-    out.write.partitionBy("_chunk", "_episode").parquet(f"{part}/rows")
-    for path in glob.glob(f"{part}/rows/_chunk=*/_episode=*/*.parquet"):
-        c, e = (int(x) for x in re.findall(r"=(\d+)", path)[-2:])
-        to = f"{part}/data/chunk-{c:03d}/episode_{e:06d}.parquet"
-        os.makedirs(os.path.dirname(to), exist_ok=True)
-        if os.path.exists(to):
-            raise ValueError(f"episode {e} was written to more than one file")
-        os.rename(path, to)
-    shutil.rmtree(f"{part}/rows")
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{d.root}/data")
+    path = F.format_string("data/chunk-%03d/episode_%06d.parquet", F.expr(f"episode_index div {chunks_size}"), F.col("episode_index"))
+    write_files(rows, part, path, ["episode_index", *(["frame_index"] if "frame_index" in rows.columns else [])])
     keep = [c for c in ("episode_index", "tasks", "length", "sub_tasks") if c in episodes.columns]
-    _lines(episodes.select(*keep).orderBy("episode_index"), f"{part}/meta/episodes.jsonl")
-    _lines(d.tasks().orderBy("task_index"), f"{part}/meta/tasks.jsonl")
+    _lines(episodes.select(*keep), part, "episodes", "episode_index")
+    _lines(d.tasks(), part, "tasks", "task_index")
+    if (nested := _nested_columns(all_.columns)) is not None:
+        _lines(all_.select("episode_index", nested), part, "episodes_stats", "episode_index")
     write_json(f"{part}/meta/info.json", converted_info(d.info, chunks_size))
-    for name in ("modality.json", "stats.json", "relative_stats.json"):
-        if os.path.exists(f"{d.root}/meta/{name}"):
-            shutil.copy(f"{d.root}/meta/{name}", f"{part}/meta/{name}")
-    if os.path.exists(target):
-        os.rename(target, f"{target}.backup-{uuid.uuid4().hex[:8]}")
-    os.rename(part, target)
-
-
-def _lines(df: DataFrame, path: str) -> None:
-    """Writes metadata rows as JSON lines, streamed through the driver partition by partition."""
-    with open(path, "w") as f:
-        for row in df.toJSON().toLocalIterator():
-            f.write(row + "\n")
+    fs, at = files.opened(d.root)
+    for f in fs.get_file_info(pafs.FileSelector(at, recursive=True)):
+        name = f.path.removeprefix(at).lstrip("/")
+        ours = name.startswith(("data/", "meta/episodes/")) or name in ("meta/info.json", "meta/tasks.parquet")
+        if f.type == pafs.FileType.File and not ours:
+            files.write(f"{part}/{name}", files.read(f"{d.root}/{name}"))
+    fs, at = files.opened(target)
+    if files.exists(target):
+        fs.move(at, f"{at}.backup-{uuid.uuid4().hex[:8]}")
+    fs.move(files.opened(part)[1], at)
+
+
+def _nested_columns(columns: list[str]):
+    """Columns stats/feature/name as one struct `stats` of a struct per feature; None if there are none."""
+    by: dict[str, list[str]] = {}
+    for c in columns:
+        if c.startswith("stats/"):
+            by.setdefault(c.split("/", 2)[1], []).append(c)
+    return F.struct(*[F.struct(*[F.col(f"`{c}`").alias(c.split("/", 2)[2]) for c in cs]).alias(f) for f, cs in by.items()]).alias("stats") if by else None
+
+
+def _lines(df: DataFrame, root: str, name: str, order: str) -> None:
+    """Metadata rows as the JSON lines of meta/<name>.jsonl, in order."""
+    rows = df.select(F.col(order).alias("_order"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("line"))
+    write_files(rows, root, F.lit(f"meta/{name}.jsonl"), ["_order"], lines=True)

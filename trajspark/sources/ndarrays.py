@@ -1,6 +1,7 @@
 """A Python data source for .npy and .npz files: masks, raw videos and initial actions."""
 
 import glob
+import io
 import json
 import os
 
@@ -8,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from trajspark.plans import files
+
 SEPARATOR = "::"
 
 
@@ -91,9 +94,9 @@ def save_initial_actions(actions: list[dict[str, dict[str, np.ndarray]]], path:
                     raise ValueError(f"a name holds {SEPARATOR}")
                 flat[SEPARATOR.join((str(i), str(traj), key))] = np.asarray(a)
     marker = {"format": owner + FORMAT, "version": VERSION, "key_sep": SEPARATOR, "num_datasets": len(actions)}
-    part = f"{path}.tmp.npz"
-    np.savez(part, **flat, **{MARKER: np.frombuffer(json.dumps(marker).encode(), dtype=np.uint8)})
-    os.replace(part, path)
+    out = io.BytesIO()
+    np.savez(out, **flat, **{MARKER: np.frombuffer(json.dumps(marker).encode(), dtype=np.uint8)})
+    files.write(path, out.getvalue())
 
 
 def read_initial_actions(path: str) -> list[dict[str, dict[str, np.ndarray]]]:
@@ -102,7 +105,7 @@ def read_initial_actions(path: str) -> list[dict[str, dict[str, np.ndarray]]]:
     Never unpickles. A file without the marker, of another format or version, a broken name and a
     data set beyond their number are errors.
     """
-    with np.load(path, allow_pickle=False) as z:
+    with np.load(io.BytesIO(files.read(path)), allow_pickle=False) as z:
         if MARKER not in z.files:
             raise ValueError(f"{path}: no {MARKER} marker")
         marker = json.loads(bytes(z[MARKER]))

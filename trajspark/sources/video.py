@@ -70,6 +70,32 @@ def addressed(index: Column, from_timestamp: Column, fps: Column) -> Column:
     return index + F.bround(from_timestamp * fps, 0).cast("bigint")
 
 
+def frame_count(declared: Column, rate: Column, duration: Column) -> Column:
+    """The number of frames a container declares, else what its duration and rate hold, cut off."""
+    return F.coalesce(declared.cast("bigint"), F.floor(duration * rate).cast("bigint"))
+
+
+def all_frames(paths: DataFrame, fps: float | None = None, suffix: str | None = None) -> DataFrame:
+    """(path, frame, pts, h, w, c, dtype, data) of every frame of the distinct `paths`, pts in seconds from 0.
+
+    `fps` stands in for the decoder's own rate. A file is decoded by one task; frames are handed on one by one.
+    """
+    decoders = dict(DECODERS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                stack, rate = decoders[suffix or p.rsplit(".", 1)[-1]](p.removeprefix("file://"))
+                for i in range(0, len(stack), 256):
+                    some = stack[i : i + 256]
+                    n, x = len(some), some[0]
+                    shape = [x.shape[0], x.shape[1], x.shape[2] if x.ndim > 2 else 1]
+                    columns = [pa.array([p] * n), pa.array(range(i, i + n), pa.int64()), pa.array([k / (fps or rate) for k in range(i, i + n)], pa.float64()), *[pa.array([d] * n, pa.int32()) for d in shape], pa.array([str(x.dtype)] * n), pa.array([f.tobytes() for f in some], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["path", "frame", "pts", "h", "w", "c", "dtype", "data"])
+
+    return paths.where("path is not null").select("path").distinct().mapInArrow(run, "path string, frame long, pts double, h int, w int, c int, dtype string, data binary")
+
+
 def decode(needed: DataFrame, missing: str = "error", suffix: str | None = None) -> DataFrame:
     """(path, frame, h, w, c, dtype, data) of the distinct (path, frame) pairs of `needed`.
 
