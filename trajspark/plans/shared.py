@@ -5,6 +5,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trajspark.plans.files import opened
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names in spark.checkpoint.dir.
@@ -30,7 +32,18 @@ def cut(df: DataFrame) -> DataFrame:
     Written rather than checkpoint()ed because Parquet is compressed, columnar and prunable; the
     files survive lost executors. They stay until the folder is cleared by the cluster.
     """
+    return cut_at(df)[0]
+
+
+def cut_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """As `cut`, with the place of the table, for `discard`."""
     spark = df.sparkSession
     at = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return spark.read.schema(df.schema).parquet(at), at
+
+
+def discard(at: str) -> None:
+    """Deletes a table that `cut_at` wrote and no plan will read any more."""
+    fs, path = opened(at)
+    fs.delete_dir(path)
