@@ -1,6 +1,7 @@
 """Queries of this subpackage and their checking SQL."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trajspark.llm import bpe, mixing, packing, percentiles, sentences, splits
 from trajspark.plans.shared import cut
@@ -39,6 +40,11 @@ def p6_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.episode_splits(table(spark, folder, "episodes"))
 
 
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """What each split really got, from stored assignments."""
+    return splits.split_report(cut(p6_splits(spark, folder))).withColumn("share", F.round("share", 9))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"))
 
@@ -67,7 +73,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentences(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p2_found, p2_mix, p2_selection, p6_found, p6_splits, p8_ids, p9_pack, p9_report, p9_joint, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p2_found, p2_mix, p2_selection, p6_found, p6_splits, p6_report, p8_ids, p9_pack, p9_report, p9_joint, p10_found)}
 
 _ACTUAL = """
 with f as (
@@ -123,7 +129,18 @@ sided as (
 )
 """
 
+_SPLITS = (
+    _LINKED
+    + """, named as (select distinct l.dataset_id, l.episode_index, coalesce(c.c, 'episode:' || l.dataset_id || ':' || l.episode_index) component
+ from live l left join first_ f using (dataset_id, episode_index) left join comp c on c.v = f.v),
+placed as (select *, ('0x' || substr(md5('0:' || component), 1, 13))::bigint / 4503599627370496.0::double as at_ from named),
+splits as (select dataset_id, episode_index, component, case when at_ < 0.8 then 'train' when at_ < 0.9 then 'validation' else 'test' end split from placed)
+"""
+)
+
 ORACLES = {
+    "p6_splits": _SPLITS + "select dataset_id, episode_index, component, split from splits",
+    "p6_report": _SPLITS + ", per as (select split, component, count(*) n from splits group by all) select split, sum(n)::bigint n_records, count(*) n_components, max(n) largest, round(sum(n) / (select count(*) from splits), 9) share from per group by 1",
     "p1_found": _ACTUAL
     + """select dataset_id, modality, "key", step, dim, b bound from (
  select s.dataset_id, s.modality, s."key", coalesce(s.step, -1) step, s.dim, unnest(['q01', 'q99']) b, unnest([s.q01, s.q99]) p, unnest([a01, a99]) a, a99 - a01 w

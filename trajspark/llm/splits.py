@@ -1,31 +1,37 @@
 """Splits that keep related records together: components by large-star and small-star, then hashed ranges."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from trajspark.plans.shared import cut
+from trajspark.plans.shared import cut, cut_at, discard
 from trajspark.plans.sizes import small_side
 
 
+def _stored(e: DataFrame) -> tuple[DataFrame, str, tuple]:
+    """The edges stored, where, and their number and sum of hashes, observed while they are written."""
+    seen = Observation()
+    e, at = cut_at(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")))
+    return e, at, (seen.get["n"], seen.get["h"])
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of the undirected graph `edges` (a, b: bigint); a node without edges isn't listed.
 
     Alternates large-star (each node's greater neighbours are tied to its least one) and small-star
     (its lesser ones are) until nothing changes, which takes rounds by the logarithm of the longest
     chain. The least neighbour is found by partial aggregation and joined back, so a node with very
-    many neighbours is split by adaptive execution; each round is stored to cut its lineage.
+    many neighbours is split by adaptive execution. Each round is stored to cut its lineage, counted and
+    hashed as it is written, and the one before is then deleted.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    last = mark(e)
+    e, at, last = _stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        e = cut(small.distinct())
-        now = mark(e)
+        was, (e, at, now) = at, _stored(small.distinct())
+        discard(was)
         if now == last:
             break
         last = now
@@ -59,10 +65,11 @@ def grouped(records: DataFrame, keys: list[str], entities: list[str]) -> DataFra
 
 
 def split_of(component: Column, shares: dict[str, float], seed: int = 0) -> Column:
-    """The split whose range of [0, 1) the component's seeded hash falls into; shares must add up to 1."""
+    """The split whose range of [0, 1) the component's seeded hash (52 bits of MD5, which any engine has) falls into; shares must add up to 1."""
     if abs(sum(shares.values()) - 1) > 1e-9 or min(shares.values()) < 0:
         raise ValueError("the shares of the splits must add up to 1")
-    at = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), component), 11)) / F.lit(float(1 << 53))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), component)), 1, 13)
+    at = F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
     out, upto, names = None, 0.0, list(shares)
     for n in names[:-1]:
         upto += shares[n]
@@ -94,6 +101,13 @@ def episode_splits(episodes: DataFrame, shares: dict[str, float] | None = None,
     return rows.withColumn("component", own).withColumn("split", split_of(F.col("component"), shares, seed))
 
 
+def split_report(splits: DataFrame) -> DataFrame:
+    """(split, n_records, n_components, largest, share): what each split really got, and its largest component."""
+    per = splits.groupBy("split", "component").agg(F.count("*").alias("n"))
+    out = per.groupBy("split").agg(F.sum("n").alias("n_records"), F.count("*").alias("n_components"), F.max("n").alias("largest"))
+    return out.withColumn("share", F.col("n_records") / splits.agg(F.count("*")).scalar())
+
+
 def broken_splits(episodes: DataFrame, info: DataFrame) -> DataFrame:
     """Episodes of linked groups that the declared training ranges cut apart: (dataset_id, episode_index).
 
