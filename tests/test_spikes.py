@@ -96,3 +96,11 @@ def test_long_episodes_are_cut_into_blocks_without_a_trace(spark):
 def test_empty_and_single(spark):
     assert implausible(spark.createDataFrame([], DDL), ["observation.state", "action"]).count() == 0
     assert _found(spark.createDataFrame([("a", 0, 0, [1.0], [], 1), ("a", 0, 1, [], None, 1)], DDL)) == {}
+
+
+def test_stated_limits_hold_whatever_the_source_does(spark):
+    rows = [("d", e, i, [float((e * 40 + i) % 7)], [1.0 + (i % 3)]) for e in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "dataset_id string, episode_index long, frame_index long, `observation.state` array<double>, action array<double>")
+    assert implausible(df, ["observation.state", "action"]).where("array_contains(reasons, 'impossible')").count() == 0
+    got = implausible(df, ["observation.state", "action"], physical={"action": (0.0, 2.5)}).where("array_contains(reasons, 'impossible')").collect()
+    assert len(got) == sum(r[4][0] > 2.5 for r in rows) and {r["field"] for r in got} == {"action"}

@@ -50,7 +50,7 @@ class SpikeRules:
 
 OUT = T.StructType(
     [
-        T.StructField("kind", T.StringType()),  # profile, nonfinite, outside, excursion, stuck
+        T.StructField("kind", T.StringType()),  # profile, nonfinite, impossible, outside, excursion, stuck
         T.StructField("dataset_id", T.StringType()),
         T.StructField("field", T.StringType()),
         T.StructField("dim", T.IntegerType()),
@@ -116,7 +116,7 @@ def _quantiles(x: np.ndarray, q: list[float]) -> list[float]:
     return [float(v) for v in np.quantile(x, q)] if len(x) else [float("nan")] * len(q)
 
 
-def _piece(values: np.ndarray, there: np.ndarray, ep: np.ndarray, fr: np.ndarray, own: np.ndarray, r: SpikeRules, add) -> None:
+def _piece(values: np.ndarray, there: np.ndarray, ep: np.ndarray, fr: np.ndarray, own: np.ndarray, r: SpikeRules, add, physical: tuple[float, float] | None = None) -> None:
     """Works through one piece of one field; `add` takes the output rows."""
     n, dims = values.shape
     if not n or not dims:
@@ -168,8 +168,9 @@ def _piece(values: np.ndarray, there: np.ndarray, ep: np.ndarray, fr: np.ndarray
         v = np.where(finite[:, k], values[:, k], a)
         room = 0.35 * (b - a)
         far = (v < a - room) | (v > b + room)
-        if a == b and far.mean() > 0.05:
-            continue
+        if physical is not None:
+            for i in np.flatnonzero(own & finite[:, k] & ((values[:, k] < physical[0]) | (values[:, k] > physical[1]))):
+                add("impossible", int(k), i, value=float(values[i, k]))
         for i in np.flatnonzero(far & own):
             add("outside", int(k), i, value=float(values[i, k]))
     # chart: episodes of similar length together, to waste little on padding
@@ -228,7 +229,7 @@ def _excursion(v, e, good, a, b, k, own, scale, r, add) -> None:
         del at[x:y]
 
 
-def _scan(fields: list[str], r: SpikeRules, before: int):
+def _scan(fields: list[str], r: SpikeRules, before: int, physical: dict[str, tuple[float, float]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in OUT.fields]
         rows: dict[str, list] = {c: [] for c in names}
@@ -249,7 +250,7 @@ def _scan(fields: list[str], r: SpikeRules, before: int):
                     for c in names:
                         rows[c].append(row.get(c))
 
-                _piece(values, there, ep, fr, own, r, add)
+                _piece(values, there, ep, fr, own, r, add, physical.get(name))
             if len(rows["kind"]) > 20_000:
                 yield pa.RecordBatch.from_pydict(rows, schema=schema)
                 rows = {c: [] for c in names}
@@ -259,16 +260,18 @@ def _scan(fields: list[str], r: SpikeRules, before: int):
     return run
 
 
-def implausible(frames: DataFrame, fields: list[str], rules: SpikeRules = SpikeRules(), block: int = 16384) -> DataFrame:
+def implausible(frames: DataFrame, fields: list[str], rules: SpikeRules = SpikeRules(), block: int = 16384, physical: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Readings that cannot be right: (dataset_id, episode_index, frame_index, field, dim, reasons).
 
     Each frame record counts once however often it is stored; null vectors and rows with a null key
     give nothing; NaN, infinities and nulls inside a vector are `nonfinite`. An empty table gives no rows.
     An excursion needs a reading on either side. Columns other than the keys and `fields` are ignored.
+    `physical` are stated limits (least, greatest) of a field's readings; what lies beyond them is
+    `impossible` whatever the source does. Without them the source's own range sets the limits.
     """
     cols = [f"v{i}" for i in range(len(fields))]
     pieces = frame_pieces(frames, [F.col(f"`{f}`") for f in fields], cols, block=block, before=64, after=64)
-    found = cut(pieces.mapInArrow(_scan(cols, rules, block), OUT))
+    found = cut(pieces.mapInArrow(_scan(cols, rules, block, {c: (physical or {})[f] for c, f in zip(cols, fields) if f in (physical or {})}), OUT))
     key = ["dataset_id", "field", "dim"]
     med = lambda c: F.percentile(c, F.lit(0.5), F.col("n")).alias(c)
     profile = (
@@ -282,7 +285,7 @@ def implausible(frames: DataFrame, fields: list[str], rules: SpikeRules = SpikeR
     r, wide = rules, F.col("hi") - F.col("lo")
     outside = (F.col("value") < F.col("lo") - r.beyond * wide) | (F.col("value") > F.col("hi") + r.beyond * wide)
     keep = (
-        (F.col("kind") == "nonfinite")
+        F.col("kind").isin("nonfinite", "impossible")
         | ((F.col("kind") == "outside") & outside)
         | ((F.col("kind") == "excursion") & (F.col("step") > 0) & (F.col("departure") > F.greatest(F.lit(r.jump), F.col("frames").cast("double")) * F.col("step")))
         | ((F.col("kind") == "stuck") & (F.col("equal") < r.changing))
