@@ -14,7 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+#: Fewest hash buckets ranks are counted by, and pieces a bucket should hold of the commonest size.
+BUCKETS, IN_BUCKET = 256, 100_000
+#: Most rows of a plan that is shipped to the tasks: sizes are at most the capacities, and every size fills few kinds of containers.
+MOST_PLACEMENTS = 5_000_000
 
 
 @dataclass
@@ -159,16 +162,17 @@ def pack(lengths: DataFrame, packs: list[tuple[int, list[int]]]) -> DataFrame:
     pack's largest capacity is cut into pieces of that capacity and a rest; nothing else is cut. A
     document of no tokens takes no room and stands in container 0. Result: (pack_id, doc_id, piece,
     n_tokens, container, capacity). What comes to the driver are counts per size, at most the sum of
-    the packs' capacities.
+    the packs' capacities. Ranks within a size are counted by hash bucket, more of them for more documents.
     """
     spark = lengths.sparkSession
+    buckets = max(BUCKETS, -(-lengths.count() // IN_BUCKET))
     caps = F.create_map(*[F.lit(x) for p, cs in packs for x in (p, max(cs))])
     rows = lengths.where("n_tokens is not null").select("doc_id", "n_tokens", F.explode(F.array(*[F.lit(p) for p, _ in packs])).alias("pack_id"))
     rows = rows.withColumn("c", caps[F.col("pack_id")].cast("bigint"))
     pieces = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("n_tokens") / F.col("c")).cast("bigint"))
     rows = rows.select("pack_id", "doc_id", "n_tokens", "c", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)).alias("piece"))
     size = F.least(F.col("c"), F.col("n_tokens") - F.col("piece") * F.col("c"))
-    rows = rows.select("pack_id", "doc_id", F.col("piece").cast("int").alias("piece"), size.alias("n_tokens")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int"))
+    rows = rows.select("pack_id", "doc_id", F.col("piece").cast("int").alias("piece"), size.alias("n_tokens")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     per = rows.groupBy("pack_id", "n_tokens", "bucket").agg(F.count("*").alias("n"))
     counts: dict[int, dict[int, int]] = {p: {} for p, _ in packs}
     for r in per.groupBy("pack_id", "n_tokens").agg(F.sum("n").alias("n")).collect():
@@ -177,6 +181,8 @@ def pack(lengths: DataFrame, packs: list[tuple[int, list[int]]]) -> DataFrame:
     for p, cs in packs:
         groups = best_fit(counts[p], cs)
         plans[p] = placements(groups), groups[0].capacity if groups else max(cs)
+    if sum(len(x[0]) for by, _ in plans.values() for x in by.values()) > MOST_PLACEMENTS:
+        raise ValueError(f"a plan of more than {MOST_PLACEMENTS} rows")
     shipped = spark.sparkContext.broadcast(plans)
     w = Window.partitionBy("pack_id", "n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")
