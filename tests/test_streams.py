@@ -54,3 +54,12 @@ def test_scans_equal_the_window_operators(spark):
     b = windows.ensemble(planned, ["k"], "i", "p", 4, most=3)
     close = a.join(b.select("k", F.col("step").cast("long").alias("i"), F.col("vector").alias("w")), ["k", "i"]).where(F.abs(F.col("vector")[0] - F.col("w")[0]) < 1e-9)
     assert close.count() == static.count()
+
+
+def test_reward_state_does_not_grow():
+    step, state, got = scans.episode_reward([], "x", "d", 3, "mean"), {}, []
+    for i in range(1000):
+        state, rows = step(state, {"x": float(i), "d": i == 998})
+        got += rows
+        assert len(str(state)) < 100
+    assert got[0] == {"reward": 1.0, "steps": 3, "done": False} and got[-1]["done"] and got[-1]["steps"] == 999 and abs(got[-1]["reward"] - 499) < 1e-9

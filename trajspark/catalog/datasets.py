@@ -193,6 +193,12 @@ def mixture_report(spark: SparkSession, folder: str) -> DataFrame:
     return s.groupBy("robot").agg(F.count_distinct("dataset_id").alias("n"), F.sum("n").cast("bigint").alias("shards"))
 
 
+@query(_SHARDS + "select dataset_id, shard, sum(n)::bigint steps, count(*) parts, count(distinct episode_index) episodes from dealt group by all")
+def shard_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """Steps, parts and episodes of every shard (193)."""
+    return _shards(spark, folder).groupBy("dataset_id", "shard").agg(F.sum("n_steps").alias("steps"), F.count("*").alias("parts"), F.count_distinct("episode_index").alias("episodes"))
+
+
 #: Steps of the episodes with their part: dealt in turn in seeded order.
 _STEPS = f""", st0 as (select dataset_id, episode_index, unnest(range("length")) step from e where "length" > 0),
 st as (select dataset_id, episode_index, step, (row_number() over (partition by dataset_id, episode_index order by {hash_sql('step * 7919 + episode_index * 104729', 5)}, step) - 1) % 4 split from st0),

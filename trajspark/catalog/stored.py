@@ -330,3 +330,134 @@ def requirement_parts(spark: SparkSession, folder: str) -> DataFrame:
     line = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("[extra] >= "), F.col("p_size").cast("string"), F.lit(',<90 ; python_version > "3.'), (F.col("p_size") % 9).cast("string"), F.lit('"'))
     r = texts.requirement(line)
     return p.select("p_partkey", r["name"].alias("name"), r["spec"].alias("spec"), r["marker"].alias("marker"))
+
+
+@query(_LEN + ", b as (select *, episode_index % 7 = 3 bad from n), r as (select *, bool_and(bad) over (partition by dataset_id) refused from b) select dataset_id, count(*) filter (refused or not bad) kept, count(*) filter (bad and not refused) dropped, any_value(refused) refused, count(*) filter (refused or not bad) total_episodes, sum(case when refused or not bad then n else 0 end)::bigint total_frames, count(distinct case when refused or not bad then episode_index // 50 end) chunks from r group by 1")
+def repair_run(spark: SparkSession, folder: str) -> DataFrame:
+    """Data sets that lost every seventh episode's file: lines and totals rewritten (60, 61, 203)."""
+    from trajspark.sources.repair import repair_store
+
+    root = f"{shared_folder(spark).rstrip('/')}/repair-{uuid.uuid4().hex}"
+    rows, n = _rows(spark, folder), _lengths(spark, folder)
+    path = F.format_string("%s/data/chunk-%03d/episode_%06d.parquet", "dataset_id", F.expr("episode_index div 50"), F.col("episode_index"))
+    layouts.write_files(rows.where("episode_index % 7 <> 3"), root, path, ["episode_index", "frame_index"])
+    lines = n.select(F.concat("dataset_id", F.lit("/meta/episodes.jsonl")).alias("at"), "episode_index", F.to_json(F.struct("episode_index", F.col("n").alias("length"))).alias("line"))
+    layouts.write_files(lines, root, F.col("at"), ["at", "episode_index"], lines=True)
+    totals = n.groupBy("dataset_id").agg(F.count("*").alias("episodes"), F.sum("n").alias("frames"))
+    _objects(totals, root, "info", lambda e, f: _info("v2.1", e, f) | {"total_chunks": -(-e // 50)})
+    report = repair_store(spark, root)
+    left = layouts.scan_lines(spark, root, "episodes", "episode_index long, length long").groupBy("dataset").agg(F.count("*").alias("_lines"))
+    i = layouts.scan_objects(spark, root, "info").select("dataset", F.from_json("body", "total_episodes long, total_frames long").alias("i")).select("dataset", "i.*")
+    chunks = layouts.scan_lines(spark, root, "episodes", "episode_index long, length long").groupBy("dataset").agg(F.count_distinct(F.expr("episode_index div 50")).alias("chunks"))
+    out = report.join(left, "dataset").where("_lines = kept").drop("_lines").join(i, "dataset").join(chunks, "dataset")
+    return out.withColumnRenamed("dataset", "dataset_id")
+
+
+@query(f"with {RECORDS}, d as (select distinct dataset_id from f), s as (select * from (values ('first', 'arm'), ('first', 'gripper'), ('changed', 'arm'), ('changed', 'gripper')) t(run, key)) select dataset_id, run, key from d, s")
+def relative_stats_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Relative statistics by fingerprint: computed for relative keys only, none again, all when the horizon changes (90, 91)."""
+    from trajspark.plans.modalities import ActionConfig, ModalityConfig
+
+    caches = f"{shared_folder(spark).rstrip('/')}/relative-{uuid.uuid4().hex}"
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for ds in b.column(0).to_pylist():
+                kinds = (ActionConfig("relative"), ActionConfig("absolute"), ActionConfig("relative"))
+                path, state = f"{caches}/{ds}/relative_stats.json", ModalityConfig((0,), ("arm", "gripper"))
+                for name, deltas in (("first", (0, 1)), ("again", (0, 1)), ("changed", (0, 1, 2))):
+                    specs = stats.relative_specs("tag", ModalityConfig(deltas, ("gripper", "base", "arm"), actions=kinds), state)
+                    out += [(ds, name, k) for k in stats.refresh_relative(path, specs, lambda k: {"mean": [0.0]})]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["dataset_id", "run", "key"])
+
+    return layouts.scan_objects(spark, _store(spark, folder, "v2"), "info").select("dataset").mapInArrow(run, "dataset_id string, run string, key string")
+
+
+@query("with a as (select distinct dataset_id, \"key\" as action, case \"key\" when 'arm' then 'gripper' else \"key\" end state from modality where modality = 'action') select a.dataset_id, a.action, a.state, m.\"start\" as \"start\", m.\"end\" as stop from a left join (select distinct * from modality where modality = 'state') m on m.dataset_id = a.dataset_id and m.\"key\" = a.state")
+def action_references(spark: SparkSession, folder: str) -> DataFrame:
+    """The state slice of each action group, by its own name or another given (76)."""
+    from trajspark.operators import joins
+
+    return joins.action_references(table(spark, folder, "modality"), {"arm": "gripper"})
+
+
+@query(f"""with {RECORDS}, m as (select distinct dataset_id, "key" k, "start" st, "end" en from modality where modality = 'state'),
+v as (select f.dataset_id, f.episode_index, f.frame_index, flatten(list(s[st + 1:en]::double[] order by k)) v from f join m using (dataset_id) where s is not null and len(list_filter(s, lambda z: z is null or not isfinite(z) or abs(z) >= 1e6)) = 0 group by all)
+select dataset_id, count(*) n, max(len(v)) width, round(sum(list_sum(list_transform(v, lambda z, i: z * i))), 1) weighted from v group by 1""")
+def adapted_inputs(spark: SparkSession, folder: str) -> DataFrame:
+    """Named parts of the state looked up and put together in order of their names (54b, 178)."""
+    from trajspark.operators import joins
+
+    rows = frame_records(table(spark, folder, "frames"), "observation.state").where("state is not null and forall(state, x -> x is not null and not isnan(x) and abs(x) < 1e6)")
+    out = joins.adapted_input(rows, "state", table(spark, folder, "modality"))
+    weighted = F.aggregate(F.transform("input", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda t, x: t + x)
+    return out.groupBy("dataset_id").agg(F.count("*").alias("n"), F.max(F.size("input")).alias("width"), F.round(F.sum(weighted), 1).alias("weighted"))
+
+
+@query(f"with {RECORDS}, per as (select dataset_id, episode_index, count(*) n from f group by all), k as (select dataset_id, unnest(['start', 'step', 'end']) kind, unnest([1, n, 1]) c from per) select dataset_id, kind, sum(c)::bigint n from k group by all")
+def episode_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages of an episode to a processor: start, a step per frame, end; each handed over alone (151)."""
+    from pyspark.sql import Window
+
+    rows = frame_records(table(spark, folder, "frames"))
+    w = Window.partitionBy(*EPISODE)
+    ends = rows.withColumn("a", F.min("frame_index").over(w)).withColumn("b", F.max("frame_index").over(w))
+    kinds = ends.select("dataset_id", F.explode(texts.message_kinds(F.col("frame_index") == F.col("a"), F.col("frame_index") == F.col("b"))).alias("kind"))
+    return kinds.withColumn("kind", texts.only_message(F.array("kind"))).groupBy("dataset_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query("with e as (select event_id, user_id % 4 as rank, value from events), o as (select rank, avg(value) own from e group by 1) select rank, round(own, 6) own, round((select avg(own) from o), 6) mean, (select arg_min(own, rank) from o) >= 10 go_on from o")
+def rank_means(spark: SparkSession, folder: str) -> DataFrame:
+    """A metric's mean over ranks and the first rank's decision, as every rank is told (210)."""
+    from trajspark.operators import evaluation
+
+    e = table(spark, folder, "events").withColumn("rank", F.col("user_id") % 4)
+    out = evaluation.across_ranks(e, "rank", "value", 10.0)
+    return out.select("rank", F.round("own", 6).alias("own"), F.round("mean", 6).alias("mean"), "go_on")
+
+
+@query("with b as (select event_type, event_id // 100 batch, count(*) filter (value > 20) correct, count(*) total from events group by all), r as (select event_type, batch, (sum(correct) over w)::bigint correct, (sum(total) over w)::bigint total from b window w as (partition by event_type order by batch)) select event_type, batch, correct, total, round(correct / total, 6) accuracy from r")
+def running_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    """Counters carried over batches (185)."""
+    from trajspark.operators import evaluation
+
+    b = table(spark, folder, "events").groupBy("event_type", F.expr("event_id div 100").alias("batch")).agg(F.count_if(F.col("value") > 20).alias("correct"), F.count("*").alias("total"))
+    return evaluation.running_accuracy(b, ["event_type"], "batch").withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("select user_id, count(*) n, count(*) filter (event_type = 'error') errors, round(sum(case when event_type = 'error' then value end), 4) error_value, count(*) filter (event_type <> 'error') others from events group by 1")
+def ragged_infos(spark: SparkSession, folder: str) -> DataFrame:
+    """Infos whose keys differ from row to row, read into one layout with nulls where a key is missing (181)."""
+    e = table(spark, folder, "events")
+    body = F.when(F.col("event_type") == "error", F.to_json(F.struct("user_id", F.struct("value").alias("error")))).otherwise(F.to_json(F.struct("user_id", F.lit(True).alias("fine"))))
+    i = e.select(F.from_json(body, "user_id bigint, error struct<value: double>, fine boolean").alias("i")).select("i.*")
+    return i.groupBy("user_id").agg(F.count("*").alias("n"), F.count("error").alias("errors"), F.round(F.sum("error.value"), 4).alias("error_value"), F.count("fine").alias("others"))
+
+
+@query("""with x as (select vec_id, list_transform(embedding, lambda z: floor(greatest(0, least(1, z::double)) * 255)::int) p from embeddings), y as (select vec_id, unnest(range(16)) i, p from x),
+z as (select vec_id, i // 4 r, i % 4 c, p from y), m as (select vec_id, r, c, round_even((p[r * 16 + c * 2 + 1] + p[r * 16 + c * 2 + 2] + p[r * 16 + 8 + c * 2 + 1] + p[r * 16 + 8 + c * 2 + 2]) / 4.0, 0)::int v from z)
+select vec_id, sum(v * (r * 4 + c + 1))::bigint halved from m group by 1""")
+def image_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """The evaluation pipeline: the whole picture, halved by interpolation (157, 158)."""
+    kernel = images.evaluation_pipeline(1.0, 4, 4)
+    e = table(spark, folder, "embeddings")
+
+    def run(batches):
+        for b in batches:
+            ys = [kernel(images.to_uint8(np.asarray(v, np.float64).reshape(8, 8, 1)), None)[..., 0].astype(np.int64) for v in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int((y.ravel() * (np.arange(16) + 1)).sum()) for y in ys], pa.int64())], names=["vec_id", "halved"])
+
+    return e.select("vec_id", "embedding").mapInArrow(run, f"vec_id {dict(e.dtypes)['vec_id']}, halved long")
+
+
+@query(f"""with {RECORDS}, g as (select dataset_id, episode_index, frame_index, floor((ts - 0.05) / 0.1 + 0.00001)::bigint g, ts from f),
+b as (select *, coalesce(greatest(max(g) over (partition by dataset_id, episode_index order by ts, frame_index rows between unbounded preceding and 1 preceding) + 1, 0), 0) s from g where g >= 0)
+select dataset_id, episode_index, unnest(range(s, g + 1)) slot, frame_index from b where g >= s""")
+def resample_continued(spark: SparkSession, folder: str) -> DataFrame:
+    """The grid filled row by row, the next slot to fill being all that is kept in between (182)."""
+    from trajspark.streaming import scans
+
+    rows = frame_records(table(spark, folder, "frames"), "timestamp").withColumn("ts", F.col("ts").cast("double")).where("ts is not null")
+    step = scans.resample([*EPISODE, "frame_index"], "ts", 0.05, 0.1)
+    return scans.batch_scan(rows, EPISODE, ["ts", "frame_index"], step, "dataset_id string, episode_index long, slot long, frame_index long", ["dataset_id", "episode_index", "slot", "frame_index"])

@@ -290,6 +290,19 @@ def rotation_conversions(spark: SparkSession, folder: str) -> DataFrame:
     return long.select("vec_id", "z.kind", F.posexplode("z.v").alias("dim", "x")).withColumn("x", F.round("x", 4) + 0.0)
 
 
+@query(
+    _GS
+    + f""", q as (select m.vec_id, m, x.v[7:9] t, {_QUAT} q from m join x using (vec_id))
+select vec_id, 3 joints, round(t[1], 6) tx, round(t[2], 6) ty, round(t[3], 6) tz, round(q[2] / sqrt(list_dot_product(q, q)), 4) + 0.0 qx, round(q[1] / sqrt(list_dot_product(q, q)), 4) + 0.0 qw from q"""
+)
+def pose_accessors(spark: SparkSession, folder: str) -> DataFrame:
+    """A pose's parts by name: translation, quaternion scalar last, and how many joints (124, 194)."""
+    v = F.col("v")
+    df = _vectors(spark, folder).select("vec_id", F.slice(v, 7, 3).alias("t"), poses.convert_rotation(F.slice(v, 1, 6), "rot6d", "quat", target_order="xyzw").alias("q"))
+    named = df.withColumn("t", F.map_from_arrays(F.array(*[F.lit(k) for k in ("x", "y", "z")]), "t"))
+    return named.select("vec_id", F.size("t").alias("joints"), *[F.round(F.col("t")[k], 6).alias(f"t{k}") for k in ("x", "y", "z")], (F.round(F.col("q")[0], 4) + 0.0).alias("qx"), (F.round(F.col("q")[3], 4) + 0.0).alias("qw"))
+
+
 @query(
     _POSE.partition("z as (select")[0]
     + """l as (select vec_id, t, t0, m0, list_transform(range(9), lambda k: m0[1 + k // 3] * m[1 + k % 3] + m0[4 + k // 3] * m[4 + k % 3] + m0[7 + k // 3] * m[7 + k % 3]) r from w),

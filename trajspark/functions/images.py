@@ -34,8 +34,17 @@ def crop(x: np.ndarray, fraction: float, at: tuple[float, float] = (0.5, 0.5)) -
     return x[t : t + h, l : l + w]
 
 
-def resize(x: np.ndarray, h: int, w: int) -> np.ndarray:
-    """Nearest pixels."""
+def resize(x: np.ndarray, h: int, w: int, linear: bool = False) -> np.ndarray:
+    """Nearest pixels, or with `linear` between the four around each place, pixel centres being at halves."""
+    if linear:
+        at = lambda n, m: np.clip((np.arange(n) + 0.5) * m / n - 0.5, 0, m - 1)
+        i, j = at(h, x.shape[0]), at(w, x.shape[1])
+        a, b = np.floor(i).astype(int), np.floor(j).astype(int)
+        f, g = (i - a).reshape(-1, 1, *[1] * (x.ndim - 2)), (j - b).reshape(1, -1, *[1] * (x.ndim - 2))
+        c, d = np.minimum(a + 1, x.shape[0] - 1), np.minimum(b + 1, x.shape[1] - 1)
+        y = x.astype(np.float64)
+        y = (y[a][:, b] * (1 - g) + y[a][:, d] * g) * (1 - f) + (y[c][:, b] * (1 - g) + y[c][:, d] * g) * f
+        return np.round(y).astype(x.dtype) if np.issubdtype(x.dtype, np.integer) else y.astype(x.dtype)
     i = np.minimum((np.arange(h) + 0.5) * x.shape[0] / h, x.shape[0] - 1).astype(int)
     j = np.minimum((np.arange(w) + 0.5) * x.shape[1] / w, x.shape[1] - 1).astype(int)
     return x[i][:, j]
@@ -94,3 +103,20 @@ def apply(frames: DataFrame, kernel: Callable[[np.ndarray, np.random.Generator],
             yield pa.RecordBatch.from_arrays([pa.array(cols[n], b.schema.field(i).type) for i, n in enumerate(names)], names=names)
 
     return frames.mapInArrow(run, frames.schema)
+
+
+def evaluation_pipeline(fraction: float, h: int, w: int) -> Callable[[np.ndarray, np.random.Generator], np.ndarray]:
+    """The centre part, resized: the same whatever the generator."""
+    return lambda x, _: resize(crop(x, fraction), h, w, linear=True)
+
+
+def training_pipeline(fraction: float, h: int, w: int, brightness: float = 0.0, contrast: float = 0.0) -> Callable[[np.ndarray, np.random.Generator], np.ndarray]:
+    """A part at a random place, resized, its brightness and contrast changed by factors of 1 +- the given; all from the sample's generator."""
+
+    def run(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        y = resize(crop(x, fraction, (rng.random(), rng.random())), h, w, linear=True).astype(np.float64)
+        b, c = 1 + brightness * rng.uniform(-1, 1), 1 + contrast * rng.uniform(-1, 1)
+        y = (y * b - (y * b).mean()) * c + (y * b).mean()
+        return np.clip(np.round(y), 0, 255).astype(np.uint8) if np.issubdtype(x.dtype, np.integer) else y.astype(x.dtype)
+
+    return run

@@ -111,3 +111,18 @@ def requirement(line: Column) -> Column:
     body, marker = F.trim(F.split_part(plain, F.lit(";"), F.lit(1))), F.trim(F.regexp_extract(plain, r";(.*)$", 1))
     spec = F.regexp_replace(F.regexp_replace(body, r"^[A-Za-z0-9][A-Za-z0-9._-]*\s*(\[[^\]]*\])?", ""), r"[\s()]", "")
     return F.struct(canonical_name(body).alias("name"), spec.alias("spec"), marker.alias("marker"))
+
+
+#: Kinds of messages to a processor.
+MESSAGES = ("start", "step", "end")
+
+
+def message_kinds(first: Column, last: Column) -> Column:
+    """The messages a row of an episode gives, in order: start before its first, a step each, end after its last."""
+    start, step, end = (F.lit(m) for m in MESSAGES)
+    return F.array_compact(F.array(F.when(first, start), step, F.when(last, end)))
+
+
+def only_message(messages: Column) -> Column:
+    """The one message of a list; another number of them is an error."""
+    return F.when(F.size(messages) == 1, messages[0]).otherwise(F.raise_error(F.concat(F.lit("one message expected, not "), F.size(messages).cast("string"))).cast("string"))

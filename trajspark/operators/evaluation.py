@@ -72,3 +72,17 @@ def best_so_far(df: DataFrame, order: str, metric: str, keys: list[str] | None =
     """Rows whose metric is strictly better than all before."""
     w = Window.partitionBy(*(keys or [])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("_best", F.max(metric).over(w)).where(F.col("_best").isNull() | (F.col(metric) > F.col("_best"))).drop("_best")
+
+
+def running_accuracy(counts: DataFrame, keys: list[str], batch: str) -> DataFrame:
+    """(keys, batch, correct, total, accuracy): counters carried over the batches of a key, in order; 0 over nothing."""
+    w = Window.partitionBy(*keys).orderBy(batch).rowsBetween(Window.unboundedPreceding, 0)
+    c, n = F.sum("correct").over(w), F.sum("total").over(w)
+    return counts.select(*keys, batch, c.alias("correct"), n.alias("total"), (c / F.greatest(n, F.lit(1))).alias("accuracy"))
+
+
+def across_ranks(metrics: DataFrame, rank: str, value: str, least: float) -> DataFrame:
+    """(rank, own, mean, go_on): each rank's mean, the mean of these, and whether the first rank's reaches `least`, as all ranks are told."""
+    own = metrics.groupBy(rank).agg(F.avg(value).alias("own"))
+    all_ = own.agg(F.struct(F.avg("own").alias("mean"), (F.min_by("own", rank) >= least).alias("go_on"))).scalar()
+    return own.withColumn("_all", all_).select(rank, "own", "_all.mean", "_all.go_on")

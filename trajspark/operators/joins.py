@@ -56,3 +56,23 @@ def slice_statistics(stats: DataFrame, modality: DataFrame) -> DataFrame:
 def mismatched(left: DataFrame, right: DataFrame, keys: list[str], on: Column) -> DataFrame:
     """Rows of a full join on `keys` for which `on` does not hold, a missing side included."""
     return left.join(right, keys, "full").where(~F.coalesce(on, F.lit(False)))
+
+
+def action_references(modality: DataFrame, state_keys: dict[str, str] | None = None) -> DataFrame:
+    """(dataset_id, action, state, start, stop): the state slice each action group is relative to, by `state_keys` or else its own key.
+
+    start and stop are null where the data set has no such state group.
+    """
+    named = {k: v for k, v in (state_keys or {}).items()}
+    key = F.coalesce(F.create_map(*[F.lit(x) for kv in named.items() for x in kv])[F.col("key")], F.col("key")) if named else F.col("key")
+    actions = modality.where("modality = 'action'").select("dataset_id", F.col("key").alias("action"), key.alias("state")).distinct()
+    states = modality.where("modality = 'state'").select("dataset_id", F.col("key").alias("state"), "start", F.col("end").alias("stop")).distinct()
+    return actions.join(small_side(states), ["dataset_id", "state"], "left")
+
+
+def adapted_input(rows: DataFrame, state: str, modality: DataFrame) -> DataFrame:
+    """Adds `input`: the named state slices of each row, in order of their names, as one vector; the map of them as `named`."""
+    slices = modality.where("modality = 'state' and start is not null").groupBy("dataset_id").agg(F.array_sort(F.collect_set(F.struct("key", "start", F.col("end").alias("stop")))).alias("_s"))
+    part = lambda s: F.slice(F.col(state), s["start"] + 1, F.greatest(s["stop"] - s["start"], F.lit(0)))
+    out = rows.join(small_side(slices), "dataset_id").withColumn("named", F.map_from_entries(F.transform("_s", lambda s: F.struct(s["key"], part(s)))))
+    return out.withColumn("input", F.flatten(F.transform("_s", lambda s: F.col("named")[s["key"]]))).drop("_s")

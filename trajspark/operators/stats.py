@@ -166,6 +166,17 @@ class StatsCache:
         return todo
 
 
+def refresh_relative(path: str, specs: dict[str, dict], compute) -> list[str]:
+    """Relative statistics by key, computed where the fingerprint differs; the file is always written. Returns the keys computed."""
+    data = read_json(path)
+    prints = dict(data.get(FINGERPRINTS) or {})
+    todo = [k for k in sorted(specs) if k not in data or prints.get(k) != fingerprint(specs[k])]
+    for k in todo:
+        data[k], prints[k] = compute(k), fingerprint(specs[k])
+    write_json(path, data | {FINGERPRINTS: prints})
+    return todo
+
+
 def to_tree(rows: list) -> dict:
     """{feature: {statistic: vector}} from collected rows (feature, dim, the six); as many rows as dimensions."""
     out: dict = {}

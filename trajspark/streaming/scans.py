@@ -56,17 +56,18 @@ def history(keep: list[str], value: str, size: int, offsets: list[int]) -> Step:
 def episode_reward(keep: list[str], reward: str, done: str, actions: int, method: str = "max", most: int | None = None) -> Step:
     """Execution in chunks of `actions` steps: after each chunk, or at the end, the reward over the whole
     episode so far; an episode that is done, or has `most` steps, starts anew with the next row."""
-    collapse = {"max": max, "min": min, "mean": lambda v: float(np.mean(v)), "sum": sum}[method]
+    join = {"max": max, "min": min, "mean": lambda a, b: a + b, "sum": lambda a, b: a + b}[method]
 
     def step(state: dict, row: dict):
-        rewards, since = state.get("r", []), state.get("n", 0)
-        rewards, since = [*rewards, float(row[reward])], since + 1
-        over = bool(row[done]) or (most is not None and len(rewards) >= most)
+        # the state is one number however long the episode is
+        steps, since, x = state.get("s", 0) + 1, state.get("n", 0) + 1, float(row[reward])
+        so_far = join(state["r"], x) if "r" in state else x
+        over = bool(row[done]) or (most is not None and steps >= most)
         out = []
         if over or since == actions:
-            out = [{k: row[k] for k in keep} | {"reward": float(collapse(rewards)), "steps": len(rewards), "done": over}]
+            out = [{k: row[k] for k in keep} | {"reward": so_far / steps if method == "mean" else so_far, "steps": steps, "done": over}]
             since = 0
-        return ({"r": [], "n": 0} if over else {"r": rewards, "n": since}), out
+        return ({} if over else {"r": so_far, "s": steps, "n": since}), out
 
     return step
 
