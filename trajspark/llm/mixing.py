@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 #: Budget the dynamic program covers in one bit set, and items it considers at most; what lies
 #: beyond is taken greedily, larger budgets before the program, further items after it.
 DP_BITS, DP_ITEMS = 1 << 22, 512
-BUCKETS = 256
+#: Bits of the hash that name a bucket at least, and records a bucket should hold of the commonest size.
+BITS, IN_BUCKET = 8, 100_000
 
 
 def knapsack(sizes: list[tuple[int, int]], budget: int) -> dict[int, int]:
@@ -146,11 +147,12 @@ def mix_selection(records: DataFrame, targets: DataFrame, id_column: str, seed:
     """The selected records of every mix: (mix_id, robot_type, id_column, size, repeats).
 
     Among the records of one size those of the smallest seeded hash (ties: smaller id) get one pass
-    more. Records not selected are left out.
+    more. Records not selected are left out. Ranks are counted by bucket of the hash, more of them for more records.
     """
     plan, _ = fit_mixes(records, targets)
     rows = plan.join(records.select("source", "size", id_column), ["source", "size"]).withColumn("h", F.xxhash64(F.lit(seed), "mix_id", id_column))
-    rows = rows.withColumn("bucket", F.shiftright("h", 56).cast("int") + 128)
+    bits = max(BITS, (records.count() // IN_BUCKET).bit_length())
+    rows = rows.withColumn("bucket", F.shiftright("h", 64 - bits))
     key = ["mix_id", "robot_type", "size"]
     per = rows.groupBy(*key, "bucket").agg(F.count("*").alias("in_bucket"))
     w = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
