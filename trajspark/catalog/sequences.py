@@ -103,9 +103,7 @@ def stats_relative_chunk(spark: SparkSession, folder: str) -> DataFrame:
     rows = _records(spark, folder, "observation.state", "action")
     n = F.count("*").over(Window.partitionBy(*EPISODE))
     rows = rows.withColumn("n", n).withColumn("c", windows.chunk(in_order(), F.col("action"), 4)).where("frame_index < n - 3 and state is not null and action is not null")
-    both = lambda v: F.least(F.size(v), F.size("state"))
-    less = lambda v: F.when(v.isNotNull(), arrays.minus(F.slice(v, 1, both(v)), F.slice("state", 1, both(v))))
-    return _round(stats.step_statistics(rows.select("dataset_id", F.transform("c", less).alias("chunk")), ["dataset_id"], "chunk"), *stats.SIX, digits=4)
+    return _round(stats.step_statistics(rows, ["dataset_id"], "c", less="state"), *stats.SIX, digits=4)
 
 
 # ---------------------------------------------------------------- projections and joins

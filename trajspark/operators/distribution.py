@@ -228,8 +228,12 @@ def vectors(keys: int, names: list[str]) -> Series:
     return run
 
 
-def chunks(keys: int) -> Series:
-    """Series (keys, step, dim) of a column of chunks (arrays of vectors), which follows the keys."""
+def chunks(keys: int, relative: bool = False) -> Series:
+    """Series (keys, step, dim) of a column of chunks (arrays of vectors), which follows the keys.
+
+    With `relative` a column of vectors follows, and each vector of a chunk is taken less that of its
+    row, over the dimensions both have.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray]]:
         for b in batches:
@@ -241,8 +245,14 @@ def chunks(keys: int) -> Series:
             n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(n)), n)
             step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            if relative:
+                ref = matrix(b.column(keys + 1))[0]
+                wide = min(m.shape[1], ref.shape[1])
+                m = m[:, :wide] - ref[row, :wide]
             for key, at in _groups(b, keys):
-                mine = np.isin(row, at) if keys else np.ones(len(row), bool)
+                flag = np.zeros(b.num_rows, bool)
+                flag[at] = True
+                mine = flag[row]
                 for k in range(int(step[mine].max()) + 1 if mine.any() else 0):
                     part = m[mine & (step == k)]
                     for d in range(part.shape[1]):

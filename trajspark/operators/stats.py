@@ -40,10 +40,14 @@ def float_features(info: dict) -> list[str]:
     return [k for k, v in info.get("features", {}).items() if "float" in str(v.get("dtype", ""))]
 
 
-def step_statistics(chunks: DataFrame, keys: list[str], chunk: str, exact: bool = True) -> DataFrame:
-    """Six statistics per key, window step and dimension of a column of chunks (array of vectors), as vector_statistics."""
-    stored = cut(chunks.select(*keys, F.col(chunk).alias("_c")).sortWithinPartitions(*keys))
-    return distribution.statistics(stored, _labels(chunks, keys, "step", "dim"), distribution.chunks(len(keys)), PERCENTILES, exact).drop("n")
+def step_statistics(chunks: DataFrame, keys: list[str], chunk: str, exact: bool = True, less: str | None = None) -> DataFrame:
+    """Six statistics per key, window step and dimension of a column of chunks (array of vectors), as vector_statistics.
+
+    With `less` each vector of a chunk counts less the row's vector of that name.
+    """
+    more = [] if less is None else [F.col(less).alias("_r")]
+    stored = cut(chunks.select(*keys, F.col(chunk).alias("_c"), *more).sortWithinPartitions(*keys))
+    return distribution.statistics(stored, _labels(chunks, keys, "step", "dim"), distribution.chunks(len(keys), less is not None), PERCENTILES, exact).drop("n")
 
 
 def merge_weighted(stats: DataFrame, keys: list[str], weight: str) -> DataFrame:
