@@ -217,3 +217,28 @@ def test_bounds_per_step(spark):
     c, lo, hi = (F.col(x) for x in ("c", "lo", "hi"))
     r = df.select(normalize.steps(c, normalize.minmax, lo, hi, per_step=True).alias("a"), normalize.steps(c, normalize.minmax, lo[0], hi[0]).alias("b")).first()
     assert r["a"] == [[0.0, 0.0], [0.0, 0.0]] and r["b"] == [[0.0, 0.0], [2.0, 1.0]]
+
+
+def _sampled(spark, tmp_path):
+    """A small stored table of lengths whose steps are many, and its shards, with what Spark thinks of their sizes."""
+    keys = ["dataset_id", "episode_index"]
+    at = str(tmp_path / "lengths.parquet")
+    spark.range(40).selectExpr("concat('d', id % 3) dataset_id", "id episode_index", "id sequence", "cast(20 + id as int) length").write.parquet(at)
+    lengths = spark.read.parquet(at)
+    sampling.assign_shards(lengths, keys, "length", 0.25, 60, seed=1).write.parquet(str(tmp_path / "shards.parquet"))
+    return keys, lengths, spark.read.parquet(str(tmp_path / "shards.parquet"))
+
+
+def _broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_exploded_steps_are_not_broadcast(spark, tmp_path):
+    keys, lengths, shards = _sampled(spark, tmp_path)
+    steps = sampling.dealt_steps(shards, lengths, keys, "length", 4)
+    need = sampling.needed_frames(steps, [*keys, "shard"], [-3, 0, 3], lengths)
+    assert _broadcasts(steps) == _broadcasts(need) == 0
+    n = {r["episode_index"]: r["length"] for r in lengths.collect()}
+    want = {(r["dataset_id"], r["episode_index"], r["shard"], min(max(0, r["step"] + d), n[r["episode_index"]] - 1)) for r in steps.collect() for d in (-3, 0, 3)}
+    got = [tuple(r) for r in need.select(*keys, "shard", "frame").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
