@@ -242,3 +242,16 @@ def test_exploded_steps_are_not_broadcast(spark, tmp_path):
     want = {(r["dataset_id"], r["episode_index"], r["shard"], min(max(0, r["step"] + d), n[r["episode_index"]] - 1)) for r in steps.collect() for d in (-3, 0, 3)}
     got = [tuple(r) for r in need.select(*keys, "shard", "frame").collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_only_the_schedule_is_broadcast_when_shards_are_materialized(spark, tmp_path):
+    keys, lengths, shards = _sampled(spark, tmp_path)
+    windows = str(tmp_path / "windows.parquet")
+    lengths.selectExpr(*keys, "explode(sequence(0, length - 1)) frame_index", "sequence task_index").write.parquet(windows)
+    plan = sampling.evaluation_schedule(shards.groupBy("dataset_id").agg(__import__("pyspark").sql.functions.count_distinct("shard").alias("n")), "dataset_id", "n")
+    got = sampling.materialize(plan, sampling.dealt_steps(shards, lengths, keys, "length", 4), spark.read.parquet(windows), keys, "frame_index")
+    assert _broadcasts(got) == 1
+    rows = got.collect()
+    assert len(rows) == sum(20 + i for i in range(40)) == len({(r["episode_index"], r["step"]) for r in rows})
+    assert all(r["task_index"] == r["episode_index"] for r in rows)
+    assert len({(r["position"], r["emitted"]) for r in rows}) == len(rows)
