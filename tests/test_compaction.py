@@ -5,7 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from trajspark.operators.compaction import binned, compact, consolidate, contributions, list_files, treatment
+from trajspark.operators.compaction import binned, compact, consolidate, contributions, list_files, part_plan, treatment
 from trajspark.sources.parquet_blocks import concat_files, read_footer
 
 FRAMES = "dataset_id string, episode_index long, frame_index long, data_path string, received_at timestamp"
@@ -120,3 +120,16 @@ def test_p5_compact_holds_the_distinct_records(spark, data):
 
     n = spark.read.parquet(f"{data}/frames.parquet").select("dataset_id", "episode_index", "frame_index").dropna().distinct().count()
     assert sum(r["n_rows"] for r in p5_compact(spark, data).collect()) == n
+
+
+def test_no_join_of_the_consolidation_is_a_broadcast(spark, tmp_path):
+    """Bitmaps and listings compress: the size of their files doesn't tell what they take in memory."""
+    t = D(2024, 1, 1)
+    at = lambda name: str(tmp_path / name)
+    spark.createDataFrame([("a", i // 20, i % 20, f"p{i % 3}", t) for i in range(200)] + [("a", 0, i, "p2", t) for i in range(20)], FRAMES).write.parquet(at("frames"))
+    spark.createDataFrame([("a", "data", f"p{i}", t, 9) for i in range(3)], FILES).write.parquet(at("files"))
+    frames, files = spark.read.parquet(at("frames")), spark.read.parquet(at("files"))
+    done, account = consolidate(frames, files, at("out"))
+    for df in (contributions(frames, files), part_plan(frames, files), account):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sum(r["n_rows"] for r in done.collect()) == 200 and account.count() == 3

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from trajspark.functions.paths import plain_path
 from trajspark.operators import compaction, drift, orphans, spikes
 from trajspark.plans.shared import cut, shared_folder
+from trajspark.plans.sizes import by_shuffle
 from trajspark.plans.tables import table
 
 FIELDS = ["observation.state", "action"]
@@ -50,7 +51,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     _, _, account = _consolidated(spark, folder)
     listed = compaction.listed_files(table(spark, folder, "stored_files")).select("dataset_id", F.col("file").alias("data_path"))
     used = account.where("out_path is not null").select("dataset_id", F.col("file").alias("data_path")).distinct()
-    return listed.join(used, ["dataset_id", "data_path"], "left_anti")
+    return listed.join(by_shuffle(used), ["dataset_id", "data_path"], "left_anti")
 
 
 def p5_records(spark: SparkSession, folder: str) -> DataFrame:

@@ -23,6 +23,7 @@ from trajspark.functions.paths import plain_path
 from trajspark.plans.files import opened
 from trajspark.plans.pieces import groups, partitions_of
 from trajspark.plans.shared import cut
+from trajspark.plans.sizes import by_shuffle
 from trajspark.sources.parquet_blocks import concat_files, read_footer
 
 
@@ -46,13 +47,13 @@ def contributions(frames: DataFrame, files: DataFrame) -> DataFrame:
     )
     order = Window.partitionBy("dataset_id", "episode_index", "bucket").orderBy("received_at", "data_path")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = held.join(listed, ["dataset_id", "data_path"]).withColumn("n_seen", F.bitmap_count(F.bitmap_or_agg("bits").over(so_far)))
+    ranked = held.join(by_shuffle(listed), ["dataset_id", "data_path"]).withColumn("n_seen", F.bitmap_count(F.bitmap_or_agg("bits").over(so_far)))
     per_file = (
         ranked.withColumn("n_new", F.col("n_seen") - F.coalesce(F.lag("n_seen").over(order), F.lit(0)))
         .groupBy("dataset_id", "data_path")
         .agg(F.sum("n_rows").alias("n_rows"), F.sum(F.bitmap_count("bits")).alias("n_frames"), F.sum("n_new").alias("n_new"))
     )
-    return listed.join(per_file, ["dataset_id", "data_path"], "left").fillna(0, ["n_rows", "n_frames", "n_new"])
+    return listed.join(by_shuffle(per_file), ["dataset_id", "data_path"], "left").fillna(0, ["n_rows", "n_frames", "n_new"])
 
 
 def treatment(plan: DataFrame) -> DataFrame:
@@ -280,7 +281,7 @@ def part_plan(frames: DataFrame, files: DataFrame) -> DataFrame:
     held = (
         rows.groupBy(*PART, "episode_index")
         .agg(F.expr(f"bitmap_construct_agg(frame_index - bucket * {SPAN})").alias("bits"), F.count("*").alias("n_rows"))
-        .join(listed_files(files), ["dataset_id", "file"], "left")
+        .join(by_shuffle(listed_files(files)), ["dataset_id", "file"], "left")
     )
     order = Window.partitionBy("dataset_id", "episode_index", "bucket").orderBy(F.col("file") == "", F.isnull("listed_at"), "listed_at", "file")
     earlier = F.expr("bitmap_or_agg(bits)").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -314,7 +315,7 @@ def consolidate(frames: DataFrame, files: DataFrame, folder: str, target: int =
     spark = frames.sparkSession
     plan = cut(part_plan(frames, files))
     stored = stored_small_files(frames, f"{folder}-small")
-    parts = plan.join(stored, PART)
+    parts = plan.join(by_shuffle(stored), PART)  # bitmaps compress: never broadcast by the size of their files
     taken = parts.where("treatment <> 'drop'").withColumn("n_blocks", F.when(F.col("treatment") == "copy", F.col("n_blocks")).otherwise(1))
     done, placed = _carried_out(taken, folder, target, ["schema_id", "dataset_id", "piece"])
     want = plan.agg(F.coalesce(F.sum("n_left"), F.lit(0))).first()[0]
@@ -322,5 +323,5 @@ def consolidate(frames: DataFrame, files: DataFrame, folder: str, target: int =
     if got != (want, want):
         raise ValueError(f"{want} frame records, but {got[0]} rows with {got[1]} frame records in the consolidated files")
     root = opened(folder)[1]
-    account = plan.drop("earlier").join(placed.select(*PART, F.concat(F.lit(f"{root}/"), "bin", F.lit(".parquet")).alias("out_path")), PART, "left")
+    account = plan.drop("earlier").join(by_shuffle(placed.select(*PART, F.concat(F.lit(f"{root}/"), "bin", F.lit(".parquet")).alias("out_path"))), PART, "left")
     return done, account
