@@ -186,3 +186,14 @@ def test_images(spark, tmp_path):
     frames = video.decode(spark.createDataFrame([(str(tmp_path / "v.npy"), i) for i in (0, 1)], "path string, frame long"))
     out = images.apply(frames, lambda im, rng: images.crop(im, 0.5, tuple(rng.random(2))), "path").collect()
     assert len(out) == 2 and out[0]["data"] == out[1]["data"] and (out[0]["h"], out[0]["w"]) == (2, 2)  # both frames are cut alike
+
+
+def test_many_small_arrays_are_read_by_few_tasks(spark, tmp_path):
+    for i in range(600):
+        np.save(tmp_path / f"{i:03d}.npy", np.full((2, 1, 3), i % 2, np.uint8))
+    df = ndarrays.read_arrays(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() == 3
+    rows = df.collect()
+    assert len({(r["path"], r["frame"]) for r in rows}) == len(rows) == 1200
+    assert all(bytes(r["data"]) == bytes([int(os.path.basename(r["path"])[:3]) % 2]) * 3 and (r["h"], r["w"], r["c"]) == (1, 3, 1) for r in rows)
+    assert [len(p.paths) for p in ndarrays._shared_out(["a", "b", "c"], [ndarrays.BYTES_A_TASK, 1, 1])] == [1, 2]

@@ -1,11 +1,13 @@
 """Queries over stored data sets: the tables are written out in both layouts and read back."""
 
+import io
 import json
 import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from trajspark.functions import text as texts
 from trajspark.operators import inference, stats
 from trajspark.operators.maintenance import renumbered
 from trajspark.plans import checks, files
+from trajspark.plans.pieces import groups, partitions_of
 from trajspark.plans.records import EPISODE, FRAME, frame_records, live_episodes
 from trajspark.plans.shared import cut, shared_folder
 from trajspark.plans.tables import table
@@ -174,18 +177,24 @@ def scan_masks(spark: SparkSession, folder: str) -> DataFrame:
     root = f"{shared_folder(spark).rstrip('/')}/masks-{uuid.uuid4().hex}"
     rows = frame_records(table(spark, folder, "frames"), "observation.state").where("state is not null and forall(state, x -> x is not null and not isnan(x) and abs(x) < double('inf'))")
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        import io
-
-        pdf = pdf.sort_values("frame_index")
-        b = io.BytesIO()
-        np.savez(b, np.stack([np.asarray(x) > 0 for x in pdf["state"]]).astype(np.uint8)[:, None, :])
-        files.write(f"{root}/{pdf['dataset_id'].iloc[0]}/episode_{pdf['episode_index'].iloc[0]:06d}.npz", b.getvalue())
-        return pdf.iloc[:1][EPISODE]
-
-    cut(rows.groupBy(*EPISODE).applyInPandas(write, "dataset_id string, episode_index long"))
+    def write(batches):
+        for t in groups(batches, 2):
+            ds, e = t.column(0)[0].as_py(), t.column(1)[0].as_py()
+            states = t.column(3).combine_chunks()
+            states = states.chunk(0) if isinstance(states, pa.ChunkedArray) else states
+            width = len(states[0])
+            if pc.any(pc.not_equal(pc.list_value_length(states), width)).as_py():
+                raise ValueError(f"{ds}, episode {e}: states of several widths")
+            b = io.BytesIO()
+            np.savez(b, (states.flatten().to_numpy(zero_copy_only=False) > 0).astype(np.uint8).reshape(len(states), 1, width))
+            files.write(f"{root}/{ds}/episode_{e:06d}.npz", b.getvalue())
+            yield pa.RecordBatch.from_pydict({"dataset_id": [ds], "episode_index": [e]})
+
+    sorted_rows = rows.select(*FRAME, "state").repartition(partitions_of(table(spark, folder, "frames")), *EPISODE).sortWithinPartitions(*FRAME)
+    cut(sorted_rows.mapInArrow(write, "dataset_id string, episode_index long"))
     got = ndarrays.read_arrays(spark, root.removeprefix("file://"))
-    lit = F.udf(lambda d: int(sum(d)), "long")
+    # masks hold bytes 0 and 1: the ones are the 1s of their hexadecimal text
+    lit = lambda d: F.length(F.translate(F.hex(d), "0", ""))
     keys = [F.regexp_extract("path", "/([^/]+)/episode_", 1).alias("dataset_id"), F.regexp_extract("path", r"episode_(\d+)", 1).cast("bigint").alias("episode_index")]
     return got.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(lit("data")).alias("lit"))
 

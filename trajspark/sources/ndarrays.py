@@ -6,6 +6,7 @@ import json
 import os
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -31,9 +32,34 @@ def load_array(path: str) -> np.ndarray:
     return a[None] if a.ndim == 2 else a
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+#: Files and stored bytes read by one task.
+FILES_A_TASK, BYTES_A_TASK = 256, 16 << 20
+
+#: Values of one batch that is handed on; a single larger frame is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+_ROW = pa.schema([("path", pa.string()), ("frame", pa.int32()), ("h", pa.int32()), ("w", pa.int32()), ("c", pa.int32()), ("dtype", pa.string()), ("data", pa.binary())])
+
+
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+
+def _shared_out(paths: list[str], sizes: list[int]) -> list[_Files]:
+    """The files in order, as many to a task as its bounds allow, one at least."""
+    out, held, total = [], [], 0
+    for path, size in zip(paths, sizes):
+        if held and (len(held) == FILES_A_TASK or total + size > BYTES_A_TASK):
+            out.append(_Files(held))
+            held, total = [], 0
+        held.append(path)
+        total += size
+    return [*out, _Files(held)] if held else out
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROW)], schema=_ROW)
 
 
 class _Reader(DataSourceReader):
@@ -43,19 +69,27 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         files = sorted(f for ext in ("npy", "npz") for f in glob.glob(f"{self.path}/**/*.{ext}", recursive=True)) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        return [_File(f) for f in files]
+        return _shared_out(files, [os.path.getsize(f) for f in files])
 
     def read(self, partition):
-        a = load_array(partition.path)
-        for i in self.frames if self.frames is not None else range(len(a)):
-            if not 0 <= i < len(a):
-                raise IndexError(f"{partition.path} has {len(a)} frames, not frame {i}")
-            x = np.ascontiguousarray(a[i])
-            yield partition.path, i, x.shape[0], x.shape[1] if x.ndim > 1 else 1, x.shape[2] if x.ndim > 2 else 1, str(x.dtype), x.tobytes()
+        rows, held = [], 0
+        for path in partition.paths:
+            a = load_array(path)
+            shape, kind = (a.shape[1:] + (1, 1, 1))[: max(3, a.ndim - 1)], str(a.dtype)
+            for i in self.frames if self.frames is not None else range(len(a)):
+                if not 0 <= i < len(a):
+                    raise IndexError(f"{path} has {len(a)} frames, not frame {i}")
+                rows.append((path, i, shape[0], shape[1], shape[2], kind, a[i].tobytes()))
+                held += len(rows[-1][-1]) + len(path)
+                if held >= BATCH_BYTES:
+                    yield _batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield _batch(rows)
 
 
 class NdarraySource(DataSource):
-    """format('ndarray'): one row per frame (path, frame, h, w, c, dtype, data); one partition per file.
+    """format('ndarray'): one row per frame (path, frame, h, w, c, dtype, data); a task reads as many files as FILES_A_TASK and BYTES_A_TASK allow.
 
     Option `frames`: comma-separated frame numbers, so that only the frames asked for are handed on.
     """
